@@ -28,7 +28,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 def _per_class(conf: DataFrame, classes: Sequence[int]) -> DataFrame:
     """Support, predicted and hits per class, plus the table total, from one aggregate."""
-    cells = conf.select(F.explode(F.array(F.struct(F.col("label").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("pred").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))).alias("c"))
+    zero, n, hit = F.lit(0).cast("long"), F.col("n"), F.col("label") == F.col("pred")
+    as_label = F.struct(
+        F.col("label").alias("cls"), n.alias("support"), zero.alias("predicted"), F.when(hit, n).otherwise(zero).alias("tp")
+    )
+    as_pred = F.struct(F.col("pred").alias("cls"), zero.alias("support"), n.alias("predicted"), zero.alias("tp"))
+    cells = conf.select(F.explode(F.array(as_label, as_pred)).alias("c"))
     sums = cells.groupBy(F.col("c.cls").alias("label")).agg(
         F.sum("c.support").alias("support"), F.sum("c.predicted").alias("predicted"), F.sum("c.tp").alias("tp")
     )

@@ -21,6 +21,7 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8, **conf:
         **DEFAULTS,
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **conf,
     }
