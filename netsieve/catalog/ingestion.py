@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from netsieve.catalog.base import (
     DAY_S,
@@ -231,8 +231,8 @@ def q_decode_headers(spark, sf_dir):
     FROM t""",
 )
 def q_anonymised_prefix(spark, sf_dir):
-    decoded = decode_headers(lineitem_frames(spark, sf_dir))
-    prefix = anonymised_prefix(F.col("frame"), F.col("ip_offset"), F.col("ip_version"))
+    decoded = decode_headers(lineitem_frames(spark, sf_dir), extras=("head",))
+    prefix = anonymised_prefix(F.col("head"), F.col("ip_offset"), F.col("ip_version"))
     return decoded.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.hex(prefix).alias("prefix"))
 
 

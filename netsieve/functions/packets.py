@@ -11,6 +11,9 @@ from pyspark.sql.types import DoubleType
 
 from netsieve.schemas import MAX_BYTES, SESSION_TIMEOUT_S
 
+# Enough for the stored prefix and for all address bytes, so that overlays never lengthen the prefix.
+HEAD_BYTES = MAX_BYTES + 64
+
 
 def canonical_tuple(src: Column, sport: Column, dst: Column, dport: Column, proto: Column) -> Column:
     """Direction-free key: the smaller (address text, port) endpoint first."""
@@ -26,7 +29,7 @@ def encode_delta(delta_s: Column, timeout_s: float = SESSION_TIMEOUT_S) -> Colum
     return F.lit(255.0) * F.log1p(clipped) / F.lit(math.log1p(float(timeout_s)))
 
 
-def _entropy_of_batch(payload: pa.Array) -> pa.Array:
+def entropy_of_batch(payload: pa.Array) -> pa.Array:
     payload = payload.cast(pa.large_binary())
     offsets = np.frombuffer(payload.buffers()[1], dtype=np.int64)[payload.offset : payload.offset + len(payload) + 1]
     data = np.frombuffer(payload.buffers()[2] or b"", dtype=np.uint8)
@@ -48,7 +51,7 @@ def _entropy_of_batch(payload: pa.Array) -> pa.Array:
 @F.arrow_udf(DoubleType())
 def byte_entropy(payload: pa.Array) -> pa.Array:
     """Shannon entropy in bits of the bytes of each payload, 0 for an empty or missing one."""
-    return _entropy_of_batch(payload.fill_null(b""))
+    return entropy_of_batch(payload.fill_null(b""))
 
 
 def anonymise(frame: Column, ip_offset: Column, ip_version: Column) -> Column:
@@ -59,8 +62,6 @@ def anonymise(frame: Column, ip_offset: Column, ip_version: Column) -> Column:
     return F.when(ip_version == 4, v4).when(ip_version == 6, v6).otherwise(no_mac)
 
 
-def anonymised_prefix(frame: Column, ip_offset: Column, ip_version: Column, size: int = MAX_BYTES) -> Column:
-    """The stored part of a frame. Cutting first keeps the overlay cheap on jumbo frames."""
-    # The addresses end at most 40 bytes after the network header starts, so a generous head holds them all.
-    head = F.substring(frame, 1, size + 64)
+def anonymised_prefix(head: Column, ip_offset: Column, ip_version: Column, size: int = MAX_BYTES) -> Column:
+    """The stored part of a frame, from its first `HEAD_BYTES` bytes."""
     return F.substring(anonymise(head, ip_offset, ip_version), 1, size)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.functions.packets import anonymised_prefix, byte_entropy, canonical_tuple
+from netsieve.functions.packets import anonymised_prefix, canonical_tuple
 from netsieve.operators import captures as caps
 from netsieve.operators.ordered import broadcast_if_small
 from netsieve.operators.schedule import label_packets
@@ -30,8 +30,8 @@ class Ingestion:
 
 
 def narrow_packets(decoded: DataFrame) -> DataFrame:
-    """The columns a session needs. Entropy and the stored prefix are taken before any shuffle, so raw
-    frames never move."""
+    """The columns a session needs. Decoding already reduced a frame to its entropy and its head, so raw
+    frames never reach a shuffle."""
     return decoded.select(
         "source_capture",
         "chunk_index",
@@ -42,8 +42,8 @@ def narrow_packets(decoded: DataFrame) -> DataFrame:
         "dst_ip",
         "is_teardown",
         canonical_tuple(*[F.col(c) for c in ("src_ip", "sport", "dst_ip", "dport", "proto")]).alias("canonical_tuple"),
-        byte_entropy("payload").cast("float").alias("entropy"),
-        anonymised_prefix(F.col("frame"), F.col("ip_offset"), F.col("ip_version")).alias("bytes"),
+        F.col("entropy").cast("float").alias("entropy"),
+        anonymised_prefix(F.col("head"), F.col("ip_offset"), F.col("ip_version")).alias("bytes"),
     )
 
 
@@ -64,7 +64,7 @@ def ingest(
     """
     wanted = packets.join(broadcast_if_small(captures.select("source_capture")), "source_capture", "left_semi")
     read_errors = wanted.where("read_error is not null")
-    decoded = decode_headers(wanted.where("read_error is null"))
+    decoded = decode_headers(wanted.where("read_error is null"), extras=("entropy", "head"))
     labelled = label_packets(narrow_packets(decoded_packets(decoded)), schedule)
     cut = sessionize(labelled, packet_segment(segment_packets), timeout_s=timeout_s)
     flags = caps.truncated_captures(captures, read_errors)
