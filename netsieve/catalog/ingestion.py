@@ -272,7 +272,7 @@ def q_sessions(spark, sf_dir):
     )
 
 
-_CAPTURED_SQL = f"""
+CAPTURED_SQL = f"""
 cp AS (
   SELECT *, lag(ts_us) OVER w AS prev_ts, first_value(is_up) OVER w AS first_up FROM w3
   WINDOW w AS (PARTITION BY source_capture, canonical_tuple, session_instance ORDER BY packet_rank)),
@@ -292,7 +292,7 @@ en AS (
 @query(
     "session_packets",
     f"""
-    WITH {PACKETS_SQL}, {sessions_sql(DAY_US)}, {_CAPTURED_SQL}
+    WITH {PACKETS_SQL}, {sessions_sql(DAY_US)}, {CAPTURED_SQL}
     SELECT source_capture, canonical_tuple, session_instance, CAST(packet_rank AS INTEGER) AS pos,
       (is_up = first_up) AS is_forward, round(delta_enc::DOUBLE, 3) AS delta_enc, round(entropy::DOUBLE, 4) AS entropy,
       props AS content
@@ -314,7 +314,7 @@ def q_session_packets(spark, sf_dir):
     )
 
 
-_TENSOR_SUMS_SQL = """
+TENSOR_SUMS_SQL = """
 ts AS (
   SELECT source_capture, canonical_tuple, session_instance,
     sum(CASE WHEN is_up = first_up THEN 16 * delta_enc::DOUBLE + s ELSE 0 END) AS forward_sum,
@@ -328,7 +328,7 @@ ts AS (
 @query(
     "session_tensor",
     f"""
-    WITH {PACKETS_SQL}, {sessions_sql(DAY_US)}, {_CAPTURED_SQL}, {_TENSOR_SUMS_SQL}
+    WITH {PACKETS_SQL}, {sessions_sql(DAY_US)}, {CAPTURED_SQL}, {TENSOR_SUMS_SQL}
     SELECT source_capture, canonical_tuple, session_instance, 7776 AS cells, round(forward_sum, 2) AS forward_sum,
       round(backward_sum, 2) AS backward_sum, round(entropy_sum, 2) AS entropy_sum
     FROM ts""",
@@ -350,7 +350,7 @@ def q_session_tensor(spark, sf_dir):
 @query(
     "scaled_image",
     f"""
-    WITH {PACKETS_SQL}, {sessions_sql(DAY_US)}, {_CAPTURED_SQL},
+    WITH {PACKETS_SQL}, {sessions_sql(DAY_US)}, {CAPTURED_SQL},
     c7 AS (SELECT * FROM cq WHERE packet_rank <= 7), cq7 AS (SELECT c7.*, entropy FROM c7 JOIN en USING (packet_no)),
     n AS (SELECT source_capture, canonical_tuple, session_instance FROM w3 GROUP BY ALL HAVING count(*) >= 7)
     SELECT source_capture, canonical_tuple, session_instance, 3024 AS cells,
