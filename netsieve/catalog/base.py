@@ -43,9 +43,11 @@ def r6(value: Column | str, digits: int = 6) -> Column:
 DAY_S = 86_400.0
 
 
-def event_packets(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFrame:
+def event_packets(
+    spark: SparkSession, sf_dir: str, payload: bool = False, events: DataFrame | None = None
+) -> DataFrame:
     """Each event is a packet between a client and a server derived from the user; `view` runs backwards."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     uid = F.col("user_id")
     client = F.concat_ws(".", F.lit("10.0"), F.floor(uid / 256), uid % 256)
     server = F.concat(F.lit("172.16.0."), uid % 7)

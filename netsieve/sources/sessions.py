@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from netsieve.schemas import SESSIONS
 
@@ -12,12 +13,11 @@ PARTITIONS = ("split", "capture_day", "capture_id")
 def write_sessions(sessions: DataFrame, path: str) -> None:
     """Replace the partitions of the captures in `sessions`; other captures stay as they are.
 
-    A capture whose rerun yields no row in some split keeps its old partition there, so reruns should
-    first drop the capture with `drop_captures` when retention or the schedule changed.
+    Routing is deterministic, so a rerun under the same settings meets the same partitions. After a change
+    of schedule, ratios or rates write to a fresh path.
     """
-    columns = [c.split(" ")[0] for c in _columns()]
     (
-        sessions.select(*columns)
+        sessions.select(*StructType.fromDDL(SESSIONS).names)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
@@ -25,19 +25,6 @@ def write_sessions(sessions: DataFrame, path: str) -> None:
     )
 
 
-def _columns() -> list[str]:
-    depth, parts, current = 0, [], ""
-    for ch in SESSIONS:
-        depth += ch == "<"
-        depth -= ch == ">"
-        if ch == "," and depth == 0:
-            parts.append(current.strip())
-            current = ""
-        else:
-            current += ch
-    return [*parts, current.strip()]
-
-
 def read_sessions(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Sessions with the expected schema; a split prunes to its folders."""
     df = spark.read.schema(SESSIONS).parquet(path)
