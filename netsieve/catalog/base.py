@@ -44,7 +44,11 @@ DAY_S = 86_400.0
 
 
 def event_packets(
-    spark: SparkSession, sf_dir: str, payload: bool = False, events: DataFrame | None = None
+    spark: SparkSession,
+    sf_dir: str,
+    payload: bool = False,
+    events: DataFrame | None = None,
+    teardown: Column | None = None,
 ) -> DataFrame:
     """Each event is a packet between a client and a server derived from the user; `view` runs backwards."""
     e = table(spark, sf_dir, "events") if events is None else events
@@ -66,7 +70,7 @@ def event_packets(
         F.when(forward, cport).otherwise(443).alias("sport"),
         F.when(forward, F.lit(443)).otherwise(cport).alias("dport"),
         F.lit(6).alias("proto"),
-        ((F.col("event_type") == "purchase") & (k < 25)).alias("is_teardown"),
+        ((F.col("event_type") == "purchase") & (k < 25) if teardown is None else teardown).alias("is_teardown"),
         label.alias("label"),
         F.when(k < 80, "Benign").otherwise(F.concat_ws("-", label, k)).alias("attack_subtype"),
         F.encode("props", "UTF-8").alias("payload"),

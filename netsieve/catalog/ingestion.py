@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from netsieve.catalog.base import (
     DAY_S,
@@ -23,6 +25,8 @@ from netsieve.functions import hashing
 from netsieve.functions.labels import encode_label, long_enough, normalise_label
 from netsieve.functions.packets import anonymised_prefix, byte_entropy, canonical_tuple
 from netsieve.operators import audit, captures as caps
+from netsieve.operators.moments import matrix_of
+from netsieve.operators.pca import list_array
 from netsieve.operators.schedule import label_packets
 from netsieve.operators.sessions import (
     build_sessions,
@@ -31,6 +35,7 @@ from netsieve.operators.sessions import (
     ingestion_report,
     retain,
     sessionize,
+    skew_segments,
     subtype_report,
     time_segments,
 )
@@ -240,8 +245,8 @@ def q_anonymised_prefix(spark, sf_dir):
 
 
 def cut_events(spark, sf_dir, payload: bool = False, timeout_s: float = DAY_S) -> DataFrame:
-    p = time_segments(event_packets(spark, sf_dir, payload))
-    return sessionize(p, F.col("segment"), order=EVENT_ORDER, timeout_s=timeout_s).drop("segment")
+    p, segment = skew_segments(event_packets(spark, sf_dir, payload))
+    return sessionize(p, segment, order=EVENT_ORDER, timeout_s=timeout_s)
 
 
 def event_sessions(spark, sf_dir, with_packets: bool = False) -> DataFrame:
@@ -257,6 +262,17 @@ def q_sessionize(spark, sf_dir):
     return cut_events(spark, sf_dir).select("packet_no", "session_instance", "packet_rank")
 
 
+@query(
+    "sessionize_segmented",
+    f"WITH {PACKETS_SQL}, {sessions_sql(DAY_US)} SELECT packet_no, session_instance, packet_rank FROM w3",
+)
+def q_sessionize_segmented(spark, sf_dir):
+    """The same result by the way that large keys take."""
+    p = time_segments(event_packets(spark, sf_dir))
+    cut = sessionize(p, F.col("segment"), order=EVENT_ORDER, timeout_s=DAY_S)
+    return cut.select("packet_no", "session_instance", "packet_rank")
+
+
 @query(
     "sessions",
     f"""
@@ -325,6 +341,17 @@ ts AS (
 """
 
 
+def cell_sums(column: str, shape: tuple[int, int], axis: int):
+    """Channel sums of flattened tensors, to compare them without listing thousands of cells."""
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(cells: pa.Array) -> pa.Array:
+        flat = matrix_of(cells).reshape(len(cells), *shape)
+        return list_array(flat.sum(axis=axis + 1))
+
+    return run(column)
+
+
 @query(
     "session_tensor",
     f"""
@@ -337,13 +364,11 @@ def q_session_tensor(spark, sf_dir):
     sessions = build_sessions(cut_events(spark, sf_dir, True), timeout_s=DAY_S)
     dense = to_tensor(sessions.select("source_capture", "canonical_tuple", "session_instance", "packets"))
 
-    def channel(c: int):
-        cells = F.filter("tensor", lambda x, i: i % 3 == c)
-        return r6(F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x.cast("double")), 2)
-
+    summed = dense.withColumn("sums", cell_sums("tensor", (-1, 3), 0))
+    dense = summed.select("*", *[r6(F.col("sums")[c], 2).alias(f"c{c}") for c in range(3)])
     return dense.select(
         "source_capture", "canonical_tuple", "session_instance", F.size("tensor").alias("cells"),
-        channel(0).alias("forward_sum"), channel(1).alias("backward_sum"), channel(2).alias("entropy_sum"),
+        F.col("c0").alias("forward_sum"), F.col("c1").alias("backward_sum"), F.col("c2").alias("entropy_sum"),
     )
 
 
@@ -368,14 +393,10 @@ def q_scaled_image(spark, sf_dir):
     bounds = {"min_raw": 0.0, "max_raw": 255.0, "min_entropy": 0.0, "max_entropy": 8.0}
     images = to_scaled_image(chosen, bounds, 7)
 
-    def total(first: int, count: int):
-        part = F.slice("image", first, count)
-        return r6(F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double")), 3)
-
-    plane = 7 * 144
-    return images.select(
+    summed = images.withColumn("sums", cell_sums("image", (3, -1), 1))
+    return summed.select(
         "source_capture", "canonical_tuple", "session_instance", F.size("image").alias("cells"),
-        total(1, 2 * plane).alias("raw_sum"), total(2 * plane + 1, plane).alias("entropy_sum"),
+        r6(F.col("sums")[0] + F.col("sums")[1], 3).alias("raw_sum"), r6(F.col("sums")[2], 3).alias("entropy_sum"),
     )
 
 
@@ -436,12 +457,11 @@ _AUDIT_CAP = 3
     SELECT label, count(*) AS sessions, label <> 'Benign' AS is_attack FROM se GROUP BY label""",
 )
 def q_audit(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("packet_no"), "event_type")
-    packets = event_packets(spark, sf_dir).drop("is_teardown").join(e, "packet_no")
-    packets = packets.withColumn("is_teardown", F.col("event_type").isin("purchase", "signup"))
+    packets = event_packets(spark, sf_dir, teardown=F.col("event_type").isin("purchase", "signup"))
+    packets, segment = skew_segments(packets)
     counted = audit.audit_sessions(
-        time_segments(packets),
-        F.col("segment"),
+        packets,
+        segment,
         keys=("source_capture", "canonical_tuple"),
         order=EVENT_ORDER,
         timeout_s=DAY_S,
@@ -521,19 +541,21 @@ def q_audit_labels(spark, sf_dir):
 
 
 def order_files(spark, sf_dir) -> DataFrame:
+    """A chunk file per order; orders still pending never arrived, which leaves gaps in the numbering."""
     o = F.col("o_orderkey")
-    capture = F.concat(F.lit("mon-"), F.col("o_custkey"), F.lit("_C"), F.floor(o / 1000))
+    capture = F.concat(F.lit("mon-"), F.floor(o / 1000) % 30, F.lit("_C"), F.floor(o / 1000))
     stamp = F.date_format("o_orderdate", "yyyyMMddHHmmss")
     name = F.concat(capture, F.lit("_chunk_"), F.lpad((o % 1000).cast("string"), 5, "0"), F.lit("_"), stamp)
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("/in/"), name, F.lit(".pcap")).alias("path"))
+    arrived = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return arrived.select(F.concat(F.lit("/in/"), name, F.lit(".pcap")).alias("path"))
 
 
 _FILES_SQL = """
 fl AS (
-  SELECT 'mon-' || o_custkey || '_C' || (o_orderkey // 1000) AS source_capture, o_orderkey % 1000 AS idx,
-    '/in/mon-' || o_custkey || '_C' || (o_orderkey // 1000) || '_chunk_' || printf('%05d', o_orderkey % 1000) || '_'
-      || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.pcap' AS path
-  FROM orders)
+  SELECT 'mon-' || (o_orderkey // 1000 % 30) || '_C' || (o_orderkey // 1000) AS source_capture, o_orderkey % 1000 AS idx,
+    '/in/mon-' || (o_orderkey // 1000 % 30) || '_C' || (o_orderkey // 1000) || '_chunk_' || printf('%05d', o_orderkey % 1000)
+      || '_' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.pcap' AS path
+  FROM orders WHERE o_orderstatus <> 'P')
 """
 
 

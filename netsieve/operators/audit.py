@@ -12,7 +12,7 @@ from netsieve.schemas import AUDIT_TIMEOUT_S, MAX_PACKETS
 
 def audit_sessions(
     packets: DataFrame,
-    segment: Column,
+    segment: Column | None,
     keys: Sequence[str] = ("source_file", "canonical_tuple"),
     order: Sequence[str] = ("packet_no",),
     timeout_s: float = AUDIT_TIMEOUT_S,

@@ -1,8 +1,9 @@
 """Session boundaries and session records over packet tables.
 
-A flooding endpoint pair may hold a large share of all packets, so no window here covers a whole key.
+A flooding endpoint pair may hold a large share of all packets, so windows must not cover a whole key.
 Packets are cut into segments that grow with the packet order; windows run inside (key, segment), and
-one summary row per (key, segment) carries the open session across the cut.
+one summary row per (key, segment) carries the open session across the cut. Tables checked to have no
+large key skip the cut and need one shuffle for windows and aggregation together.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from netsieve.schemas import (
 SESSION_KEYS = ("source_capture", "canonical_tuple")
 PACKET_ORDER = ("chunk_index", "packet_no")
 SEGMENT_PACKETS = 1 << 18
+KEY_ROWS = 1 << 20
 
 
 def packet_segment(size: int = SEGMENT_PACKETS) -> Column:
@@ -34,13 +36,27 @@ def packet_segment(size: int = SEGMENT_PACKETS) -> Column:
 
 
 def time_segments(df: DataFrame, ts: str = "ts_us", name: str = "segment") -> DataFrame:
-    """Segments of about equal row count for tables ordered by time first."""
+    """Add segments of about equal row count, for tables ordered by time first."""
     return with_bucket(df, ts, split_points(df, ts), name)
 
 
+def skew_segments(
+    df: DataFrame, keys: Sequence[str] = SESSION_KEYS, ts: str = "ts_us", limit: int = KEY_ROWS
+) -> tuple[DataFrame, Column | None]:
+    """(table, segment) for `sessionize`: no segment if every key fits one task, else time segments.
+
+    The check counts rows per key, combined before the shuffle. It suits tables whose keys are cheap to
+    read; decoded captures use `packet_segment` instead, which needs no look at the data.
+    """
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if largest is None or largest <= limit:
+        return df, None
+    return time_segments(df, ts, "_time_segment"), F.col("_time_segment")
+
+
 def sessionize(
     df: DataFrame,
-    segment: Column,
+    segment: Column | None,
     keys: Sequence[str] = SESSION_KEYS,
     order: Sequence[str] = PACKET_ORDER,
     timeout_s: float = SESSION_TIMEOUT_S,
@@ -51,16 +67,16 @@ def sessionize(
 
     A session starts at a key's first packet, after a gap above the timeout to the previous packet in
     order, or after a teardown packet, which itself still belongs to the session it closes.
-    `segment` must not fall when `order` grows.
+    `segment` must not fall when `order` grows; None means that whole keys fit one task.
     """
     keys = list(keys)
     limit_us = int(round(timeout_s * 1_000_000))
-    cell = [*keys, "_segment"]
+    cell = keys if segment is None else [*keys, "_segment"]
     w = Window.partitionBy(*cell).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
     local = (
-        df.withColumn("_segment", segment)
+        (df if segment is None else df.withColumn("_segment", segment))
         .select(
             "*",
             F.lag(ts).over(w).alias("_prev_ts"),
@@ -81,6 +97,13 @@ def sessionize(
         .drop("_new", "_start")
     )
 
+    if segment is None:
+        return (
+            local.withColumn("session_instance", (F.col("_inst") + 1).cast("int"))
+            .withColumn("packet_rank", F.col("_rank").cast("long"))
+            .drop("_pos", "_inst", "_rank")
+        )
+
     summary = local.groupBy(*cell).agg(
         F.max("_inst").alias("inner_starts"),
         F.max("_pos").alias("rows"),
@@ -117,7 +140,7 @@ def sessionize(
         local.join(carry, cell)
         .withColumn("session_instance", (F.col("_base") + F.col("_inst")).cast("int"))
         .withColumn("packet_rank", F.col("_rank") + F.when(F.col("_inst") == 0, F.col("_carried")).otherwise(0))
-        .drop("_segment", "_pos", "_inst", "_rank", "_base", "_carried")
+        .drop("_segment", "_time_segment", "_pos", "_inst", "_rank", "_base", "_carried")
     )
 
 
