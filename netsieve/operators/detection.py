@@ -65,16 +65,19 @@ def roc_points(df: DataFrame, truth: str, score: str, group: Sequence[str] = ())
 
 
 def ranking_metrics(points: DataFrame, group: Sequence[str] = (), tpr_target: float = 0.95) -> DataFrame:
-    """AUROC, average precision and the lowest false-positive rate at the target recall (null if unreached)."""
+    """AUROC, average precision and the lowest false-positive rate at the target recall.
+
+    Null where undefined: one class absent, or the target never reached.
+    """
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
     positives, negatives = F.max("positives").cast("double"), F.max("negatives").cast("double")
     # A tie group is one trapezoid: its negatives against the positives before it plus half of its own.
     area = F.sum(neg * (tp - pos / 2))
-    tpr = tp / F.col("positives")
+    tpr = F.try_divide(tp, F.col("positives"))
     return points.groupBy(*group).agg(
-        (area / (positives * negatives)).alias("auroc"),
-        (F.sum(pos * tp / (tp + fp)) / positives).alias("average_precision"),
-        F.min(F.when(tpr >= tpr_target, fp / F.col("negatives"))).alias("fpr_at_tpr"),
+        F.try_divide(area, positives * negatives).alias("auroc"),
+        F.try_divide(F.sum(pos * tp / (tp + fp)), positives).alias("average_precision"),
+        F.min(F.when(tpr >= tpr_target, F.try_divide(fp, F.col("negatives")))).alias("fpr_at_tpr"),
     )
 
 
@@ -90,8 +93,8 @@ def roc_curve(points: DataFrame, max_points: int = 5000) -> DataFrame:
     )
     curve = ordered.select(
         F.col("cum_one").alias("point_no"),
-        (F.col("fp") / F.col("negatives")).alias("fpr"),
-        (F.col("tp") / F.col("positives")).alias("tpr"),
+        F.try_divide("fp", "negatives").alias("fpr"),
+        F.try_divide("tp", "positives").alias("tpr"),
         "threshold",
     )
     origin = spark.range(1).select(

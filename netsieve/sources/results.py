@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Fixed paths of the metric documents: output column -> (path, type).
 RESULT_FIELDS = {
@@ -28,19 +29,36 @@ def finite_or_null(value: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 
+def _document_schema() -> StructType:
+    """Nested text fields of all wanted paths, plus the place for an unreadable document."""
+    tree: dict = {}
+    for path, _ in RESULT_FIELDS.values():
+        node = tree
+        for part in path.split("."):
+            node = node.setdefault(part, {})
+
+    def build(node: dict) -> StructType:
+        return StructType([StructField(k, build(v) if v else StringType()) for k, v in node.items()])
+
+    return build(tree).add("_broken", StringType())
+
+
 def flatten_results(documents: DataFrame, text: str = "value") -> DataFrame:
     """Flat metric columns from JSON text; missing keys and non-finite numbers become null."""
-    doc = F.try_parse_json(F.col(text))
+    options = {"columnNameOfCorruptRecord": "_broken", "allowNonNumericNumbers": "true"}
+    doc = documents.withColumn("_doc", F.from_json(F.col(text), _document_schema(), options))
 
     def field(path: str, kind: str) -> Column:
-        value = F.try_variant_get(doc, f"$.{path}", "string")
+        value = F.col(f"_doc.{path}")
         return value.try_cast("int") if kind == "int" else finite_or_null(value)
 
-    status = F.when(F.col(text).isNull(), "MISSING_JSON").when(doc.isNull(), "JSON_READ_ERROR").otherwise("OK")
-    kept = [c for c in documents.columns if c != text]
-    return documents.select(
-        *kept, status.alias("status"), *[field(p, k).alias(n) for n, (p, k) in RESULT_FIELDS.items()]
+    status = (
+        F.when(F.col(text).isNull(), "MISSING_JSON")
+        .when(F.col("_doc._broken").isNotNull(), "JSON_READ_ERROR")
+        .otherwise("OK")
     )
+    kept = [c for c in documents.columns if c != text]
+    return doc.select(*kept, status.alias("status"), *[field(p, k).alias(n) for n, (p, k) in RESULT_FIELDS.items()])
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

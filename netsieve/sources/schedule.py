@@ -38,7 +38,7 @@ def schedule_from(spark: SparkSession, config: Mapping, target_date: str | None
 
     def instant(edge: int):
         text = F.concat_ws(" ", "date", F.trim(F.col("window")[edge]))
-        stamp = F.to_timestamp(F.concat(text, F.lit(UTC_OFFSET)), F.lit("yyyy-MM-dd HH:mmXXX"))
+        stamp = F.to_timestamp(F.concat(text, F.lit(UTC_OFFSET)), "yyyy-MM-dd HH:mmXXX")
         return F.unix_micros(stamp)
 
     return (
