@@ -398,7 +398,7 @@ def q_unknown_breakdown(spark, sf_dir):
 )
 def q_lambda_grid(spark, sf_dir):
     rows, cal = plane_calibration(spark, sf_dir)
-    out = lambda_grid(test_rows(rows), cal, LAMBDAS).select(
+    out = lambda_grid(materialize(test_rows(rows)), cal, LAMBDAS).select(
         "lambda", "tn", "fp", "fn", "tp", "ood_recall", "balanced_accuracy", "auroc", "known_total", "known_rejected",
         "geometry_agreement", "geometric_accuracy", "mcc_before_shield", "mcc_after_shield",
     )

@@ -72,11 +72,16 @@ def fit_profiles(
     classes: Sequence[int],
     epsilon: float = RIDGE_EPSILON,
     skip_small: bool = False,
-    centred: bool = True,
+    near_zero_dim: int | None = None,
 ) -> Profiles:
-    """Centroid and regularised inverse covariance of each class, from one distributed moment fit."""
-    known = df.where(F.col(label).isin(*[int(c) for c in classes]))
-    return profiles_from_moments(fit_moments(known, vector, label, centred), classes, epsilon, skip_small)
+    """Centroid and regularised inverse covariance of each class, from one distributed moment fit.
+
+    `near_zero_dim` is the dimension of vectors known to lie near the origin, which need one pass only.
+    """
+    classes = [int(c) for c in classes]
+    known = df.where(F.col(label).isin(*classes))
+    shifts = None if near_zero_dim is None else {c: np.zeros(near_zero_dim) for c in classes}
+    return profiles_from_moments(fit_moments(known, vector, label, shifts), classes, epsilon, skip_small)
 
 
 def _squared(x: np.ndarray, centre: np.ndarray, inverse: np.ndarray) -> np.ndarray:

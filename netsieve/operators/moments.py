@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MAX_CLASSES = 1000
 MAX_DIM = 8192
+MAX_CELLS = 1 << 28
 
 
 def matrix_of(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -94,33 +95,32 @@ def second_moments(
     return summed.withColumn("row", vector_to_array("row"))
 
 
-def fit_moments(df: DataFrame, vector: str, label: str | None = None, centred: bool = True) -> dict[int, Moments]:
+def fit_moments(
+    df: DataFrame, vector: str, label: str | None = None, shifts: Mapping[int, np.ndarray] | None = None
+) -> dict[int, Moments]:
     """Count, mean and covariance (n-1) per class, in float64.
 
-    Two passes with the class means as shift; `centred=False` saves the first pass and is meant for
-    values already near the origin. Only classes x d x d numbers reach the driver.
+    Two passes with the class means as shift; given `shifts`, such as zeros for values known to lie near
+    the origin, save the first. Only classes x d x d numbers reach the driver.
     """
-    if centred:
+    if shifts is None:
         shifts = {c: mean for c, (_, mean) in vector_means(df, vector, label).items()}
-    else:
-        dim = df.select(F.size(vector)).first()
-        classes = [r[0] for r in df.select(F.col(label)).distinct().limit(MAX_CLASSES + 1).collect()] if label else [0]
-        if len(classes) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes")
-        shifts = {int(c): np.zeros(dim[0]) for c in classes} if dim else {}
     if not shifts:
         return {}
-    rows = second_moments(df, vector, shifts, label).collect()
+    dim = len(next(iter(shifts.values())))
+    if len(shifts) * dim * dim > MAX_CELLS:
+        raise ValueError(f"{len(shifts)} covariances of dimension {dim} are too large to hold")
+    rows = {(r["label"], r["i"]): r for r in second_moments(df, vector, shifts, label).collect()}
     out: dict[int, Moments] = {}
     for c, shift in shifts.items():
-        mine = {r["i"]: r for r in rows if r["label"] == c}
-        if not mine:
+        head = rows.get((c, -1))
+        if head is None:
             continue
-        n = mine[-1]["n"]
-        gram = np.array([mine[i]["row"] for i in range(len(shift))])
-        off = np.array(mine[-1]["row"]) / n
+        n = head["n"]
+        gram = np.array([rows[c, i]["row"] for i in range(dim)])
+        off = np.array(head["row"]) / n
         cov = (gram - n * np.outer(off, off)) / (n - 1) if n > 1 else np.full(gram.shape, np.nan)
-        out[c] = Moments(n, shift + off, (cov + cov.T) / 2)
+        out[c] = Moments(n, np.asarray(shift) + off, (cov + cov.T) / 2)
     return out
 
 

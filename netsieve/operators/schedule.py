@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.operators.ordered import SMALL_SIDE_ROWS, broadcast_if_small
+from netsieve.operators.ordered import SMALL_SIDE_ROWS
 from netsieve.schemas import DEFAULT_FOLDER
 
 
-def rules_by_pair(schedule: DataFrame, policy: str) -> DataFrame:
-    """One row per ordered address pair with all its windows; the largest matching struct wins."""
+BUCKET_US = 3_600_000_000
+
+
+def rules_by_pair(schedule: DataFrame, policy: str, bucket_us: int | None = None) -> DataFrame:
+    """One row per ordered address pair with its windows; the largest matching struct wins.
+
+    With `bucket_us` one row per pair and time bucket, so that a pair with very many rules is spread out.
+    """
     if policy not in ("priority", "first"):
         raise ValueError(f"unknown labelling policy {policy!r}")
     rank = F.col("priority") if policy == "priority" else F.lit(0)
@@ -31,26 +37,38 @@ def rules_by_pair(schedule: DataFrame, policy: str) -> DataFrame:
         )
 
     both = directed("attacker_ip", "victim_ip", 0).unionByName(directed("victim_ip", "attacker_ip", 1))
-    return both.groupBy("src_ip", "dst_ip").agg(F.collect_list("rule").alias("rules"))
+    keys = ["src_ip", "dst_ip"]
+    if bucket_us is not None:
+        first, last = (F.floor(F.col(f"rule.{edge}") / bucket_us) for edge in ("lo", "hi"))
+        both = both.where("rule.lo <= rule.hi").withColumn("_bucket", F.explode(F.sequence(first, last)))
+        keys.append("_bucket")
+    return both.groupBy(*keys).agg(F.collect_list("rule").alias("rules"))
 
 
 def label_packets(
-    packets: DataFrame, schedule: DataFrame, policy: str = "priority", small_limit: int = SMALL_SIDE_ROWS
+    packets: DataFrame,
+    schedule: DataFrame,
+    policy: str = "priority",
+    small_limit: int = SMALL_SIDE_ROWS,
+    bucket_us: int = BUCKET_US,
 ) -> DataFrame:
     """Add label, attack_subtype and target_folder to each packet, exactly one result per packet.
 
     `priority`: the highest priority wins, then the forward pair, then schedule order. `first`: the
     forward pair, then schedule order. Rules ride along as an array per pair, so overlapping windows
-    never multiply packets. The schedule is broadcast after a size check; a larger one is joined by
-    shuffle, where adaptive execution splits hot pairs.
+    never multiply packets. A schedule of at most `small_limit` rows is broadcast; a larger one is joined
+    by shuffle on pair and time bucket, which spreads hot pairs of either side.
     """
-    rules = broadcast_if_small(rules_by_pair(schedule, policy), small_limit)
-    joined = packets.join(rules, ["src_ip", "dst_ip"], "left")
+    if schedule.limit(small_limit + 1).count() <= small_limit:
+        joined = packets.join(F.broadcast(rules_by_pair(schedule, policy)), ["src_ip", "dst_ip"], "left")
+    else:
+        keyed = packets.withColumn("_bucket", F.floor(F.col("ts_us") / bucket_us))
+        joined = keyed.join(rules_by_pair(schedule, policy, bucket_us), ["src_ip", "dst_ip", "_bucket"], "left")
     hit = F.array_max(F.filter("rules", lambda r: F.col("ts_us").between(r["lo"], r["hi"])))
     return (
         joined.withColumn("_hit", hit)
         .withColumn("label", F.coalesce(F.col("_hit.label"), F.lit("Benign")))
         .withColumn("attack_subtype", F.coalesce(F.col("_hit.attack_subtype"), F.lit("Benign")))
         .withColumn("target_folder", F.coalesce(F.col("_hit.target_folder"), F.lit(DEFAULT_FOLDER)))
-        .drop("rules", "_hit")
+        .drop("rules", "_hit", "_bucket")
     )

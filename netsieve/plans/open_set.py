@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -73,19 +74,64 @@ class Shield:
         return gaussianise(project(vector, self.pca), self.marks)
 
 
-@dataclass
 class OpenSetResult:
-    shield: Shield
-    sweep: DataFrame
-    scored: DataFrame | None = None
-    binary: DataFrame | None = None
-    ranking: DataFrame | None = None
-    raw_ranking: DataFrame | None = None
-    degradation: DataFrame | None = None
-    by_class: DataFrame | None = None
-    by_subtype: DataFrame | None = None
-    roc: DataFrame | None = None
-    frr_exceeded: bool | None = None
+    """The fitted shield, the validation sweep and, computed on first use, the test metrics.
+
+    `scored` holds one narrow row per test row (distance, winner, score, rejected, truth); it is written to
+    the checkpoint folder once and every metric reads it from there.
+    """
+
+    def __init__(self, shield: Shield, sweep: DataFrame, settings: ShieldSettings, measured: DataFrame | None, subtype: str | None):
+        self.shield = shield
+        self.sweep = sweep
+        self.settings = settings
+        self.measured = measured
+        self.subtype = subtype
+
+    @cached_property
+    def scored(self) -> DataFrame | None:
+        if self.measured is None:
+            return None
+        return decide(self.measured, self.shield.calibration, self.settings.selected)
+
+    @cached_property
+    def binary(self) -> DataFrame:
+        flagged = self.scored.withColumn("flag", F.col("rejected").cast("int"))
+        return detection.binary_report(flagged, "truth", "flag")
+
+    @cached_property
+    def _points(self) -> DataFrame:
+        return detection.roc_points(self.scored, "truth", "score")
+
+    @cached_property
+    def ranking(self) -> DataFrame:
+        return detection.ranking_metrics(self._points)
+
+    @cached_property
+    def raw_ranking(self) -> DataFrame:
+        return detection.ranking_metrics(detection.roc_points(self.scored, "truth", "distance"))
+
+    @cached_property
+    def roc(self) -> DataFrame:
+        return detection.roc_curve(self._points)
+
+    @cached_property
+    def degradation(self) -> DataFrame:
+        return known_degradation(self.scored.where("truth = 0"))
+
+    @cached_property
+    def by_class(self) -> DataFrame:
+        return detection.unknown_breakdown(self.scored.where("truth = 1"), "label")
+
+    @cached_property
+    def by_subtype(self) -> DataFrame | None:
+        return self.subtype and detection.unknown_breakdown(self.scored.where("truth = 1"), self.subtype)
+
+    @cached_property
+    def frr_exceeded(self) -> bool:
+        """Whether the selected lambda rejects more validation rows than the cap; advisory only."""
+        chosen = self.sweep.where(F.abs(F.col("lambda") - self.settings.selected) <= 1e-12).select("eligible").first()
+        return not chosen["eligible"]
 
 
 def fit_shield(train: DataFrame, settings: ShieldSettings, id_column: str = "id", vector: str = "embedding") -> Shield:
@@ -96,7 +142,7 @@ def fit_shield(train: DataFrame, settings: ShieldSettings, id_column: str = "id"
     marks = fit_quantiles(projected, "z", id_column, settings.quantiles, settings.sample, settings.seed)
     normal = projected.select("label", gaussianise("z", marks).alias("g"))
     # The transformed values lie within a few units of 0, so one uncentred pass is accurate.
-    profiles = fit_profiles(normal, "g", "label", classes, settings.epsilon, centred=False)
+    profiles = fit_profiles(normal, "g", "label", classes, settings.epsilon, near_zero_dim=pca.k)
     return Shield(pca, marks, profiles)
 
 
@@ -153,9 +199,8 @@ def evaluate_open_set(
     val_rows = calibrate_shield(shield, val, settings)
     names = {index: name for name, index in settings.known.items()}
     sweep = sweep_lambda(sweep_by_class(val_rows, shield.calibration, settings.lambdas), settings.max_frr, names)
-    result = OpenSetResult(shield, sweep)
     if settings.selected is None:
-        return result
+        return OpenSetResult(shield, sweep, settings, None, subtype)
     detection.require_classes(known, "label", sorted(settings.known.values()), "known test rows")
     detection.require_classes(unknown, "label", sorted(settings.unknown.values()), "unknown test rows")
     columns = [id_column, "label", "pred", "embedding"]
@@ -163,22 +208,7 @@ def evaluate_open_set(
     both = with_truth(
         known.select(*columns, *[F.lit(None).cast("string").alias(c) for c in extra]), unknown.select(*columns, *extra)
     )
-    # The narrow distances feed every metric below, so the vectors are transformed once.
-    scored = decide(materialize(measure(shield, both)), shield.calibration, settings.selected)
-    flagged = scored.withColumn("flag", F.col("rejected").cast("int"))
-    result.scored = scored
-    result.binary = detection.binary_report(flagged, "truth", "flag")
-    points = detection.roc_points(scored, "truth", "score")
-    result.ranking = detection.ranking_metrics(points)
-    result.raw_ranking = detection.ranking_metrics(detection.roc_points(scored, "truth", "distance"))
-    result.roc = detection.roc_curve(points)
-    result.degradation = known_degradation(scored.where("truth = 0"))
-    result.by_class = detection.unknown_breakdown(scored.where("truth = 1"), "label")
-    if subtype:
-        result.by_subtype = detection.unknown_breakdown(scored.where("truth = 1"), subtype)
-    chosen = sweep.where(F.abs(F.col("lambda") - settings.selected) <= 1e-12).select("eligible").first()
-    result.frr_exceeded = not chosen["eligible"]
-    return result
+    return OpenSetResult(shield, sweep, settings, materialize(measure(shield, both)), subtype)
 
 
 def lambda_grid(

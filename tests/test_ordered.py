@@ -15,8 +15,9 @@ def values():
     return pd.DataFrame({"g": np.where(rng.random(5000) < 0.8, 0, rng.integers(1, 5, 5000)), "v": v, "y": rng.integers(0, 2, 5000)})
 
 
-def test_medians(spark, values):
-    got = {r.g: r for r in group_medians(spark.createDataFrame(values), ["g"], "v").collect()}
+@pytest.mark.parametrize("group_rows", [1, 10_000])
+def test_medians(spark, values, group_rows):
+    got = {r.g: r for r in group_medians(spark.createDataFrame(values), ["g"], "v", group_rows).collect()}
     for g, part in values.groupby("g"):
         ordered = np.sort(part.v.values)
         assert got[g].n == len(part)

@@ -61,7 +61,7 @@ def test_labels_equal_the_search(spark, case, policy, limit):
     rules, packets = case
     schedule = spark.createDataFrame(rules, SCHEDULE)
     df = spark.createDataFrame(packets, "id int, src_ip string, dst_ip string, ts_us long")
-    out = label_packets(df, schedule, policy, limit)
+    out = label_packets(df, schedule, policy, limit, bucket_us=50)
     got = {r.id: (r.label, r.attack_subtype) for r in out.collect()}
     assert got == {p[0]: by_hand(rules, p, policy == "priority") for p in packets}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
