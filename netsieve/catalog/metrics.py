@@ -327,17 +327,15 @@ def q_batches(spark, sf_dir):
     """
     WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
     b AS (SELECT CAST(ceil(count(*) / 32.0) AS BIGINT) AS batches FROM embeddings)
-    SELECT label, least(n, batches) AS batches_with_class, n AS rows FROM c, b""",
+    SELECT label, least(n, batches - 1) AS full_batches_with_class, n AS rows FROM c, b""",
 )
 def q_batch_cover(spark, sf_dir):
-    """In how many batches each class occurs: all of them, or one per row for a rare class."""
-    out = sampling.assign_batches(table(spark, sf_dir, "embeddings"), "label", 32, "vec_id", epoch=0)
+    """In how many full batches each class occurs: all of them, or one per row for a rare class."""
+    out = sampling.assign_batches(table(spark, sf_dir, "embeddings"), "label", 32, "vec_id")
     last = out.agg(F.max("batch").alias("last"))
     cells = out.groupBy("label", "batch").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(last))
-    # The last batch takes what is left and may lack a class that has run out.
     return cells.groupBy("label").agg(
-        F.greatest(F.count(F.lit(1)), F.least(F.sum("n"), F.max("last") + 1)).alias("batches_with_class"),
-        F.sum("n").alias("rows"),
+        F.count_if(F.col("batch") < F.col("last")).alias("full_batches_with_class"), F.sum("n").alias("rows")
     )
 
 

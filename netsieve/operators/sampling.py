@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from netsieve.functions.hashing import stable_fraction
 from netsieve.operators.ordered import running_totals
 from netsieve.session import shuffle_width
 
@@ -52,23 +51,55 @@ def quota_cap(df: DataFrame, label: str, order: Sequence[str], total: int = 1000
     )
 
 
+def _structs(rows: list[tuple], names: tuple[str, ...], kind: str) -> Column:
+    """A literal array of structs of whole numbers."""
+    return F.array(*[F.struct(*[F.lit(v).cast(kind).alias(n) for n, v in zip(names, row)]) for row in rows])
+
+
 def _fill_batch(q: Column, counts: dict, size: int, batches: int) -> Column:
-    """Batch of the q-th filler row: the batches' free slots, counted through, as a piecewise formula.
+    """Batch of the q-th filler row: the batches' free slots, counted through.
 
-    Batch b keeps size - (classes with more than b rows) slots free, which changes only at class sizes.
+    Batch b keeps size - (classes with more than b rows) slots free, which changes only at class sizes, so
+    a short list of stretches (start, free slots before it, free slots per batch) describes all of them.
     """
     def free_before(b: int) -> int:
         return b * size - sum(min(n, b) for n in counts.values())
 
     last = batches - 1
     knots = sorted({0, *[n for n in counts.values() if n < last]})
-    out = F.lit(last)
-    for start, stop in reversed(list(zip(knots, [*knots[1:], last]))):
-        slots = size - sum(1 for n in counts.values() if n > start)
-        if slots > 0 and stop > start:
-            at = F.lit(start) + F.floor((q - free_before(start)) / slots)
-            out = F.when((q >= free_before(start)) & (q < free_before(stop)), at).otherwise(out)
-    return out.cast("long")
+    stretches = [(b, free_before(b), size - sum(1 for n in counts.values() if n > b)) for b in knots if b < last]
+    stretches = [s for s in stretches if s[2] > 0] + [(last, free_before(last), 1 << 62)]
+    found = F.element_at(
+        F.filter(_structs(stretches, ("start", "free", "slots"), "bigint"), lambda s: s["free"] <= q), -1
+    )
+    return F.transform(F.array(found), lambda s: s["start"] + F.call_function("div", q - s["free"], s["slots"]))[0]
+
+
+def _merged_rank(place: Column, label: Column, rest: dict) -> Column:
+    """Rank of row `place` of its class when the classes' remaining rows are spread evenly over each other.
+
+    Row p of n sits at (2p+1)/2n; the rows of another class before it follow by integer division, ties
+    going to the class listed first.
+    """
+    classes = sorted(c for c, n in rest.items() if n > 0)
+    if not classes:
+        return place
+    kind = "decimal(38,0)" if max(rest.values()) > 1 << 30 else "bigint"
+    others = [
+        [(rest[o], rest[c] if j < i else rest[c] - 1, 2 * rest[c]) for j, o in enumerate(classes) if o != c]
+        for i, c in enumerate(classes)
+    ]
+    if len(classes) == 1:
+        return place
+    table = F.create_map(
+        *[v for c, rows in zip(classes, others) for v in (F.lit(c), _structs(rows, ("n", "tie", "step"), kind))]
+    )
+    odd = (place * 2 + 1).cast(kind)
+    return F.aggregate(
+        F.try_element_at(table, label),
+        place.cast("bigint"),
+        lambda rank, o: rank + F.call_function("div", odd * o["n"] + o["tie"], o["step"]).cast("bigint"),
+    )
 
 
 def assign_batches(
@@ -76,24 +107,32 @@ def assign_batches(
 ) -> DataFrame:
     """Add `batch`: every row once, full batches but the last, each with every class that still has rows.
 
-    Row r of a class opens batch r; the remaining rows fill the free slots in hash order. Ranks run over
-    hash ranges, never over a whole class.
+    Rows are shuffled within their class by a seeded hash. Row r of a class opens batch r; the remaining
+    rows, classes evenly mixed, fill the free slots. Ranks run over hash ranges, never over a whole class,
+    and everything behind the rank is arithmetic on the class sizes.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(size + 1).collect()}
     if size < len(counts):
         raise ValueError("the batch size must reach the number of classes")
     total = sum(counts.values())
     batches = max(1, math.ceil(total / size))
+    opening = batches - 1
+    hashed = F.xxhash64(F.lit(seed + epoch), F.col(id_column))
     width = shuffle_width(df.sparkSession)
-    text = F.concat_ws("|", F.lit(f"{seed + epoch}"), F.col(id_column).cast("string"))
-    hashed = df.withColumn("_h", hash_order(seed + epoch, id_column)).withColumn("_one", F.lit(1).cast("long"))
-    ranged = F.floor(stable_fraction(text) * width)
-    ranked = running_totals(hashed, "_h", ["_one"], [label], bucket=ranged).withColumn("_r", F.col("cum__one") - 1)
-    ranked = ranked.drop("cum__one", "total__one")
-    opening = ranked.where(F.col("_r") < batches - 1).withColumn("batch", F.col("_r").cast("long"))
-    rest = running_totals(ranked.where(F.col("_r") >= batches - 1), "_h", ["_one"], bucket=ranged)
-    filled = rest.withColumn("batch", _fill_batch(F.col("cum__one") - 1, counts, size, batches)).drop(
-        "cum__one", "total__one"
+    ranked = running_totals(
+        df.withColumn("_h", F.struct(hashed.alias("hash"), F.col(id_column).alias("id"))).withColumn(
+            "_one", F.lit(1).cast("long")
+        ),
+        "_h",
+        ["_one"],
+        [label],
+        bucket=F.floor((F.col("_h.hash") / F.lit(2.0**64) + 0.5) * width),
+    )
+    place = F.col("cum__one") - 1
+    rest = {c: max(0, n - opening) for c, n in counts.items()}
+    mixed = ranked.withColumn("_q", F.when(place >= opening, _merged_rank(place - opening, F.col(label), rest)))
+    filler = _fill_batch(F.col("_q"), counts, size, batches)
+    out = mixed.withColumn("batch", F.when(place < opening, place).otherwise(filler).cast("long")).drop(
+        "_h", "_one", "_q", "cum__one", "total__one"
     )
-    out = opening.unionByName(filled).drop("_h", "_one", "_r")
     return out.where(F.col("batch") < total // size) if drop_last else out

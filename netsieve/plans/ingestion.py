@@ -19,7 +19,8 @@ from netsieve.operators.sessions import (
     sessionize,
 )
 from netsieve.schemas import MAX_PACKETS, RETENTION_RATES, SESSION_TIMEOUT_S, SPLIT_RATIOS
-from netsieve.sources.headers import decode_errors, decode_headers, decoded_packets
+from netsieve.session import stage_table
+from netsieve.sources.headers import decode_headers
 
 
 @dataclass
@@ -30,10 +31,11 @@ class Ingestion:
 
 
 def narrow_packets(decoded: DataFrame) -> DataFrame:
-    """The columns a session needs. Decoding already reduced a frame to its entropy and its head, so raw
-    frames never reach a shuffle."""
+    """The columns a session or an error report needs. Decoding already reduced a frame to its entropy and
+    its head, so raw frames never reach a shuffle."""
     return decoded.select(
         "source_capture",
+        "source_file",
         "chunk_index",
         "packet_no",
         "ts_us",
@@ -44,6 +46,8 @@ def narrow_packets(decoded: DataFrame) -> DataFrame:
         canonical_tuple(*[F.col(c) for c in ("src_ip", "sport", "dst_ip", "dport", "proto")]).alias("canonical_tuple"),
         F.col("entropy").cast("float").alias("entropy"),
         anonymised_prefix(F.col("head"), F.col("ip_offset"), F.col("ip_version")).alias("bytes"),
+        F.col("read_error").isNotNull().alias("is_read_error"),
+        F.coalesce("read_error", "decode_error").alias("error"),
     )
 
 
@@ -63,16 +67,14 @@ def ingest(
     the pending ones.
     """
     wanted = packets.join(broadcast_if_small(captures.select("source_capture")), "source_capture", "left_semi")
-    read_errors = wanted.where("read_error is not null")
-    decoded = decode_headers(wanted.where("read_error is null"), extras=("entropy", "head"))
-    labelled = label_packets(narrow_packets(decoded_packets(decoded)), schedule)
-    cut = sessionize(labelled, packet_segment(segment_packets), timeout_s=timeout_s)
-    flags = caps.truncated_captures(captures, read_errors)
+    decoded = decode_headers(wanted, extras=("entropy", "head"))
+    # The raw frames are read once; sessions, flags and errors all read the narrow table.
+    packets_table = stage_table(label_packets(narrow_packets(decoded), schedule), "packets")
+    errors = packets_table.where("error is not null")
+    cut = sessionize(packets_table.where("error is null"), packet_segment(segment_packets), timeout_s=timeout_s)
+    flags = caps.truncated_captures(captures, errors.where("is_read_error"))
     built = retain(identify(build_sessions(cut, timeout_s=timeout_s, max_packets=max_packets), ratios), rates)
     sessions = caps.flag_sessions(built, flags)
-    errors = read_errors.select("source_capture", "source_file", F.col("read_error").alias("error")).unionByName(
-        decode_errors(decoded).select("source_capture", "source_file", F.col("decode_error").alias("error"))
-    )
     kind, message = F.substring_index("error", ": ", 1), F.regexp_replace("error", "^[^:]*: ", "")
     keyed = errors.select("source_capture", caps.error_key(F.col("source_file"), kind, message).alias("error_key"))
     return Ingestion(sessions, keyed, flags)
