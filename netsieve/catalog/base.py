@@ -53,24 +53,30 @@ def event_packets(
     """Each event is a packet between a client and a server derived from the user; `view` runs backwards."""
     e = table(spark, sf_dir, "events") if events is None else events
     uid = F.col("user_id")
-    client = F.concat_ws(".", F.lit("10.0"), F.floor(uid / 256), uid % 256)
-    server = F.concat(F.lit("172.16.0."), uid % 7)
-    forward = F.col("event_type") != "view"
-    cport = (F.lit(1024) + uid % 1000).cast("int")
-    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    # The parts used more than once get columns of their own, so that they are computed once.
+    parts = e.select(
+        "*",
+        F.concat_ws(".", F.lit("10.0"), F.floor(uid / 256), uid % 256).alias("client"),
+        F.concat(F.lit("172.16.0."), uid % 7).alias("server"),
+        (F.lit(1024) + uid % 1000).cast("int").alias("cport"),
+        (F.col("event_type") != "view").alias("up"),
+        F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"),
+    )
+    k, up = F.col("k"), F.col("up")
     label = (
         F.when(k < 80, "Benign").when(k < 88, "DoS").when(k < 95, "DDoS").when(k < 98, "Botnet").otherwise("Web_Attack")
     )
-    base = e.select(
+    torn = (F.col("event_type") == "purchase") & (k < 25) if teardown is None else teardown
+    base = parts.select(
         F.concat(F.lit("d"), uid % 5, F.lit("_link")).alias("source_capture"),
         F.col("event_id").alias("packet_no"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-        F.when(forward, client).otherwise(server).alias("src_ip"),
-        F.when(forward, server).otherwise(client).alias("dst_ip"),
-        F.when(forward, cport).otherwise(443).alias("sport"),
-        F.when(forward, F.lit(443)).otherwise(cport).alias("dport"),
+        F.when(up, F.col("client")).otherwise(F.col("server")).alias("src_ip"),
+        F.when(up, F.col("server")).otherwise(F.col("client")).alias("dst_ip"),
+        F.when(up, F.col("cport")).otherwise(443).alias("sport"),
+        F.when(up, F.lit(443)).otherwise(F.col("cport")).alias("dport"),
         F.lit(6).alias("proto"),
-        ((F.col("event_type") == "purchase") & (k < 25) if teardown is None else teardown).alias("is_teardown"),
+        torn.alias("is_teardown"),
         label.alias("label"),
         F.when(k < 80, "Benign").otherwise(F.concat_ws("-", label, k)).alias("attack_subtype"),
         F.encode("props", "UTF-8").alias("payload"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netsieve.operators.sessions import sessionize
 from netsieve.schemas import AUDIT_TIMEOUT_S, MAX_PACKETS
+from netsieve.session import materialize
 
 
 def audit_sessions(
@@ -38,6 +39,8 @@ def audit_sessions(
             F.max_by("label", F.when((rank <= max_packets) & (F.col("label") != "Benign"), rank)), F.lit("Benign")
         ).alias("label"),
     )
+    # The runs are read four times below and are far fewer than the packets, so they are written once.
+    runs = materialize(runs)
     # A run can swallow its successor if it holds exactly max_packets packets, ends in a teardown and
     # no timeout lies between. Only such runs and their successors take part in the parity.
     limit_us = int(round(timeout_s * 1_000_000))

@@ -8,7 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from netsieve.functions.labels import long_enough
 from netsieve.operators.captures import error_summary, group_captures, name_captures
+from netsieve.operators.sessions import build_sessions, packet_segment, sessionize
 from netsieve.plans.closed_set import evaluate_closed_set
 from netsieve.plans.ingestion import ingest
 from netsieve.plans.train_profile import fit_profile
@@ -16,7 +18,6 @@ from netsieve.schemas import SCHEDULE
 from netsieve.sources.pcap import read_packets
 from netsieve.sources.sessions import list_capture_files, read_sessions, write_sessions
 from netsieve.streaming.sessionizer import run_available, sessionize_stream
-from netsieve.operators.sessions import build_sessions, packet_segment, sessionize
 from tests import folds
 from tests.test_frames import capture_bytes, eth, tcp, udp, v4
 
@@ -124,6 +125,8 @@ def test_store_replaces_only_the_written_captures(spark, ingested, tmp_path):
     assert read_sessions(spark, path, "test_ood").count() == 1
     plan = read_sessions(spark, path, "test_ood").select("label")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "packets" not in plan
+    long = read_sessions(spark, path).where(long_enough(F.col("captured_packets"))).select("label")
+    assert "GreaterThanOrEqual(captured_packets,7)" in long._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.fixture(scope="module")

@@ -44,6 +44,12 @@ def test_balanced_sample(spark):
         balanced_sample(labelled(spark, 100, 3), "label", [0, 1], 10, "id")
 
 
+def test_ranks_trim_each_task_before_the_shuffle(spark):
+    df = labelled(spark, 100, 30)
+    for out in (balanced_sample(df, "label", [0, 1], 10, "id"), quota_cap(df, "label", ["id"], 50)):
+        assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("sizes,total", [((500, 700, 20), 300), ((10, 10), 1000), ((5, 5, 5), 2)])
 def test_quota_cap(spark, sizes, total):
     df = labelled(spark, *sizes)
