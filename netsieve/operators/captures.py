@@ -37,19 +37,23 @@ def group_captures(files: DataFrame, known_truncated: Sequence[str] = KNOWN_TRUN
     """One row per logical capture: ordered files, missing chunk numbers, truncation mark.
 
     A capture present both whole and in chunks, or with a repeated chunk number, stops the query.
-    Needs the `name_captures` columns. The lists hold the files of one capture, never its packets.
+    Needs the `name_captures` columns. Repeats collapse first and chunk numbers have five digits, so a list
+    holds at most 100,000 files.
     """
-    grouped = files.groupBy("source_capture").agg(
-        F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_timestamp", "path"))).alias("_files"),
+    per_chunk = files.groupBy("source_capture", "chunk_index").agg(
+        F.min(F.struct("chunk_timestamp", "path")).alias("_file"), F.count(F.lit(1)).alias("_n")
+    )
+    grouped = per_chunk.groupBy("source_capture").agg(
+        F.sort_array(F.collect_list(F.struct("chunk_index", "_file.chunk_timestamp", "_file.path"))).alias("_files"),
         F.count("chunk_index").alias("_chunks"),
-        F.count_distinct("chunk_index").alias("_indices"),
         F.count(F.lit(1)).alias("_all"),
+        F.max("_n").alias("_repeats"),
     )
     capture = F.col("source_capture")
     sound = _fail(
         (F.col("_chunks") > 0) & (F.col("_chunks") < F.col("_all")),
         F.concat(F.lit("capture present whole and in chunks: "), capture),
-    ) & _fail(F.col("_chunks") > F.col("_indices"), F.concat(F.lit("repeated chunk number in "), capture))
+    ) & _fail(F.col("_repeats") > 1, F.concat(F.lit("repeated chunk number in "), capture))
     present = F.col("_files.chunk_index")
     missing = F.when(
         F.col("_chunks") > 0,
@@ -89,7 +93,8 @@ def flag_sessions(sessions: DataFrame, flags: DataFrame) -> DataFrame:
 
     Few captures are expected; the broadcast is checked and a large list joins by shuffle instead.
     """
-    return sessions.join(broadcast_if_small(flags), "source_capture", "left").withColumn(
+    small = broadcast_if_small(flags, weight=F.size("source_files") + 1)
+    return sessions.join(small, "source_capture", "left").withColumn(
         "source_truncated", F.coalesce("source_truncated", F.lit(False))
     )
 

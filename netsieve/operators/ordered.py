@@ -28,8 +28,13 @@ def small_rows(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame | None:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """A checked broadcast; beyond the limit the plain table, joined by shuffle with skew handling."""
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_SIDE_ROWS, weight: Column | None = None) -> DataFrame:
+    """A checked broadcast; beyond the limit the plain table, joined by shuffle with skew handling.
+
+    `weight` counts a row with a long list as more than one.
+    """
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > limit:
+        return df
     small = small_rows(df, limit)
     return df if small is None else small
 
@@ -49,7 +54,9 @@ def with_bucket(df: DataFrame, value: str, points: Sequence[float], name: str =
     edges = [float("-inf"), *points, float("inf")]
     cut = Bucketizer(splits=edges, inputCol="_cut", outputCol=name, handleInvalid="keep")
     cut_column = df.withColumn("_cut", F.col(value).cast("double"))
-    return cut.transform(cut_column).drop("_cut").withColumn(name, F.col(name).cast("int"))
+    bucketed = cut.transform(cut_column).drop("_cut")
+    # Never null, or joins on it would filter by the bucket function all the way down at the scan.
+    return bucketed.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(-1)))
 
 
 def running_totals(
