@@ -106,17 +106,18 @@ def decode_batch(frames: Frames, with_ports_only: bool, extras: Sequence[str]) -
     short = frames.length < ETHERNET_HEADER
     v4, v6 = ~short & (kind == TYPE_IPV4), ~short & (kind == TYPE_IPV6)
 
-    later_fragment = (frames.number(at + 6, 2) & 0x1FFF) > 0
-    proto = np.where(v4, np.where(later_fragment, -1, frames.number(at + 9, 1)), frames.number(at + 6, 1))
+    # A later fragment carries no transport header, so its proto number comes without ports.
+    portless = v4 & ((frames.number(at + 6, 2) & 0x1FFF) > 0)
+    proto = frames.number(at + np.where(v4, 9, 6), 1)
     pos = np.where(v4, at + (frames.number(at, 1) & 0x0F) * 4, at + 40)
     for _ in range(MAX_EXTENSIONS):
-        walk = v6 & np.isin(proto, EXTENSION_HEADERS)
+        walk = v6 & ~portless & np.isin(proto, EXTENSION_HEADERS)
         if not walk.any():
             break
         units, fragment = frames.number(pos + 1, 1), proto == FRAGMENT_HEADER
         size = np.where(fragment, 8, np.where(proto == AUTH_HEADER, (units + 2) * 4, (units + 1) * 8))
-        lost = (fragment & (frames.number(pos + 2, 2) >> 3 > 0)) | (pos + 8 > frames.length)
-        proto = np.where(walk, np.where(lost, -1, frames.number(pos, 1)), proto)
+        portless |= walk & ((fragment & (frames.number(pos + 2, 2) >> 3 > 0)) | (pos + 8 > frames.length))
+        proto = np.where(walk, frames.number(pos, 1), proto)
         pos = np.where(walk, pos + size, pos)
 
     # IPv4 announces its whole length, IPv6 its payload; zero means up to the end of the frame.
@@ -124,7 +125,7 @@ def decode_batch(frames: Frames, with_ports_only: bool, extras: Sequence[str]) -
     end = np.where(
         announced == 0, frames.length, np.minimum(at + announced + np.where(v4, 0, 40), frames.length)
     )
-    tcp, ported = proto == PROTO_TCP, (v4 | v6) & np.isin(proto, (PROTO_TCP, PROTO_UDP))
+    tcp, ported = proto == PROTO_TCP, (v4 | v6) & ~portless & np.isin(proto, (PROTO_TCP, PROTO_UDP))
     smallest = np.where(tcp, 20, 8)
     data_at = pos + np.where(tcp, (frames.number(pos + 12, 1) >> 4) * 4, 8)
     cut_network = (v4 | v6) & (frames.length < at + np.where(v4, 20, 40))

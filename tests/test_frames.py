@@ -87,6 +87,7 @@ def test_decoding(spark):
             assert r.decode_error is None
     other = {r.id: r for r in decode_headers(df, with_ports_only=False).collect()}
     assert (other[5].proto, other[5].sport, other[5].dport) == (1, 0, 0)
+    assert (other[6].proto, other[6].sport, other[6].dport) == (17, 0, 0)
 
 
 def test_anonymised_prefix(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netsieve.functions.labels import long_enough
 from netsieve.operators.captures import error_summary, group_captures, name_captures
 from netsieve.operators.sessions import build_sessions, packet_segment, sessionize
+from netsieve.plans.audit import audit_captures
 from netsieve.plans.closed_set import evaluate_closed_set
 from netsieve.plans.ingestion import ingest
 from netsieve.plans.train_profile import fit_profile
@@ -48,17 +49,25 @@ def captures(tmp_path_factory):
     return str(folder)
 
 
+# The attack window opens at the late answer and covers the 19th and 20th UDP packet.
+RULES = [
+    (PEER, HOST, 1_003_000_010, 1_003_000_010, "DoS", "Slow", "stratified_split", 1, 1),
+    ("10.0.0.7", PEER, 1_118_000_000, 1_118_000_000, "Botnet", "Bot", "hold_out_test", 2, 0),
+    ("10.0.0.7", PEER, 1_118_000_000, 1_119_000_000, "DDoS", "Loic", "stratified_split", 1, 2),
+]
+
+
 @pytest.fixture(scope="module")
 def ingested(spark, captures):
     groups = group_captures(name_captures(list_capture_files(spark, captures)))
-    # The attack window opens at the late answer and covers the 19th and 20th UDP packet.
-    rules = [
-        (PEER, HOST, 1_003_000_010, 1_003_000_010, "DoS", "Slow", "stratified_split", 1, 1),
-        ("10.0.0.7", PEER, 1_118_000_000, 1_118_000_000, "Botnet", "Bot", "hold_out_test", 2, 0),
-        ("10.0.0.7", PEER, 1_118_000_000, 1_119_000_000, "DDoS", "Loic", "stratified_split", 1, 2),
-    ]
     packets = read_packets(spark, captures, "capture")
-    return ingest(packets, groups, spark.createDataFrame(rules, SCHEDULE), segment_packets=2)
+    return ingest(packets, groups, spark.createDataFrame(RULES, SCHEDULE), segment_packets=2)
+
+
+def test_audit_by_hand(spark, captures):
+    """Per file: teardown session, labelled answer; then one TCP and one UDP session counted before its attack."""
+    report = audit_captures(read_packets(spark, captures, "capture"), spark.createDataFrame(RULES, SCHEDULE), 2)
+    assert {r.label: r.sessions for r in report.collect()} == {"Benign": 3, "DoS": 1}
 
 
 def test_capture_groups(spark, captures):
