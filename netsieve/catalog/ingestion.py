@@ -379,10 +379,10 @@ def q_session_tensor(spark, sf_dir):
     c7 AS (SELECT * FROM cq WHERE packet_rank <= 7), cq7 AS (SELECT c7.*, entropy FROM c7 JOIN en USING (packet_no)),
     n AS (SELECT source_capture, canonical_tuple, session_instance FROM w3 GROUP BY ALL HAVING count(*) >= 7)
     SELECT source_capture, canonical_tuple, session_instance, 3024 AS cells,
-      round(sum(16 * delta_enc::DOUBLE + s) / 255.0, 3) AS raw_sum,
+      round(sum(16 * CAST(delta_enc::DOUBLE / 255.0::DOUBLE AS FLOAT)::DOUBLE + s), 3) AS raw_sum,
       round(sum(144 * entropy::DOUBLE) / 8.0, 3) AS entropy_sum
     FROM cq7 JOIN n USING (source_capture, canonical_tuple, session_instance)
-    JOIN (SELECT packet_no, sum(('0x' || byte)::INTEGER) AS s FROM bt GROUP BY 1) USING (packet_no)
+    JOIN (SELECT packet_no, sum(CAST(('0x' || byte)::INTEGER / 255.0::DOUBLE AS FLOAT)::DOUBLE) AS s FROM bt GROUP BY 1) USING (packet_no)
     GROUP BY 1, 2, 3""",
 )
 def q_scaled_image(spark, sf_dir):
