@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from netsieve.operators.sampling import assign_batches, balanced_sample, quota_cap
 

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from netsieve.operators.schedule import label_packets
 from netsieve.schemas import SCHEDULE
