@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +31,11 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back to a scratch folder only when none is set."""
+    """Use the shared folder named by the cluster; where none is set, a folder beside the warehouse's tables."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netsieve-checkpoint-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{warehouse}/_scratch")
 
 
 def materialize(df: DataFrame) -> DataFrame:
