@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netsieve.llm.common import table
 from netsieve.llm.mixing import mix_sources
+from netsieve.llm.simhash import near_duplicates
 from netsieve.llm.url_filter import judge_urls
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +98,9 @@ FROM l
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _, _ = mix_sources(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_simhash_near_dedup")
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", "fingerprint", "component_id")
