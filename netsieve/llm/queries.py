@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netsieve.llm.common import table
+from netsieve.llm.decontaminate import contamination_report, names_digest
 from netsieve.llm.mixing import mix_sources
+from netsieve.llm.repeats import repeat_report
 from netsieve.llm.simhash import near_duplicates
 from netsieve.llm.url_filter import judge_urls
 
@@ -59,6 +61,46 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query(
+    "op2_benchmark_decontamination",
+    r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS win
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT r, i, n, array_to_string(words[i : i + n - 1], ' ') AS win
+  FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w) d JOIN sizes ON d.i + n - 1 <= len(d.words)),
+hits AS (SELECT r, i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+hw AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+""",
+)
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return report.select("doc_id", "n_words", "n_hit", "n_items", names_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
+@query("op3_suffix_array_dedup")
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = repeat_report(table(spark, sf_dir, "documents"), length=200, keep="none")
+    return report.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query(
     "op5_source_mix",
     r"""
