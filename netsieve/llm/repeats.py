@@ -41,10 +41,13 @@ class Pieces:
 
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, gram
-        size = (1 << CHUNK_BITS) + 1
-        with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate([[1], np.full(size - 1, BASE, np.uint64)]).astype(np.uint64))
-            self.inverse = np.cumprod(np.concatenate([[1], np.full(size - 1, INVERSE, np.uint64)]).astype(np.uint64))
+        self.power, self.inverse = (self._powers(b, 1 << CHUNK_BITS) for b in (BASE, INVERSE))
+
+    @staticmethod
+    def _powers(base: int, count: int) -> np.ndarray:
+        factors = np.full(count, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
 
     def anchors(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each window in `data`: the place of its anchor and the anchor's hash."""
