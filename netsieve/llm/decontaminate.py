@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netsieve.llm.fm_index import FMIndex
@@ -135,7 +136,15 @@ def _merge(old: dict | None, new: dict, text: bytes) -> dict:
     }
 
 
-def _scan(texts: pa.Array, before: pa.Array | None, phrases: Phrases) -> pa.Array:
+def _scanner(shared: Broadcast):
+    @F.arrow_udf(FOUND)
+    def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return _scan(texts, before, shared.value)
+
+    return scan
+
+
+def _scan(texts: pa.Array, before: pa.Array, phrases: Phrases) -> pa.Array:
     whole = texts.cast(pa.large_binary())
     found: list[dict] = []
     shard: list[bytes] = []
@@ -148,7 +157,7 @@ def _scan(texts: pa.Array, before: pa.Array | None, phrases: Phrases) -> pa.Arra
             shard, held = [], 0
     if shard:
         found += scan_shard(shard, phrases)
-    if before is not None:
+    if before.null_count < len(before):  # what earlier blocks of items have found
         found = [_merge(b.as_py(), f, t.as_py() or b"") for b, f, t in zip(before, found, whole)]
     kind = pa.struct([
         ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
@@ -174,21 +183,10 @@ def with_contamination(
     for block in range(blocks):
         own = given.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block) if blocks > 1 else given
         phrases = Phrases.of([(r["name"], r["text"].encode()) for r in own.collect()], width)
-        shared = spark.sparkContext.broadcast(phrases)
-        if block == 0:
-
-            @F.arrow_udf(FOUND)
-            def scan(texts: pa.Array) -> pa.Array:
-                return _scan(texts, None, shared.value)
-
-            docs = docs.withColumn(into, scan("text"))
-        else:
-
-            @F.arrow_udf(FOUND)
-            def rescan(texts: pa.Array, before: pa.Array, shared=shared) -> pa.Array:
-                return _scan(texts, before, shared.value)
-
-            docs = stage_table(docs, "contamination").withColumn(into, rescan("text", into))
+        scan = _scanner(spark.sparkContext.broadcast(phrases))
+        if block:
+            docs = stage_table(docs, "contamination")
+        docs = docs.withColumn(into, scan("text", into if block else F.lit(None).cast(FOUND)))
     return docs
 
 

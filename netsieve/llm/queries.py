@@ -11,6 +11,7 @@ from netsieve.llm.decontaminate import contamination_report, names_digest
 from netsieve.llm.mixing import mix_sources
 from netsieve.llm.repeats import repeat_report
 from netsieve.llm.simhash import near_duplicates
+from netsieve.llm.toxicity import score_documents
 from netsieve.llm.url_filter import judge_urls
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +147,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return score_documents(table(spark, sf_dir, "documents"), labels)
