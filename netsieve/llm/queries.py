@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netsieve.llm.common import table
 from netsieve.llm.decontaminate import contamination_report, names_digest
+from netsieve.llm.language import identify_languages
 from netsieve.llm.mixing import mix_sources
 from netsieve.llm.repeats import repeat_report
 from netsieve.llm.simhash import near_duplicates
@@ -153,3 +154,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return score_documents(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
