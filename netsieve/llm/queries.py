@@ -10,6 +10,7 @@ from netsieve.llm.common import table
 from netsieve.llm.decontaminate import contamination_report, names_digest
 from netsieve.llm.language import identify_languages
 from netsieve.llm.mixing import mix_sources
+from netsieve.llm.neighbours import search
 from netsieve.llm.repeats import repeat_report
 from netsieve.llm.simhash import near_duplicates
 from netsieve.llm.toxicity import score_documents
@@ -159,3 +160,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return search(vectors, F.col("vec_id") % 100 == 0, k=10)

@@ -107,11 +107,9 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
         part, first, count, at_anchor, anchor, piece = pieces.cut(data, starts)
         rows, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
         at = pa.array(rows[part])
-        return pa.RecordBatch.from_arrays(
-            [ids.take(at), digests.take(at), pa.array((first + offsets[part]).astype(np.int32)),
-             pa.array(count.astype(np.int32)), pa.array(at_anchor.astype(np.int32)), pa.array(anchor), pa.array(piece)],
-            ["id", "digest", "first", "windows", "at", "key", "piece"],
-        )
+        place = (first + offsets[part]) << 2 * FIELD | count << FIELD | at_anchor
+        columns = [ids.take(at), digests.take(at), pa.array(place), pa.array(anchor), pa.array(piece)]
+        return pa.RecordBatch.from_arrays(columns, ["id", "digest", "place", "key", "piece"])
 
     for batch in batches:
         ids, digests = batch.column("id"), batch.column("digest")
@@ -131,10 +129,12 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             yield emit(parts)
 
 
-PIECE = "id long, digest long, first int, windows int, at int, key long, piece long"
+#: `place` packs the first window of a piece, the number of its windows and the place of its anchor, in this order.
+PIECE = "id long, digest long, place long, key long, piece long"
 RUN = "id long, digest long, first int, windows int"
 WANTED = ("key", "at", "low", "high", "id", "digest", "first", "windows")
 BODY = "key long, at int, low int, high int, id long, digest long, first int, windows int, body binary"
+FIELD = 12
 
 
 def _match_groups(batches: Iterator[pa.RecordBatch], length: int, keep: str) -> Iterator[pa.RecordBatch]:
@@ -181,13 +181,18 @@ def _match_groups(batches: Iterator[pa.RecordBatch], length: int, keep: str) ->
 def _body_batch(rows: list[tuple], more: tuple[str, ...] = ("body",)) -> pa.RecordBatch:
     names = [*WANTED, *more]
     columns = list(zip(*rows)) if rows else [[] for _ in names]
-    long = ("key", "id", "digest", "piece")
+    long = ("key", "id", "digest", "place", "piece")
     kinds = [pa.int64() if n in long else pa.binary() if n == "body" else pa.int32() for n in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _bodies(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, digest, text, wanted) to BODY."""
+def _unpack(place: int) -> tuple[int, int, int]:
+    field = (1 << FIELD) - 1
+    return place >> 2 * FIELD, place >> FIELD & field, place & field
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], length: int, low: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, digest, text, wanted) to BODY. Windows start up to -`low` bytes before the anchor."""
     rows: list[tuple] = []
     size = 0
     for batch in batches:
@@ -195,8 +200,9 @@ def _bodies(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         for i, (id_, digest) in enumerate(zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist())):
             text = texts[i].as_py() or b""
             for w in wanted[i].as_py():
-                body = text[w["first"] : w["first"] + w["windows"] + length - 1]
-                rows.append((w["key"], w["at"], w["low"], w["high"], id_, digest, w["first"], w["windows"], body))
+                first, windows, at = _unpack(w["place"])
+                body = text[first : first + windows + length - 1]
+                rows.append((w["key"], at, low, 1, id_, digest, first, windows, body))
                 size += len(body)
             if size > 8 << 20:
                 yield _body_batch(rows)
@@ -222,17 +228,17 @@ def _halve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                     continue
                 common = xxhash.xxh3_64_intdigest(body[at + b - 1 : at + a + length], (key ^ a) & unsigned)
                 own = body[s : e + length - 1]
-                rows.append((signed(common), at - s, a, b, id_, digest, first + s, e - s, own, signed(xxhash.xxh3_64_intdigest(own))))
-        yield _body_batch(rows, ("body", "piece"))
+                place = first + s << 2 * FIELD | e - s << FIELD
+                rows.append((signed(common), at - s, a, b, id_, digest, first + s, e - s, own, place, signed(xxhash.xxh3_64_intdigest(own))))
+        yield _body_batch(rows, ("body", "place", "piece"))
 
 
 def _classes(pieces: DataFrame) -> DataFrame:
-    """(key, piece, n, m, low, high, r) of the classes of equal pieces that matter: n members, m classes with the key, r the first.
+    """(key, piece, n, m, r) of the classes of equal pieces that matter: n members, m classes with the key, r the first.
 
-    Classes are counted before the shuffle; the sizes of groups too.
+    Members are counted before the shuffle, and so are the classes of a key.
     """
-    place = F.struct("id", "digest", "first", "windows", "at")
-    classes = pieces.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(place).alias("r"), F.min("low").alias("low"), F.min("high").alias("high"))
+    classes = pieces.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "place")).alias("r"))
     groups = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     return classes.join(groups, "key", "left").where("n > 1 or m is not null")
 
@@ -242,50 +248,54 @@ def _covered(pieces: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
     repeated = classes.where("n > 1").select("key", "piece", "r")
     found = pieces.join(repeated, ["key", "piece"])
     if keep == "first":
-        found = found.where((F.col("r.id") != F.col("id")) | (F.col("r.digest") != F.col("digest")) | (F.col("r.first") != F.col("first")))
-    return found.select("id", "digest", "first", "windows")
+        found = found.where((F.col("r.id") != F.col("id")) | (F.col("r.digest") != F.col("digest")) | (F.col("r.place") != F.col("place")))
+    windows = F.shiftright("place", FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))
+    return found.select(
+        "id", "digest", F.shiftright("place", 2 * FIELD).cast("int").alias("first"), windows.cast("int").alias("windows")
+    )
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:
-    """(id, digest, text, row): documents are told apart by doc_id and text. `row` holds all columns."""
+    """(id, digest, text, row): documents are told apart by doc_id and text. `row` holds all columns but the text."""
     none = F.col("doc_id").isNull()
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.xxhash64(F.coalesce("text", F.lit("")), none).alias("digest"),
         "text",
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
     )
 
 
 def with_repeats(
-    docs: DataFrame, length: int = 200, keep: str = "first", gram: int = 48, crowd: int = 4096
+    docs: DataFrame, length: int = 200, keep: str = "first", gram: int = 32, crowd: int = 4096
 ) -> DataFrame:
     """(text, row, spans): for every row of `docs` the spans of bytes, merged and in order, that repeat others.
 
     A byte is in a span if a string of `length` bytes that covers it also starts elsewhere in the texts, whole texts and
     the same one included. With keep="first" only strings that start somewhere earlier count (in the order of doc_id,
     then of a hash of the text, then of the place), so the first copy stays; with keep="none" no copy does.
-    `row` holds all columns. A null or short text has no spans. Rows that agree in doc_id and text are copies of each
+    `row` holds all other columns. A null or short text has no spans. Rows that agree in doc_id and text are copies of each
     other; where the first copy stays, they all keep what the first of them keeps. A null doc_id counts as 0.
     """
+    if not 1 <= gram <= length < 1 << FIELD:
+        raise ValueError(f"lengths must be 1 <= gram <= length < {1 << FIELD}")
     spark = docs.sparkSession
     keyed = keyed_documents(docs)
     pieces = stage_table(
         keyed.select("id", "digest", "text").mapInArrow(lambda it: _cut_batches(it, length, gram), PIECE), "pieces"
-    ).select("*", F.lit(gram - length).alias("low"), F.lit(1).alias("high"))
+    )
     classes = stage_table(_classes(pieces), "piece-classes")
     runs = [_covered(pieces, classes, keep)]
     most = classes.agg(F.max("m")).first()[0] or 0
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(width, "id", "digest")
+    # Texts are dealt once, for both joins; so both take all columns.
+    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "digest")
 
     def bodies(groups: DataFrame) -> DataFrame:
-        wanted = groups.select("r.*", "key", "low", "high").groupBy("id", "digest").agg(
-            F.collect_list(F.struct("key", "at", "low", "high", "first", "windows")).alias("wanted")
+        wanted = groups.select("key", "r.id", "r.digest", "r.place").groupBy("id", "digest").agg(
+            F.collect_list(F.struct("key", "place")).alias("wanted")
         )
-        return dealt.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select(
-            "id", "digest", "text", "wanted"
-        ).mapInArrow(lambda it: _bodies(it, length), BODY)
+        found = dealt.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
+        return found.mapInArrow(lambda it: _bodies(it, length, gram - length), BODY)
 
     def matches(rows: DataFrame) -> DataFrame:
         ordered = rows.repartition("key").sortWithinPartitions("key", "id", "digest", "first")
@@ -294,12 +304,12 @@ def with_repeats(
     runs.append(matches(bodies(classes.where(F.col("m") <= crowd))))
     crowded = bodies(classes.where(F.col("m") > crowd))
     while most > crowd:
-        halves = stage_table(crowded.mapInArrow(lambda it: _halve(it, length), BODY + ", piece long"), "halves")
+        halves = stage_table(crowded.mapInArrow(lambda it: _halve(it, length), BODY + ", place long, piece long"), "halves")
         classes = stage_table(_classes(halves), "half-classes")
         runs.append(stage_table(_covered(halves, classes, keep), "half-runs"))
         most = classes.agg(F.max("m")).first()[0] or 0
-        firsts = classes.where("m is not null").select("key", "piece", "m", "r.id", "r.digest", "r.first")
-        rest = halves.join(firsts, ["key", "piece", "id", "digest", "first"]).select(*WANTED, "body", "m")
+        firsts = classes.where("m is not null").select("key", "piece", "m", "r.*")
+        rest = halves.join(firsts, ["key", "piece", "id", "digest", "place"]).select(*WANTED, "body", "m")
         runs.append(stage_table(matches(rest.where(F.col("m") <= crowd).drop("m")), "half-runs"))
         crowded = rest.where(F.col("m") > crowd).drop("m")
     found = runs[0]
