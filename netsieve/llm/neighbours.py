@@ -6,7 +6,8 @@
    it visits is calibrated: for a few queries the exact neighbours among all rows are computed, and visits are widened
    until the wanted share of these stands in the visited leaves.
 4. Queries meet the rows of their leaves in groups (leaf, part of its rows, part of its queries), so a leaf with a third
-   of all rows is no single task. Each group gives its nearest rows for each query, and these are ranked.
+   of all rows is no single task. Each group gives its nearest rows for each query, and these are ranked. The first few
+   leaves of a query come first: from the others only rows within the distance found there are passed on.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ class Settings:
     """sample_rows bounds the rows of the fit; leaf_rows is the wanted size of a leaf over all rows."""
 
     sample_rows: int = 20_000
-    leaf_rows: int = 256
+    leaf_rows: int = 512
     branches: int = 8
     rounds: int = 8
     recall: float = 0.98
     calibration_queries: int = 128
     part_rows: int = 1024
     part_queries: int = 2048
+    first_leaves: int = 4
 
 
 @dataclass
@@ -122,8 +124,11 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def nearest_rows(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, places, distances) of the k nearest rows; ties go to the smaller id, rows with the query's id are left out.
+def nearest_rows(
+    queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, within: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, places, distances) of the k nearest rows; ties go to the smaller id, rows with the query's id are left out, and
+    so are those farther than `within`.
 
     Products of matrices give the candidates, generously; distances are then taken from the differences themselves.
     """
@@ -137,6 +142,8 @@ def nearest_rows(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np
             others = others[rough <= bound]
         gaps = np.sqrt(((rows[others] - queries[i]) ** 2).sum(axis=1))
         best = np.lexsort((ids[others], gaps))[:k]
+        if within is not None:
+            best = best[gaps[best] <= within[i]]
         yield i, others[best], gaps[best]
 
 
@@ -230,7 +237,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
         """Each query with each leaf that it visits: `visits` of them, and more while these hold too few rows."""
         own_tree, own_sizes = shared.value
         for batch in batches:
-            at, leaves = [], []
+            at, leaves, steps = [], [], []
             for i, query in enumerate(_matrix(batch.column("vector"))):
                 seen = 0
                 for step, leaf in enumerate(own_tree.visit(query)):
@@ -238,48 +245,58 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
                         break
                     at.append(i)
                     leaves.append(leaf)
+                    steps.append(step)
                     seen += int(own_sizes[leaf])
             take = pa.array(np.array(at, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(np.array(leaves, np.int64))],
-                ["query_id", "query", "leaf"],
-            )
+            columns = [batch.column("vec_id").take(take), batch.column("vector").take(take)]
+            columns += [pa.array(np.array(x, np.int64)) for x in (leaves, steps)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "query", "leaf", "step"])
+
+    visited = stage_table(queries.mapInArrow(plan, "query_id long, query array<float>, leaf long, step long"), "visits")
+    early = F.col("step") < settings.first_leaves
+    first = stage_table(_meet(index, visited.where(early).withColumn("within", F.lit(float("inf"))), sizes, k, settings), "near")
+    bounds = _top(first, k).groupBy("query_id").agg(F.max("score").alias("within"), F.count("*").alias("n"))
+    bounds = bounds.select("query_id", F.when(F.col("n") == k, F.col("within")).otherwise(float("inf")).alias("within"))
+    late = visited.where(~early).join(bounds, "query_id", "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
+    found = first.unionByName(_meet(index, late, sizes, k, settings))
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    visited = stage_table(queries.mapInArrow(plan, "query_id long, query array<float>, leaf long"), "visits")
+
+def _meet(index: DataFrame, visited: DataFrame, sizes: np.ndarray, k: int, settings: Settings) -> DataFrame:
+    """(query_id, vec_id, score): of each visited leaf and part the k nearest rows that are not farther than `within`."""
     asked = visited.groupBy("leaf").agg(F.count("*").alias("asked"))
     parts = (
-        spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(sizes)), "rows": sizes}))
+        index.sparkSession.createDataFrame(pd.DataFrame({"leaf": np.arange(len(sizes)), "rows": sizes}))
         .join(asked, "leaf")  # as many rows as the tree has leaves
         .select(
             "leaf",
             F.ceil(F.col("rows") / settings.part_rows).alias("row_parts"),
             F.ceil(F.col("asked") / settings.part_queries).alias("query_parts"),
         )
+        .where("row_parts > 0")
     )
     parts = F.broadcast(parts)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
-    candidates = index.join(parts, "leaf").where("row_parts > 0").select(
+    candidates = index.join(parts, "leaf").select(
         "leaf", part("vec_id", "row_parts").alias("rp"), every("query_parts").alias("qp"), "vec_id", "vector"
     )
-    asking = visited.join(parts, "leaf").where("row_parts > 0").select(
-        "leaf", every("row_parts").alias("rp"), part("query_id", "query_parts").alias("qp"), "query_id", "query"
+    asking = visited.join(parts, "leaf").select(
+        "leaf", every("row_parts").alias("rp"), part("query_id", "query_parts").alias("qp"), "query_id", "query", "within"
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not len(left) or not len(right):
             return kind.empty_table()
-        left, right = left.combine_chunks(), right.combine_chunks()
-        ids, own = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
-        rows, asked = (_matrix(t[c].combine_chunks()) for t, c in ((left, "vector"), (right, "query")))
-        found = [(np.full(len(at), own[i]), ids[at], gaps) for i, at, gaps in nearest_rows(asked, rows, ids, own, k)]
+        ids, own, within = left["vec_id"].to_numpy(), right["query_id"].to_numpy(), right["within"].to_numpy()
+        rows, asked = _matrix(left["vector"].combine_chunks()), _matrix(right["query"].combine_chunks())
+        found = [(np.full(len(at), own[i]), ids[at], gaps) for i, at, gaps in nearest_rows(asked, rows, ids, own, k, within)]
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], schema=kind)
 
     groups = ("leaf", "rp", "qp")
-    found = (
+    return (
         candidates.groupBy(*groups)
         .cogroup(asking.groupBy(*groups))
         .applyInArrow(compare, "query_id long, vec_id long, score double")
     )
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

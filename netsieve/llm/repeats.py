@@ -284,6 +284,9 @@ def with_repeats(
     pieces = stage_table(
         keyed.select("id", "digest", "text").mapInArrow(lambda it: _cut_batches(it, length, gram), PIECE), "pieces"
     )
+    # Most anchors stand once: without them everything that follows is smaller.
+    shared = pieces.groupBy("key").count().where("count > 1").select("key")
+    pieces = stage_table(pieces.join(shared, "key", "left_semi"), "shared-pieces")
     classes = stage_table(_classes(pieces), "piece-classes")
     runs = [_covered(pieces, classes, keep)]
     most = classes.agg(F.max("m")).first()[0] or 0
