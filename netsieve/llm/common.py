@@ -29,3 +29,12 @@ def prefix_sums(totals: DataFrame, group: list[str], order: str, value: str, nam
     """
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
+
+
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold few rows, for these are whole texts. The setting is read when a plan runs, so it stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

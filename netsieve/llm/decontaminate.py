@@ -1,6 +1,6 @@
 """Benchmark decontamination: the phrases of test items are searched in FM-indexes of shards of the training texts.
 
-A shard is some megabytes of whole documents inside one task, so nothing is shuffled. Its words become numbers by the
+A shard is about a megabyte of whole documents inside one task, so nothing is shuffled. Its words become numbers by the
 vocabulary of the items; a word that no item has cannot be part of a phrase, and it cuts the sequence. Runs shorter
 than the shortest phrase are left out of the index. All phrases are searched backwards at once through the ranks of a
 wavelet tree; occurrences are located by sampled suffix positions and their spans merged.
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netsieve.llm.common import short_batches
 from netsieve.llm.fm_index import FMIndex
 from netsieve.session import stage_table
 
@@ -25,7 +26,7 @@ TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)
 )
 WORD = re.compile(rb"[^ ]+")
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 FOUND = "struct<n_words long, n_hit long, items array<string>, spans array<struct<start int, stop int>>>"
 
 
@@ -177,6 +178,7 @@ def with_contamination(
     `block_chars` characters, each block in a pass of its own, so that what is broadcast stays within bounds.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     given = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").where("text is not null")
     chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))

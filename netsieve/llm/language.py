@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netsieve.llm.common import short_batches
 from netsieve.llm.toxicity import held_out
 from netsieve.session import stage_table
 
@@ -137,6 +138,7 @@ def with_language(docs: DataFrame, model: Model, into: str = "language") -> Data
     A null text, or one without a letter, is `und` with score 0 and rejected; so is every text if nothing was learned.
     Equal cosines go to the language that sorts first.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")

@@ -24,15 +24,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netsieve.llm.common import short_batches
 from netsieve.llm.suffixes import repeated_starts
 from netsieve.session import stage_table
 
-CHUNK_BITS = 20
+CHUNK_BITS = 18
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = 0xD6E8FEB86659FD93
 #: Bytes of pieces whose suffix order is built at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 SPANS = "array<struct<start int, stop int>>"
 
 
@@ -204,7 +205,7 @@ def _bodies(batches: Iterator[pa.RecordBatch], length: int, low: int) -> Iterato
                 body = text[first : first + windows + length - 1]
                 rows.append((w["key"], at, low, 1, id_, digest, first, windows, body))
                 size += len(body)
-            if size > 8 << 20:
+            if size > 2 << 20:
                 yield _body_batch(rows)
                 rows, size = [], 0
     yield _body_batch(rows)
@@ -280,6 +281,7 @@ def with_repeats(
     if not 1 <= gram <= length < 1 << FIELD:
         raise ValueError(f"lengths must be 1 <= gram <= length < {1 << FIELD}")
     spark = docs.sparkSession
+    short_batches(spark)
     keyed = keyed_documents(docs)
     pieces = stage_table(
         keyed.select("id", "digest", "text").mapInArrow(lambda it: _cut_batches(it, length, gram), PIECE), "pieces"

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.llm.common import text_digest
+from netsieve.llm.common import short_batches, text_digest
 from netsieve.llm.components import connected_components
 from netsieve.session import stage_table
 
@@ -57,6 +57,7 @@ def fingerprint(text: bytes | None, width: int = 4, bits: int = 64) -> np.ndarra
 def with_fingerprints(docs: DataFrame, width: int = 4, bits: int = 64) -> DataFrame:
     """(doc_id, digest, f0, ...) of every row: the fingerprint in words of 64 bits."""
     names = [f"f{i}" for i in range(bits // 64)]
+    short_batches(docs.sparkSession)
 
     @F.arrow_udf(", ".join(f"{n} long" for n in names))
     def simhash(texts: pa.Array) -> pa.Array:

@@ -18,6 +18,8 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netsieve.llm.common import short_batches
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that the public vocabulary was made with. A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -158,6 +160,7 @@ def with_edited_counts(
     out of bounds, or overlapping an earlier one, are left out. `n_encoded` is the number of pre-tokens encoded for them.
     A null text counts as empty and null edits as none. The vocabulary, of some 50,000 entries, is broadcast.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     made: list[Counter] = []
     names = ["n_tokens", "n_edits", "n_tokens_edited", "n_pretokens", "n_encoded", "n_chars_edited"]

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netsieve.llm.common import short_batches
 from netsieve.llm.decontaminate import words_of
 
 BITS = 20
@@ -92,7 +93,7 @@ def _train_rows(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterat
     for batch in batches:
         texts, labels = batch.column("text").cast(pa.large_binary()), batch.column("label").to_pylist()
         for order, text, label in zip(batch.column("place").to_pylist(), texts, labels):
-            rows.append((order, np.unique(features(text.as_py())), label))
+            rows.append((order, np.unique(features(text.as_py())).astype(np.int32), label))
     rows.sort(key=lambda r: r[0])  # the same weights however rows arrive
     at, weights = train([r[1:] for r in rows], settings)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights)], ["at", "weight"])
@@ -122,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.concat_ws(" ", *[place[n].cast("string") for n in ("h", "doc_id", "t")]).alias("place"), "text", "label"
     )
+    short_batches(docs.sparkSession)
     rows = sample.repartition(1).limit(settings.max_rows).mapInArrow(lambda it: _train_rows(it, settings), "at long, weight double")
     found = rows.toPandas()
     return found["at"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
@@ -129,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def with_score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], into: str = "score") -> DataFrame:
     """`docs` with a column of scores from 0 to 1; a null or empty text is scored by the bias alone."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")

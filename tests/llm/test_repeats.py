@@ -119,8 +119,8 @@ def test_cut_keeps_characters_whole(spark):
 
 def test_long_text_over_chunks(spark):
     rng = random.Random(4)
-    long = "".join(rng.choice("abcdefgh") for _ in range(1_200_000))
-    docs = spark.createDataFrame([(1, long), (2, long[1_048_300:1_048_900])], "doc_id long, text string")
+    long = "".join(rng.choice("abcdefgh") for _ in range(600_000))
+    docs = spark.createDataFrame([(1, long), (2, long[261_900:262_500])], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in repeat_report(docs).collect()}
     assert got == {1: 600, 2: 600}
 
