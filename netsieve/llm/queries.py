@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from netsieve.llm.common import table
 from netsieve.llm.decontaminate import contamination_report, names_digest
 from netsieve.llm.language import identify_languages
+from netsieve.llm.licenses import license_report
 from netsieve.llm.mixing import mix_sources
 from netsieve.llm.neighbours import search
 from netsieve.llm.repeats import repeat_report
 from netsieve.llm.simhash import near_duplicates
+from netsieve.llm.token_counts import DEFAULT_RANKS, masking_edits, read_ranks, with_edited_counts
 from netsieve.llm.toxicity import score_documents
 from netsieve.llm.url_filter import judge_urls
 
@@ -166,3 +168,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+#: What personal data look like, and what takes its place: addresses of mail and hosts, long numbers.
+MASKS = [(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<mail>"), (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<host>"), (r"\d{7,}", "<number>")]
+
+
+@query("op7_edited_token_counts")
+def op7_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after personal data in it are masked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = with_edited_counts(docs, masking_edits(MASKS)("text"), read_ranks(DEFAULT_RANKS))
+    return counted.select("doc_id", "counts.*")
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
