@@ -227,16 +227,23 @@ def q_path_splits(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), path_split(path).alias("split"))
 
 
+_FINGERPRINTED = ("doc_id", "text", "lang", "source", "n_chars")
+_MARKED_SQL = " || ".join(
+    f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in _FINGERPRINTED
+)
+_PARTS_SQL = " || '|' || ".join(
+    f"coalesce(sum(('0x' || substr(h, {1 + 16 * i}, 16))::UBIGINT::HUGEINT), 0)::VARCHAR" for i in range(4)
+)
+
+
 @query(
     "table_fingerprint",
-    """
-    WITH r AS (SELECT sha256(doc_id || '|' || lang || '|' || source || '|' || n_chars) AS h FROM documents),
-    c AS (SELECT h, count(*) AS n FROM r GROUP BY 1),
-    p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS ph, sum(n) AS n FROM c GROUP BY 1)
-    SELECT sha256(string_agg(ph, ',' ORDER BY p)) AS fingerprint, sum(n)::BIGINT AS rows FROM p""",
+    f"""
+    WITH r AS (SELECT sha256({_MARKED_SQL}) AS h FROM documents)
+    SELECT sha256(count(*)::VARCHAR || '|' || {_PARTS_SQL}) AS fingerprint, count(*) AS rows FROM r""",
 )
 def q_fingerprint(spark, sf_dir):
-    return it.fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "n_chars"])
+    return it.fingerprint(table(spark, sf_dir, "documents"), list(_FINGERPRINTED))
 
 
 # --- result documents -------------------------------------------------------------------------------

@@ -383,10 +383,10 @@ ru AS (
 @query(
     "run_ranking",
     f"""WITH {_RUNS_SQL} SELECT * FROM ru WHERE status <> 'ERROR' ORDER BY binary_mcc DESC NULLS LAST,
-        balanced_accuracy DESC, ood_auroc DESC, ood_recall DESC, known_frr LIMIT 10""",
+        balanced_accuracy DESC, ood_auroc DESC, ood_recall DESC, known_frr, run""",
 )
 def q_ranking_runs(spark, sf_dir):
-    return runs.rank_runs(order_runs(spark, sf_dir)).limit(10)
+    return runs.rank_runs(order_runs(spark, sf_dir))
 
 
 @query(

@@ -45,7 +45,7 @@ from netsieve.operators.mahalanobis import (
 )
 from netsieve.operators.moments import mean_cov
 from netsieve.operators.pca import fit_pca, project
-from netsieve.operators.quantiles import fit_quantiles, gaussianise
+from netsieve.operators.quantiles import fit_quantiles, gaussianise, landmarks
 from netsieve.operators.sessions import build_sessions
 from netsieve.operators.tensors import to_scaled_image
 from netsieve.plans.open_set import ShieldSettings, decide, evaluate_open_set, lambda_grid, with_truth
@@ -121,9 +121,8 @@ q AS (SELECT dim, unnest(qs) AS q, generate_subscripts(qs, 1) - 1 AS j FROM g)
     f"WITH {_MARKS_SQL} SELECT CAST(dim AS INTEGER) AS dim, CAST(j AS INTEGER) AS j, round(q, 6) AS q FROM q",
 )
 def q_landmarks(spark, sf_dir):
-    marks = fit_quantiles(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", quantiles=_QUANTILES)
-    rows = [(d, j, float(marks[d, j])) for d in range(marks.shape[0]) for j in range(marks.shape[1])]
-    return spark.createDataFrame(rows, "dim int, j int, q double").withColumn("q", r6("q"))
+    marks = landmarks(table(spark, sf_dir, "embeddings"), "embedding", _QUANTILES)
+    return marks.select("dim", F.posexplode("q").alias("j", "q")).withColumn("q", r6("q"))
 
 
 def _poly(coefficients, x: str) -> str:

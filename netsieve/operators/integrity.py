@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from netsieve.functions.paths import CHECKSUM_LINE, is_data_path, line_digest, line_path, path_split
 from netsieve.schemas import SPLITS
 
-FINGERPRINT_DIGITS = 3
-
 
 def parse_manifest(lines: DataFrame, root: str = "data/processed/", suffix: str = ".hdf5") -> DataFrame:
     """Classify checksum lines (line_no, line): status ok, bad_format, duplicate or other_path.
@@ -119,19 +117,22 @@ def build_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -
     return joined.select("path", "size_bytes", F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"), "sha256")
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], digits: int = FINGERPRINT_DIGITS) -> DataFrame:
-    """One hash of a table, independent of row order: sorted row hashes, hashed per prefix, hashed again.
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One hash of a table and its row count, independent of row order; repeated rows count.
 
-    Two levels keep every list short; the prefix count grows 16-fold with each digit.
+    A row is the texts of its columns, each after its length in bytes, with `-` for null, so that no two rows look
+    alike. The four 64-bit parts of the row hashes are summed, which keeps a constant state that combines before the
+    shuffle; the sums and the count are hashed again.
     """
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    counted = df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    text = F.concat_ws(":", "h", F.col("n").cast("string"))
-    parts = counted.groupBy(F.substring("h", 1, digits).alias("p")).agg(
-        F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(text))), 256).alias("ph"), F.sum("n").alias("n")
+    texts = [F.col(c).cast("string") for c in columns]
+    marked = F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+    row = df.select(F.sha2(marked, 256).alias("h"))
+    parts = [F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(28,0)") for i in range(4)]
+    sums = row.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i, p in enumerate(parts)]
     )
-    joined = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("p", "ph"))), lambda s: s["ph"]))
-    return parts.agg(F.sha2(joined, 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    joined = F.concat_ws("|", *[F.col(c).cast("string") for c in ("rows", "s0", "s1", "s2", "s3")])
+    return sums.select(F.sha2(joined, 256).alias("fingerprint"), "rows")
 
 
 def split_violations(

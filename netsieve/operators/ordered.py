@@ -17,7 +17,6 @@ from netsieve.session import shuffle_width
 
 SMALL_SIDE_ROWS = 100_000
 MAX_BUCKETS = 4096
-GROUP_ROWS = 1 << 20
 
 
 def small_rows(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame | None:
@@ -95,28 +94,16 @@ def running_totals(
     return out.drop("_bucket", *[f"_{p}_{s}" for s in sums for p in ("c", "o")])
 
 
-def group_medians(df: DataFrame, group: Sequence[str], value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Exact count `n`, lower median and midpoint median of `value` per group.
+def group_medians(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Exact count `n`, lower median and midpoint median of the non-null values of each group.
 
-    The built-in percentiles keep every distinct value of a group in one task, so they serve only while
-    the largest group is checked to have at most `group_rows` rows.
+    The built-in percentiles keep every distinct value of a group in one task. Here bucket counts locate the one or two
+    buckets that hold the middle ranks, and only their rows are shuffled and ordered. Groups of nulls have no row.
     """
     group = list(group)
-    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if largest is not None and largest > group_rows:
-        return _bucketed_medians(df, group, value)
-    return df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}`)").alias("lower_median"),
-        F.median(value).alias("median"),
-    )
-
-
-def _bucketed_medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Medians of large groups: bucket counts locate the one or two buckets that hold the middle ranks, and
-    only their rows are shuffled and ordered."""
-    points = split_points(df, value)
-    cut = with_bucket(df.select(*group, value), value, points)
+    rows = df.select(*group, value).where(F.col(value).isNotNull())
+    points = split_points(rows, value)
+    cut = with_bucket(rows, value, points)
     counts = cut.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*group)
     running = counts.select(

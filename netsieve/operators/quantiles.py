@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from netsieve.functions.gaussian import EDGE, inverse_normal
 from netsieve.functions.hashing import stable_fraction
 from netsieve.operators.moments import matrix_of
+from netsieve.operators.ordered import running_totals
 from netsieve.operators.pca import list_array
 
 
@@ -31,33 +32,45 @@ def seeded_sample(df: DataFrame, id_column: str, size: int, seed: int = 42) -> D
 
 
 def landmarks(df: DataFrame, vector: str, quantiles: int) -> DataFrame:
-    """(dim, q): `quantiles` evenly spaced, linearly interpolated quantiles of each component of a sample."""
+    """(dim, q): `quantiles` evenly spaced, linearly interpolated quantiles of each component, over all rows.
+
+    Equal values are counted first; running totals then give each distinct value the ranks that it holds, and it sends
+    on only the quantiles that stand next to these ranks.
+    """
     if quantiles < 2:
         raise ValueError("at least two quantiles are needed")
-    per_dim = (
-        df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
-        .groupBy("dim")
-        .agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    steps = quantiles - 1
+    values = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
+    counts = values.groupBy("dim", "x").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_totals(counts, "x", ["c"], ["dim"]).select(
+        "dim", "x", (F.col("cum_c") - F.col("c")).alias("first"), (F.col("cum_c") - 1).alias("last"), (F.col("total_c") - 1).alias("top")
     )
-
-    def at(j: Column) -> Column:
-        place = j * (F.size("xs") - 1) / F.lit(float(quantiles - 1))
-        low = F.floor(place).cast("int")
-        a, b = F.get("xs", low), F.get("xs", F.least(low + 1, F.size("xs") - 1))
-        return a + (b - a) * (place - low)
-
-    return per_dim.select("dim", F.transform(F.sequence(F.lit(0), F.lit(quantiles - 1)), at).alias("q"))
+    # Quantile j lies between the ranks low = j * top div steps and low + 1.
+    low = F.expr(f"j * top div {steps}")
+    begin = F.when(F.col("top") == 0, 0).otherwise(F.expr(f"greatest(0, (first - 1) * {steps} div top)"))
+    end = F.when(F.col("top") == 0, steps).otherwise(F.expr(f"least({steps}, ((last + 1) * {steps}) div top)"))
+    near = ranked.withColumn("j", F.explode(F.sequence(begin.cast("long"), end.cast("long")))).withColumn("low", low)
+    high = F.least(F.col("low") + 1, F.col("top"))
+    picked = near.groupBy("dim", "j").agg(
+        F.max(F.when(F.col("low").between(F.col("first"), F.col("last")), F.col("x"))).alias("a"),
+        F.max(F.when(high.between(F.col("first"), F.col("last")), F.col("x"))).alias("b"),
+        F.max(F.expr(f"(j * top % {steps}) / {steps}D")).alias("part"),
+    )
+    marks = picked.select("dim", "j", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("v"))
+    ordered = F.sort_array(F.collect_list(F.struct("j", "v")))
+    return marks.groupBy("dim").agg(ordered.alias("s")).select("dim", F.transform("s", lambda s: s["v"]).alias("q"))
 
 
 def fit_quantiles(
-    df: DataFrame, vector: str, id_column: str, quantiles: int = 10_000, sample: int = 100_000, seed: int = 42
+    df: DataFrame, vector: str, id_column: str, quantiles: int = 10_000, sample: int | None = None, seed: int = 42
 ) -> np.ndarray:
-    """Landmark matrix (dim, quantile) from a bounded seeded sample of the training rows."""
-    if sample < 2:
+    """Landmark matrix (dim, quantile) from all training rows, or on demand from a bounded seeded sample of them."""
+    if sample is not None and sample < 2:
         raise ValueError("at least two sampled rows are needed")
-    subset = seeded_sample(df.select(id_column, vector), id_column, sample, seed)
-    rows = min(quantiles, subset.count())
-    return np.array([r["q"] for r in landmarks(subset, vector, rows).orderBy("dim").collect()])
+    rows = df.select(id_column, vector)
+    subset = rows if sample is None else seeded_sample(rows, id_column, sample, seed)
+    count = min(quantiles, subset.count())
+    return np.array([r["q"] for r in landmarks(subset, vector, count).orderBy("dim").collect()])
 
 
 def cdf(x: np.ndarray, marks: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ class ShieldSettings:
     max_frr: float = 0.10
     epsilon: float = RIDGE_EPSILON
     quantiles: int = 10_000
-    sample: int = 100_000
+    sample: int | None = None  # all training rows
     seed: int = 42
     known: Mapping[str, int] = field(default_factory=lambda: dict(KNOWN_CLASSES))
     unknown: Mapping[str, int] = field(default_factory=lambda: dict(UNKNOWN_CLASSES))
@@ -57,7 +57,7 @@ class ShieldSettings:
             raise ValueError("the rejection cap must be in [0, 1]")
         if self.epsilon <= 0:
             raise ValueError("the ridge must be positive")
-        if self.quantiles < 2 or self.sample < 2:
+        if self.quantiles < 2 or (self.sample is not None and self.sample < 2):
             raise ValueError("quantiles and sample must be at least 2")
 
 

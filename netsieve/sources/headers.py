@@ -36,7 +36,6 @@ PROTO_UDP = 17
 EXTENSION_HEADERS = (0, 43, 44, 51, 60)
 FRAGMENT_HEADER = 44
 AUTH_HEADER = 51
-MAX_EXTENSIONS = 8
 FLAG_FIN = 0x01
 FLAG_RST = 0x04
 
@@ -100,8 +99,9 @@ class Frames:
 def decode_batch(frames: Frames, with_ports_only: bool, extras: Sequence[str]) -> tuple[dict[str, pa.Array], np.ndarray]:
     """Decoded columns of a batch and the mask of the rows to keep."""
     at, kind = np.full(len(frames.length), ETHERNET_HEADER), frames.number(12, 2)
-    for _ in range(2):
-        at = at + 4 * np.isin(kind, TYPES_VLAN)
+    # Each tag moves on by four bytes, and reads past the end give 0, so the length of the frame ends the walk.
+    while (tagged := np.isin(kind, TYPES_VLAN)).any():
+        at = at + 4 * tagged
         kind = frames.number(at - 2, 2)
     short = frames.length < ETHERNET_HEADER
     v4, v6 = ~short & (kind == TYPE_IPV4), ~short & (kind == TYPE_IPV6)
@@ -110,10 +110,8 @@ def decode_batch(frames: Frames, with_ports_only: bool, extras: Sequence[str]) -
     portless = v4 & ((frames.number(at + 6, 2) & 0x1FFF) > 0)
     proto = frames.number(at + np.where(v4, 9, 6), 1)
     pos = np.where(v4, at + (frames.number(at, 1) & 0x0F) * 4, at + 40)
-    for _ in range(MAX_EXTENSIONS):
-        walk = v6 & ~portless & np.isin(proto, EXTENSION_HEADERS)
-        if not walk.any():
-            break
+    # Every extension header has eight bytes at least, and one that goes over the end stops its frame.
+    while (walk := v6 & ~portless & np.isin(proto, EXTENSION_HEADERS)).any():
         units, fragment = frames.number(pos + 1, 1), proto == FRAGMENT_HEADER
         size = np.where(fragment, 8, np.where(proto == AUTH_HEADER, (units + 2) * 4, (units + 1) * 8))
         portless |= walk & ((fragment & (frames.number(pos + 2, 2) >> 3 > 0)) | (pos + 8 > frames.length))

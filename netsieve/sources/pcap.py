@@ -25,7 +25,6 @@ MAGICS = {
 }
 FILE_HEADER = 24
 RECORD_HEADER = 16
-MAX_FRAME = 1 << 26
 BATCH_ROWS = 4096
 
 FRAME_SCHEMA = pa.schema(
@@ -61,9 +60,6 @@ def read_frames(stream) -> Iterator[tuple[int, int | None, bytes | None, str | N
             yield number, None, None, "NeedData: truncated record header"
             return
         seconds, fraction, stored, _ = struct.unpack(order + "IIII", raw)
-        if stored > MAX_FRAME:
-            yield number, None, None, f"ValueError: record of {stored} bytes"
-            return
         frame = stream.read(stored)
         if len(frame) < stored:
             yield number, None, None, "NeedData: truncated record"
