@@ -203,6 +203,12 @@ KNOWN = {"Benign": 0, "DoS": 1, "DDoS": 2}
 UNKNOWN = {"Botnet": 3, "Web_Attack": 4}
 
 
+def folded_logits(embedding: Column) -> Column:
+    """Three logits from all components: every third one is added to the same logit."""
+    third = lambda c: F.filter(embedding, lambda x, i: i % 3 == c)
+    return F.array(*[F.aggregate(third(c), F.lit(0.0), lambda a, x: a + x.cast("double")) for c in range(3)])
+
+
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels 0-6 fold into three known classes, 7-9 into two unknown ones; the split follows the row id."""
     raw = F.col("label")
@@ -211,8 +217,7 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("vec_id").alias("id"),
         F.when(known, raw % 3).when(raw <= 8, 3).otherwise(4).cast("int").alias("label"),
-        argmax_class(F.slice("embedding", 1, 3)).alias("pred"),
-        F.slice("embedding", 1, 2).alias("plane"),
+        argmax_class(folded_logits(F.col("embedding"))).alias("pred"),
         "embedding",
         F.concat(F.lit("kind-"), raw).alias("attack_subtype"),
         route_split(
@@ -221,14 +226,15 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LOGIT = "list_sum(list_transform(range({0} + 1, len(embedding) + 1, 3), lambda i: embedding[i]::DOUBLE))"
+
 SCORED_SQL = f"""
+sc0 AS (SELECT *, {_LOGIT.format(0)} AS l0, {_LOGIT.format(1)} AS l1, {_LOGIT.format(2)} AS l2 FROM embeddings),
 sc AS (
   SELECT vec_id AS id,
          CAST(CASE WHEN label <= 6 THEN label % 3 WHEN label <= 8 THEN 3 ELSE 4 END AS INTEGER) AS label,
-         CASE WHEN embedding[1] >= embedding[2] AND embedding[1] >= embedding[3] THEN 0
-              WHEN embedding[2] >= embedding[3] THEN 1 ELSE 2 END AS pred,
-         embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding,
+         CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS pred, embedding,
          'kind-' || label AS attack_subtype,
          {route_sql('CAST(vec_id AS VARCHAR)', 'label > 6')} AS split
-  FROM embeddings)
+  FROM sc0)
 """

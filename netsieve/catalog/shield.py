@@ -49,7 +49,7 @@ from netsieve.operators.quantiles import fit_quantiles, gaussianise, landmarks
 from netsieve.operators.sessions import build_sessions
 from netsieve.operators.tensors import to_scaled_image
 from netsieve.plans.open_set import ShieldSettings, decide, evaluate_open_set, lambda_grid, with_truth
-from netsieve.session import materialize
+from netsieve.session import stage_table
 
 LAMBDAS = (1.0, 1.25, 2.0, 4.5)
 LAM = 1.25
@@ -158,17 +158,33 @@ def q_gaussianised(spark, sf_dir):
     return g.select("vec_id", r6(total, 4).alias("total"), r6(F.array_max("g"), 4).alias("top"))
 
 
-# --- class profiles in the plane of the first two components ----------------------------------------
+# --- class profiles over all components ------------------------------------------------------------
 
+# The inverse of each ridged covariance by elimination of [matrix | identity], one column a step. The matrices are
+# symmetric and positive, so no rows change places.
 _PROFILE_SQL = f"""
 {SCORED_SQL},
-cp AS (
-  SELECT label AS c, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-5::DOUBLE AS a, covar_samp(x, y) AS b,
-    var_samp(y) + 1e-5::DOUBLE AS d
-  FROM sc WHERE split = 'train_known' GROUP BY label),
-pf AS (SELECT c, n, mx, my, d / (a * d - b * b) AS ixx, -b / (a * d - b * b) AS ixy, a / (a * d - b * b) AS iyy FROM cp),
+tr AS (SELECT id, label AS c, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM sc WHERE split = 'train_known'),
+mu AS (SELECT c, list(m ORDER BY i) AS mu, any_value(n) AS n FROM (SELECT c, i, avg(x) AS m, count(*) AS n FROM tr GROUP BY c, i) GROUP BY c),
+cv AS (
+  SELECT a.c, a.i, b.i AS j, covar_samp(a.x, b.x) + CASE WHEN a.i = b.i THEN 1e-5::DOUBLE ELSE 0 END AS v
+  FROM tr a JOIN tr b ON a.id = b.id GROUP BY a.c, a.i, b.i),
+cr AS (SELECT c, i, list(v ORDER BY j) AS r FROM cv GROUP BY c, i),
+c0 AS (
+  SELECT c, list(list_concat(r, list_transform(range(1, len(r) + 1), lambda j: (j = i)::INTEGER::DOUBLE)) ORDER BY i) AS m, count(*) AS d
+  FROM cr GROUP BY c),
+el AS (
+  WITH RECURSIVE gj AS (
+    SELECT c, d, 1 AS k, m FROM c0
+    UNION ALL
+    SELECT c, d, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda v, j: v - r[k] * p[j]) END)
+    FROM (SELECT *, list_transform(m[k], lambda v: v / m[k][k]) AS p FROM gj WHERE k <= d))
+  SELECT c, d, m FROM gj WHERE k = d + 1),
+pf AS (SELECT c, n, mu, list_transform(m, lambda r: r[d + 1 : 2 * d]) AS inv FROM el JOIN mu USING (c)),
+df AS (
+  SELECT sc.*, pf.c, inv, list_transform(embedding, lambda v, i: v::DOUBLE - mu[i]) AS diff FROM sc, pf),
 ds AS (
-  SELECT sc.*, pf.c, ixx * (x - mx) * (x - mx) + 2 * ixy * (x - mx) * (y - my) + iyy * (y - my) * (y - my) AS d2 FROM sc, pf),
+  SELECT * EXCLUDE (inv, diff), list_sum(list_transform(inv, lambda r, i: diff[i] * list_dot_product(r, diff))) AS d2 FROM df),
 nc AS (
   SELECT id, any_value(label) AS label, any_value(pred) AS pred, any_value(split) AS split, any_value(attack_subtype) AS attack_subtype,
     min(d2) AS distance, arg_min(c, d2) AS winner FROM ds GROUP BY id),
@@ -181,42 +197,42 @@ ta AS (SELECT lam, label AS c, med + lam * mad AS tau FROM ca, lm)
 """
 
 
-def plane_profiles(spark, sf_dir) -> tuple[DataFrame, Profiles]:
+def class_fit(spark, sf_dir) -> tuple[DataFrame, Profiles]:
     rows = scored_rows(spark, sf_dir)
-    return rows, fit_profiles(rows.where("split = 'train_known'"), "plane", "label", CLASSES)
+    return rows, fit_profiles(rows.where("split = 'train_known'"), "embedding", "label", CLASSES)
 
 
-def plane_distances(spark, sf_dir) -> tuple[DataFrame, Profiles]:
-    rows, profiles = plane_profiles(spark, sf_dir)
-    near = rows.withColumn("near", nearest_class("plane", profiles))
-    return near.select("id", "label", "pred", "split", "attack_subtype", "plane", "near.distance", "near.winner"), profiles
+def class_distances(spark, sf_dir) -> tuple[DataFrame, Profiles]:
+    rows, profiles = class_fit(spark, sf_dir)
+    near = rows.withColumn("near", nearest_class("embedding", profiles))
+    return near.select("id", "label", "pred", "split", "attack_subtype", "embedding", "near.distance", "near.winner"), profiles
 
 
-def plane_calibration(spark, sf_dir) -> tuple[DataFrame, dict[int, Calibration]]:
-    rows, profiles = plane_distances(spark, sf_dir)
-    val = rows.where("split = 'val_known'").select("label", assigned_distance("plane", "label", profiles).alias("own"))
-    return rows, calibrate(materialize(val), CLASSES, "label", "own")
+def class_calibration(spark, sf_dir) -> tuple[DataFrame, dict[int, Calibration]]:
+    rows, profiles = class_distances(spark, sf_dir)
+    val = rows.where("split = 'val_known'").select("label", assigned_distance("embedding", "label", profiles).alias("own"))
+    return rows, calibrate(stage_table(val, "own-distances"), CLASSES, "label", "own")
 
 
 @query(
     "class_profiles",
-    f"""WITH {_PROFILE_SQL} SELECT c AS label, n, round(mx, 6) AS cx, round(my, 6) AS cy, round(ixx, 5) AS ixx,
-        round(ixy, 5) AS ixy, round(iyy, 5) AS iyy FROM pf WHERE c <= 2""",
+    f"""WITH {_PROFILE_SQL} SELECT c AS label, n, CAST(i - 1 AS INTEGER) AS i, round(mu[i], 6) AS centroid, round(inv[i][i], 3) AS diagonal,
+        round(list_sum(inv[i]), 3) AS row_sum FROM (SELECT *, unnest(range(1, len(mu) + 1)) AS i FROM pf WHERE c <= 2)""",
 )
 def q_profiles(spark, sf_dir):
-    _, p = plane_profiles(spark, sf_dir)
+    _, p = class_fit(spark, sf_dir)
     rows = [
-        (c, p.counts[c], *map(float, p.centroids[c]), float(p.inverses[c][0, 0]), float(p.inverses[c][0, 1]), float(p.inverses[c][1, 1]))
+        (c, p.counts[c], i, float(p.centroids[c][i]), float(p.inverses[c][i, i]), float(p.inverses[c][i].sum()))
         for c in p.classes
+        for i in range(len(p.centroids[c]))
     ]
-    df = spark.createDataFrame(rows, "label int, n long, cx double, cy double, ixx double, ixy double, iyy double")
-    rounded = [r6(c).alias(c) for c in ("cx", "cy")] + [r6(c, 5).alias(c) for c in ("ixx", "ixy", "iyy")]
-    return df.select("label", "n", *rounded)
+    df = spark.createDataFrame(rows, "label int, n long, i int, centroid double, diagonal double, row_sum double")
+    return df.select("label", "n", "i", r6("centroid").alias("centroid"), *[r6(c, 3).alias(c) for c in ("diagonal", "row_sum")])
 
 
 @query("nearest_class", f"WITH {_PROFILE_SQL} SELECT id, round(distance, 6) AS distance, winner FROM nc")
 def q_nearest(spark, sf_dir):
-    rows, _ = plane_distances(spark, sf_dir)
+    rows, _ = class_distances(spark, sf_dir)
     return rows.select("id", r6("distance").alias("distance"), "winner")
 
 
@@ -225,9 +241,9 @@ def q_nearest(spark, sf_dir):
     f"WITH {_PROFILE_SQL} SELECT id, round(d2, 6) AS distance FROM ds WHERE c = label AND label <= 2",
 )
 def q_assigned(spark, sf_dir):
-    rows, profiles = plane_profiles(spark, sf_dir)
+    rows, profiles = class_fit(spark, sf_dir)
     known = rows.where("label <= 2")
-    return known.select("id", r6(assigned_distance("plane", "label", profiles)).alias("distance"))
+    return known.select("id", r6(assigned_distance("embedding", "label", profiles)).alias("distance"))
 
 
 @query(
@@ -235,7 +251,7 @@ def q_assigned(spark, sf_dir):
     f"WITH {_PROFILE_SQL} SELECT label, n, round(med, 6) AS median, round(mad, 6) AS mad FROM ca",
 )
 def q_calibration(spark, sf_dir):
-    _, cal = plane_calibration(spark, sf_dir)
+    _, cal = class_calibration(spark, sf_dir)
     df = spark.createDataFrame(
         [(c, v.count, v.median, v.mad) for c, v in cal.items()], "label int, n long, median double, mad double"
     )
@@ -247,7 +263,7 @@ def q_calibration(spark, sf_dir):
     f"""WITH {_PROFILE_SQL} SELECT lam AS "lambda", c AS label, round(tau, 6) AS threshold FROM ta""",
 )
 def q_thresholds(spark, sf_dir):
-    _, cal = plane_calibration(spark, sf_dir)
+    _, cal = class_calibration(spark, sf_dir)
     rows = [(lam, c, t) for lam in LAMBDAS for c, t in thresholds_for(cal, lam).items()]
     return spark.createDataFrame(rows, "lambda double, label int, threshold double").withColumn("threshold", r6("threshold"))
 
@@ -267,7 +283,7 @@ sw AS (
     FROM sw JOIN ta ON ta.lam = sw.lam AND ta.c = sw.label GROUP BY 1, 2""",
 )
 def q_sweep_by_class(spark, sf_dir):
-    rows, cal = plane_calibration(spark, sf_dir)
+    rows, cal = class_calibration(spark, sf_dir)
     out = sweep_by_class(rows.where("split = 'val_known'"), cal, LAMBDAS)
     return out.withColumn("threshold", r6("threshold"))
 
@@ -282,7 +298,7 @@ def q_sweep_by_class(spark, sf_dir):
     FROM sw GROUP BY lam""",
 )
 def q_lambda_sweep(spark, sf_dir):
-    rows, cal = plane_calibration(spark, sf_dir)
+    rows, cal = class_calibration(spark, sf_dir)
     names = {i: n for n, i in KNOWN.items()}
     out = sweep_lambda(sweep_by_class(rows.where("split = 'val_known'"), cal, LAMBDAS), 0.3, names)
     return out.select(
@@ -302,7 +318,7 @@ te AS (
 
 def test_rows(rows: DataFrame) -> DataFrame:
     """Distances of the test rows with their binary truth."""
-    return with_truth(rows.where("split = 'test_known'"), rows.where("split = 'test_ood'")).drop("plane")
+    return with_truth(rows.where("split = 'test_known'"), rows.where("split = 'test_ood'")).drop("embedding")
 
 
 @query(
@@ -311,7 +327,7 @@ def test_rows(rows: DataFrame) -> DataFrame:
         FROM te WHERE lam = {LAM}""",
 )
 def q_decisions(spark, sf_dir):
-    rows, cal = plane_calibration(spark, sf_dir)
+    rows, cal = class_calibration(spark, sf_dir)
     out = decide(test_rows(rows), cal, LAM)
     return out.select(
         "id", r6("score").alias("score"), "rejected",
@@ -326,10 +342,10 @@ def q_decisions(spark, sf_dir):
 )
 def q_legacy(spark, sf_dir):
     """Class 2 is left uncalibrated, so it never rejects."""
-    rows, profiles = plane_profiles(spark, sf_dir)
-    val = rows.where("split = 'val_known'").select("label", assigned_distance("plane", "label", profiles).alias("own"))
+    rows, profiles = class_fit(spark, sf_dir)
+    val = rows.where("split = 'val_known'").select("label", assigned_distance("embedding", "label", profiles).alias("own"))
     tau = thresholds_for(calibrate(val.where("label <> 2"), [0, 1, 2], "label", "own", skip_empty=True), LAM)
-    measured = rows.select("id", "pred", assigned_distance("plane", "pred", profiles, legacy=True).alias("distance"))
+    measured = rows.select("id", "pred", assigned_distance("embedding", "pred", profiles, legacy=True).alias("distance"))
     return measured.select(
         "id", r6("distance").alias("distance"), legacy_rejected(F.col("distance"), F.col("pred"), tau).alias("rejected")
     )
@@ -361,7 +377,7 @@ def _rounded(df: DataFrame, plain: tuple[str, ...]) -> DataFrame:
     f"""WITH {_TEST_SQL}, kn AS (SELECT * FROM te WHERE truth = 0) SELECT {_degradation_sql(str(LAM))} FROM kn WHERE lam = {LAM}""",
 )
 def q_degradation(spark, sf_dir):
-    rows, cal = plane_calibration(spark, sf_dir)
+    rows, cal = class_calibration(spark, sf_dir)
     out = known_degradation(decide(test_rows(rows), cal, LAM).where("truth = 0")).drop("mcc_delta")
     return _rounded(out, ("known_total", "known_rejected"))
 
@@ -375,7 +391,7 @@ def q_degradation(spark, sf_dir):
     FROM te WHERE truth = 1 AND lam = {LAM} GROUP BY 1""",
 )
 def q_unknown_breakdown(spark, sf_dir):
-    rows, cal = plane_calibration(spark, sf_dir)
+    rows, cal = class_calibration(spark, sf_dir)
     unknown = decide(test_rows(rows), cal, LAM).where("truth = 1")
     out = det.unknown_breakdown(unknown, "attack_subtype")
     return _rounded(out, ("attack_subtype", "support", "detected_as_ood"))
@@ -396,8 +412,8 @@ def q_unknown_breakdown(spark, sf_dir):
     FROM bi JOIN au USING (lam) JOIN kd USING (lam)""",
 )
 def q_lambda_grid(spark, sf_dir):
-    rows, cal = plane_calibration(spark, sf_dir)
-    out = lambda_grid(materialize(test_rows(rows)), cal, LAMBDAS).select(
+    rows, cal = class_calibration(spark, sf_dir)
+    out = lambda_grid(stage_table(test_rows(rows), "test-distances"), cal, LAMBDAS).select(
         "lambda", "tn", "fp", "fn", "tp", "ood_recall", "balanced_accuracy", "auroc", "known_total", "known_rejected",
         "geometry_agreement", "geometric_accuracy", "mcc_before_shield", "mcc_after_shield",
     )
