@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from netsieve.catalog.base import (
     DAY_S,
-    DAY_US,
     EVENT_ORDER,
     PACKETS_SQL,
     SESSION_ROWS_SQL,
@@ -19,7 +18,7 @@ from netsieve.catalog.ingestion import event_sessions
 from netsieve.operators.integrity import build_manifest
 from netsieve.session import scratch_path
 from netsieve.sources import results, sessions as store
-from netsieve.streaming.sessionizer import run_available, sessionize_stream
+from netsieve.streaming.sessionizer import numbered_sessions, run_available, sessionize_stream
 
 # Fixed list of the tables that come one file each.
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
@@ -86,21 +85,16 @@ def q_file_manifest(spark, sf_dir):
 @query(
     "streaming_sessions",
     f"""
-    WITH {PACKETS_SQL}, {SESSION_ROWS_SQL},
-    l AS (SELECT source_capture, canonical_tuple, session_instance, arg_max(is_teardown, packet_rank) AS torn,
-            max(session_instance) OVER (PARTITION BY source_capture, canonical_tuple) AS last_instance
-          FROM w3 GROUP BY source_capture, canonical_tuple, session_instance)
+    WITH {PACKETS_SQL}, {SESSION_ROWS_SQL}
     SELECT source_capture, canonical_tuple, session_instance, start_ts_us, end_ts_us, observed_packets, captured_packets,
-      label, attack_subtype
-    FROM se JOIN l USING (source_capture, canonical_tuple, session_instance)
-    WHERE torn OR session_instance < last_instance OR end_ts_us + {DAY_US} < (SELECT max(ts_us) FROM pl) - 2000""",
+      label, attack_subtype FROM se""",
 )
 def q_streaming_sessions(spark, sf_dir):
-    """Sessions that close while the table runs through the stream; the ones still open at its end stay in state."""
+    """All sessions of the table run through the stream: the closed ones, and those still open at its end."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(path + "*")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path + "*")
     packets = event_packets(spark, sf_dir, payload=True, events=source)
-    closed = sessionize_stream(packets, DAY_S, order=EVENT_ORDER)
-    out = run_available(spark, closed, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
-    return out.drop("packets")
+    closing = sessionize_stream(packets, "1 hour", DAY_S, order=EVENT_ORDER)
+    run = run_available(spark, closing, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
+    return numbered_sessions(run.closed.unionByName(run.open), DAY_S).drop("packets", "is_unknown")

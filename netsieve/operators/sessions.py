@@ -230,6 +230,13 @@ def build_sessions(
         )
         aggs["_kept"] = F.sort_array(F.collect_list(F.when(rank <= max_packets, kept)))
     grouped = packets.groupBy(*keys, "session_instance").agg(*[c.alias(n) for n, c in aggs.items()])
+    return finish_sessions(grouped, timeout_s, max_packets, with_packets)
+
+
+def finish_sessions(
+    grouped: DataFrame, timeout_s: float = SESSION_TIMEOUT_S, max_packets: int = MAX_PACKETS, with_packets: bool = True
+) -> DataFrame:
+    """Session records from the aggregates of `build_sessions`, which a stream may have gathered as well."""
     out = resolve_label(grouped).withColumn(
         "captured_packets", F.least(F.col("observed_packets"), F.lit(max_packets)).cast("int")
     )

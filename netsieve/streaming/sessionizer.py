@@ -1,40 +1,52 @@
-"""The session rules as a stateful stream: one open session and one counter per key."""
+"""The session rules as a stateful stream.
+
+State per key is one open session, as the aggregates from which `build_sessions` makes a record: times, counts, the
+first packets and the fixed handful of values that decide the label. The stream emits closed sessions in that form,
+so both ways share one definition of a session and of its label. Sessions are numbered when they are read, hence
+no counter is kept for a key without open session.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from netsieve.operators.sessions import PACKET_ORDER, SESSION_KEYS
+from netsieve.operators.sessions import PACKET_ORDER, SESSION_KEYS, finish_sessions
 from netsieve.schemas import KNOWN_ATTACKS, MAX_PACKETS, SESSION_TIMEOUT_S, UNKNOWN_ATTACKS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-PACKET = "struct<pos:int,is_forward:boolean,delta_enc:float,entropy:float,bytes:binary>"
-OPEN = (
-    "start_us bigint, last_us bigint, seen bigint, label string, attack_subtype string, src_ip string, sport int, "
-    f"packets array<{PACKET}>"
-)
-OUTPUT = (
-    "source_capture string, canonical_tuple string, session_instance int, start_ts_us bigint, end_ts_us bigint, "
-    f"observed_packets bigint, captured_packets int, label string, attack_subtype string, packets array<{PACKET}>"
-)
+FIELDS = {
+    "first_order": "array<bigint>",
+    "start_ts_us": "bigint",
+    "end_ts_us": "bigint",
+    "observed_packets": "bigint",
+    "_unknown": "struct<label:string,attack_subtype:string>",
+    "_stray": "string",
+    **{f"_first_{i}": "bigint" for i in range(len(KNOWN_ATTACKS))},
+    **{f"_subtype_{i}": "string" for i in range(len(KNOWN_ATTACKS))},
+    "_kept": "array<struct<pos:int,ts_us:bigint,src_ip:string,sport:int,entropy:float,bytes:binary>>",
+}
+STATE = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
+OUTPUT = "source_capture string, canonical_tuple string, " + STATE
+NAMES = ["source_capture", "canonical_tuple", *FIELDS]
+KEPT = ("pos", "ts_us", "src_ip", "sport", "entropy", "bytes")
+
 
-# Workers cannot parse the schemas above, so the names are spelled out once more.
-OPEN_NAMES = ["start_us", "last_us", "seen", "label", "attack_subtype", "src_ip", "sport", "packets"]
-OUTPUT_NAMES = [
-    "source_capture", "canonical_tuple", "session_instance", "start_ts_us", "end_ts_us", "observed_packets",
-    "captured_packets", "label", "attack_subtype", "packets",
-]
+def _last(values: np.ndarray, mask: np.ndarray):
+    at = np.flatnonzero(mask)
+    return values[at[-1]] if len(at) else None
 
 
-def _weight(label: str) -> int:
-    return 2 if label in UNKNOWN_ATTACKS else 1 if label in KNOWN_ATTACKS else 0
+def _first(mask: np.ndarray) -> int | None:
+    at = np.flatnonzero(mask)
+    return int(at[0]) if len(at) else None
 
 
 class Sessionizer(StatefulProcessor):
@@ -42,100 +54,97 @@ class Sessionizer(StatefulProcessor):
 
     def __init__(self, timeout_s: float, max_packets: int, order: Sequence[str]):
         self.timeout_us = int(round(timeout_s * 1_000_000))
-        self.scale = 255.0 / math.log1p(timeout_s)
         self.max_packets = max_packets
         self.order = list(order)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", OPEN)
-        self.counter = handle.getValueState("counter", "n int")
+        self.open = handle.getValueState("open", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        state = self._load()
-        count = self.counter.get()[0] if self.counter.exists() else 0
-        closed = []
-        for p in batch.itertuples(index=False):
-            if state and p.ts_us - state["last_us"] > self.timeout_us:
-                closed.append(self._row(key, count, state))
-                state = None
-            if state is None:
-                count += 1
-                state = self._opened(p)
-            self._extend(state, p)
-            if p.is_teardown:
-                closed.append(self._row(key, count, state))
-                state = None
-        self.counter.update((count,))
-        self._keep(state)
-        yield pd.DataFrame(closed, columns=OUTPUT_NAMES)
+        batch = pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
+        state = dict(zip(FIELDS, self.open.get())) if self.open.exists() else None
+        ts, torn = batch["ts_us"].to_numpy(), batch["is_teardown"].to_numpy(bool)
+        before = np.concatenate([[ts[0] if state is None else state["end_ts_us"]], ts[:-1]])
+        begins = (ts - before > self.timeout_us) | np.concatenate([[state is None], torn[:-1]])
+        edges = [0, *(np.flatnonzero(begins[1:]) + 1).tolist(), len(batch)]
+        sessions = [state] if state is not None and begins[0] else []
+        for a, b in zip(edges, edges[1:]):
+            sessions.append(self._joined(state if a == 0 and not begins[0] else None, batch.iloc[a:b]))
+        keep = None if torn[-1] else sessions.pop()
+        self._keep(keep)
+        yield self._rows(key, sessions)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._load()
         closed = []
-        if state and timerValues.getCurrentWatermarkInMs() * 1000 > state["last_us"] + self.timeout_us:
-            closed.append(self._row(key, self.counter.get()[0], state))
-            self.open.clear()
-        yield pd.DataFrame(closed, columns=OUTPUT_NAMES)
+        if self.open.exists():
+            state = dict(zip(FIELDS, self.open.get()))
+            if timerValues.getCurrentWatermarkInMs() * 1000 > state["end_ts_us"] + self.timeout_us:
+                closed.append(state)
+                self.open.clear()
+        yield self._rows(key, closed)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> dict | None:
-        if not self.open.exists():
-            return None
-        state = dict(zip(OPEN_NAMES, self.open.get()))
-        state["packets"] = [tuple(p) for p in state["packets"]]
-        return state
-
     def _keep(self, state: dict | None) -> None:
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         if state is None:
             self.open.clear()
             return
-        self.open.update(tuple(state.values()))
-        self.handle.registerTimer((state["last_us"] + self.timeout_us) // 1000 + 1)
-
-    def _opened(self, p) -> dict:
-        return {
-            "start_us": int(p.ts_us), "last_us": int(p.ts_us), "seen": 0, "label": p.label,
-            "attack_subtype": p.attack_subtype, "src_ip": p.src_ip, "sport": int(p.sport), "packets": [],
-        }
-
-    def _extend(self, state: dict, p) -> None:
-        new, old = _weight(p.label), _weight(state["label"])
-        if new > old or new == 2:
-            state["label"], state["attack_subtype"] = p.label, p.attack_subtype
-        elif new == old and p.label == state["label"] and p.attack_subtype != "Benign":
-            state["attack_subtype"] = p.attack_subtype
-        if len(state["packets"]) < self.max_packets:
-            gap = max(0, int(p.ts_us) - state["last_us"]) / 1_000_000 if state["packets"] else 0.0
-            delta = math.log1p(min(gap, self.timeout_us / 1_000_000)) * self.scale
-            forward = p.src_ip == state["src_ip"] and int(p.sport) == state["sport"]
-            state["packets"].append((len(state["packets"]) + 1, forward, delta, float(p.entropy), bytes(p.bytes)))
-        state["seen"] += 1
-        state["last_us"] = int(p.ts_us)
-
-    def _row(self, key, count: int, s: dict) -> tuple:
-        packets = [dict(zip(("pos", "is_forward", "delta_enc", "entropy", "bytes"), p)) for p in s["packets"]]
-        return (
-            *key, count, s["start_us"], s["last_us"], s["seen"], len(packets), s["label"], s["attack_subtype"], packets,
-        )
+        self.open.update(tuple(state[n] for n in FIELDS))
+        self.handle.registerTimer((state["end_ts_us"] + self.timeout_us) // 1000 + 1)
+
+    def _joined(self, old: dict | None, part: pd.DataFrame) -> dict:
+        """The aggregates of the packets of `part`, put behind those of `old`."""
+        label, subtype = part["label"].to_numpy(object), part["attack_subtype"].to_numpy(object)
+        ts = part["ts_us"].to_numpy()
+        seen = old["observed_packets"] if old else 0
+        new = dict(old) if old else dict.fromkeys(FIELDS)
+        if old is None:
+            new["first_order"] = [int(v) for v in part[self.order].iloc[0]]
+            new["start_ts_us"], new["_kept"] = int(ts[0]), []
+        new["end_ts_us"], new["observed_packets"] = int(ts[-1]), seen + len(part)
+        unknown = _last(np.stack([label, subtype], axis=1), np.isin(label, UNKNOWN_ATTACKS))
+        if unknown is not None:
+            new["_unknown"] = tuple(unknown)
+        odd = [x for x in set(label) - {"Benign", *KNOWN_ATTACKS, *UNKNOWN_ATTACKS} if x is not None]
+        new["_stray"] = max([*odd, *([new["_stray"]] if new["_stray"] else [])], default=None)
+        for i, name in enumerate(KNOWN_ATTACKS):
+            mine = label == name
+            at = _first(mine)
+            if new[f"_first_{i}"] is None and at is not None:
+                new[f"_first_{i}"] = seen + at + 1
+            named = _last(subtype, mine & (subtype != "Benign"))
+            new[f"_subtype_{i}"] = new[f"_subtype_{i}"] if named is None else named
+        room = part.iloc[: max(0, self.max_packets - seen)]
+        kept = zip(
+            range(seen + 1, seen + 1 + len(room)), room["ts_us"].tolist(), room["src_ip"], room["sport"].tolist(),
+            room["entropy"].tolist(), map(bytes, room["bytes"]),
+        )
+        new["_kept"] = [*map(tuple, new["_kept"]), *kept]
+        return new
+
+    def _rows(self, key, sessions: list[dict]) -> pd.DataFrame:
+        rows = []
+        for s in sessions:
+            unknown = s["_unknown"] and dict(zip(("label", "attack_subtype"), s["_unknown"]))
+            rows.append((*key, *({**s, "_unknown": unknown, "_kept": [dict(zip(KEPT, p)) for p in s["_kept"]]}[n] for n in FIELDS)))
+        return pd.DataFrame(rows, columns=NAMES)
 
 
 def sessionize_stream(
     packets: DataFrame,
+    lateness: str,
     timeout_s: float = SESSION_TIMEOUT_S,
     max_packets: int = MAX_PACKETS,
     order: Sequence[str] = PACKET_ORDER,
-    lateness: str = "0 seconds",
 ) -> DataFrame:
-    """Closed sessions of a labelled packet stream; equal to the batch result on time-ordered input.
+    """Closed sessions of a labelled packet stream, as aggregates; `numbered_sessions` makes records of them.
 
-    State per key is one open session of at most `max_packets` stored packets. A key is handled by one
-    task, so the packets admitted per trigger bound the work on a hot key.
+    `lateness` is how far a packet may lag behind the latest time seen. Later ones cannot be placed; they are counted, see
+    `run_available`. A key is handled by one task per trigger: the source's limit per trigger bounds its rows.
     """
     timed = packets.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", lateness)
     used = [*SESSION_KEYS, *order, "ts_us", "event_time", "src_ip", "sport", "label", "attack_subtype", "is_teardown", "entropy", "bytes"]
@@ -151,8 +160,17 @@ def sessionize_stream(
     )
 
 
-def run_available(spark: SparkSession, sessions: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process what the source holds now, write the closed sessions to Parquet and read them back."""
+@dataclass
+class StreamRun:
+    """Closed sessions, those still open in the state, and the number of packets that came too late."""
+
+    closed: DataFrame
+    open: DataFrame
+    late_packets: int
+
+
+def run_available(spark: SparkSession, sessions: DataFrame, out: str, checkpoint: str) -> StreamRun:
+    """Process what the source holds now. The open sessions are read from the state, which keeps them for the next run."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, STATE_STORE)
@@ -166,6 +184,18 @@ def run_available(spark: SparkSession, sessions: DataFrame, out: str, checkpoint
             .start()
         )
         stream.awaitTermination()
+        late = sum(op["numRowsDroppedByWatermark"] for p in stream.recentProgress for op in p["stateOperators"])
+        state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+        names = SESSION_KEYS
+        opened = state.select(*[F.col(f"key.{n}").alias(n) for n in names], "value.*").select(*NAMES)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(OUTPUT).parquet(out)
+    return StreamRun(spark.read.schema(OUTPUT).parquet(out), opened, late)
+
+
+def numbered_sessions(
+    sessions: DataFrame, timeout_s: float = SESSION_TIMEOUT_S, max_packets: int = MAX_PACKETS
+) -> DataFrame:
+    """Session records, numbered from 1 within their key in the order of their first packets."""
+    place = F.row_number().over(Window.partitionBy(*SESSION_KEYS).orderBy("first_order"))
+    return finish_sessions(sessions.withColumn("session_instance", place).drop("first_order"), timeout_s, max_packets)

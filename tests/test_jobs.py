@@ -18,7 +18,7 @@ from netsieve.plans.train_profile import fit_profile
 from netsieve.schemas import SCHEDULE
 from netsieve.sources.pcap import read_packets
 from netsieve.sources.sessions import list_capture_files, read_sessions, write_sessions
-from netsieve.streaming.sessionizer import run_available, sessionize_stream
+from netsieve.streaming.sessionizer import numbered_sessions, run_available, sessionize_stream
 from tests import folds
 from tests.test_frames import capture_bytes, eth, tcp, udp, v4
 
@@ -194,17 +194,31 @@ def test_closed_set(stored):
     assert result.summary.first().total_samples == len(chosen)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = folds.packets(1500, seed=11, backwards=0)
-    last = max(r[4] for r in rows)
-    # A packet far in the future lets the watermark close every other session.
-    rows.append(("cap", "z", 0, len(rows), last + 10**9, False, "Benign", "Benign", "1.1.1.1", 1, 0.0, b""))
-    df = spark.createDataFrame(pd.DataFrame(rows, columns=folds.COLUMNS)).withColumn("sport", F.col("sport").cast("int"))
-    df = df.withColumn("entropy", F.col("entropy").cast("float"))
-    for i, cut in enumerate(((0, 500), (500, 1000), (1000, 2000))):
+def streamed(spark, tmp_path, df, cuts, lateness):
+    for cut in cuts:
         part = df.where((F.col("packet_no") >= cut[0]) & (F.col("packet_no") < cut[1]))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = run_available(spark, sessionize_stream(source), str(tmp_path / "out"), str(tmp_path / "state"))
-    batch = build_sessions(sessionize(df, None)).where("canonical_tuple <> 'z'").select(out.columns)
+    return run_available(spark, sessionize_stream(source, lateness), str(tmp_path / "out"), str(tmp_path / "state"))
+
+
+def packet_table(spark, rows):
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=folds.COLUMNS)).withColumn("sport", F.col("sport").cast("int"))
+    return df.withColumn("entropy", F.col("entropy").cast("float"))
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    df = packet_table(spark, folds.packets(1500, seed=11, backwards=0))
+    run = streamed(spark, tmp_path, df, ((0, 500), (500, 1000), (1000, 2000)), "0 seconds")
+    assert run.late_packets == 0 and run.open.count() > 0
+    batch = build_sessions(sessionize(df, None))
+    out = numbered_sessions(run.closed.unionByName(run.open)).select(batch.columns)
     assert out.count() == batch.count() and out.exceptAll(batch).count() == 0
+
+
+def test_late_packets_are_counted(spark, tmp_path):
+    second = 1_000_000
+    rows = [("cap", f"k{i}", 0, i, t * second, False, "Benign", "Benign", "1.1.1.1", 1, 0.0, b"") for i, t in enumerate((1000, 2000, 10, 3000))]
+    run = streamed(spark, tmp_path, packet_table(spark, rows), [(i, i + 1) for i in range(4)], "0 seconds")
+    assert run.late_packets == 1
+    assert run.closed.unionByName(run.open).count() == 3
