@@ -40,7 +40,10 @@ from netsieve.operators.sessions import (
     time_segments,
 )
 from netsieve.operators.tensors import to_scaled_image, to_tensor
+from netsieve.session import scratch_path
 from netsieve.sources.headers import decode_headers
+from netsieve.sources.pcap import read_captures, write_captures
+from netsieve.sources.schedule import schedule_from
 
 
 # --- scalar functions -------------------------------------------------------------------------------
@@ -197,9 +200,7 @@ f AS (
 """
 
 
-@query(
-    "decode_headers",
-    f"""
+_DECODED_SQL = f"""
     WITH {_FRAME_FIELDS_SQL}
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
       CASE WHEN l_linenumber = 7 THEN '2001:db8::' || printf('%x', 4096 + l_partkey % 1000) || ':' || printf('%x', 1 + l_suppkey)
@@ -209,8 +210,10 @@ f AS (
       CAST(l_partkey % 65536 AS INTEGER) AS sport, CAST(l_suppkey % 65536 AS INTEGER) AS dport,
       CAST(proto AS INTEGER) AS proto, (proto = 6 AND flags <> '10') AS is_teardown,
       repeat(l_returnflag || l_linestatus, l_linenumber * 10) AS payload
-    FROM f""",
-)
+    FROM f"""
+
+
+@query("decode_headers", _DECODED_SQL)
 def q_decode_headers(spark, sf_dir):
     decoded = decode_headers(lineitem_frames(spark, sf_dir))
     return decoded.where("decode_error is null").select(
@@ -219,6 +222,52 @@ def q_decode_headers(spark, sf_dir):
     )
 
 
+@query("capture_files", _DECODED_SQL)
+def q_capture_files(spark, sf_dir):
+    """The frames written as capture files, the order key as time, and read back in ranges."""
+    path = scratch_path(spark, "captures")
+    write_captures(lineitem_frames(spark, sf_dir).withColumn("ts_us", F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber")), path)
+    row = F.col("ts_us") % 1_000_000
+    read = read_captures(spark, path, range_bytes=1 << 20)
+    decoded = decode_headers(read, extras=("payload", "head")).where("decode_error is null and read_error is null")
+    # The keys come back from the time and from the hardware addresses.
+    address = lambda at: F.conv(F.substring(F.hex("head"), at, 10), 16, 10).cast("long")
+    return decoded.select(
+        F.floor(F.col("ts_us") / 1_000_000).alias("l_orderkey"), row.cast("int").alias("l_linenumber"), address(15).alias("l_partkey"),
+        address(3).alias("l_suppkey"), "src_ip", "dst_ip", "sport", "dport", "proto", "is_teardown",
+        F.decode("payload", "UTF-8").alias("payload"),
+    )
+
+
+@query(
+    "schedule_rows",
+    """
+    SELECT '10.0.0.' || n_nationkey AS attacker_ip, v AS victim_ip,
+      epoch_us(TIMESTAMP '2018-02-14 04:00:00') + (n_nationkey * 60 + w * 600)::BIGINT * 1000000 AS start_us,
+      epoch_us(TIMESTAMP '2018-02-14 04:00:00') + (n_nationkey * 60 + w * 600 + 300)::BIGINT * 1000000 AS end_us,
+      CASE WHEN n_regionkey = 0 THEN 'Botnet' ELSE 'DoS' END AS label, n_name AS attack_subtype,
+      CASE WHEN n_regionkey = 0 THEN 'test_ood' ELSE 'stratified_split' END AS target_folder,
+      CASE WHEN n_regionkey = 0 THEN 2 ELSE 1 END AS priority
+    FROM nation, (SELECT unnest(['172.16.0.1', '172.16.0.2']) AS v), (SELECT unnest([0, 1]) AS w)""",
+)
+def q_schedule_rows(spark, sf_dir):
+    """A schedule document with an entry per nation: two victims, two windows."""
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a fixed table of the data model
+    clock = lambda minutes: f"{minutes // 60:02d}:{minutes % 60:02d}"
+    attacks = {"zero_day": [], "closed_set": []}
+    for n in nations:
+        unknown = n.n_regionkey == 0
+        windows = [[clock(n.n_nationkey + w * 10), clock(n.n_nationkey + w * 10 + 5)] for w in (0, 1)]
+        attacks["zero_day" if unknown else "closed_set"].append(
+            {
+                "attack_name": f" {n.n_name} ", "date": "2018-02-14", "attacker_ips": [f"10.0.0.{n.n_nationkey} "],
+                "victim_ips": ["172.16.0.1", " 172.16.0.2"], "time_windows": windows,
+                "target_folder": "test_ood" if unknown else "stratified_split", "label": "Botnet" if unknown else "DoS",
+            }
+        )
+    return schedule_from(spark, {"attacks": attacks}).drop("rule_order")
+
+
 @query(
     "anonymised_prefix",
     f"""

@@ -10,6 +10,7 @@ from netsieve.catalog.base import (
     KNOWN,
     PACKETS_SQL,
     SCORED_SQL,
+    SESSION_ROWS_SQL,
     UNKNOWN,
     query,
     r6,
@@ -17,7 +18,7 @@ from netsieve.catalog.base import (
     sessions_sql,
     table,
 )
-from netsieve.catalog.ingestion import CAPTURED_SQL, cut_events
+from netsieve.catalog.ingestion import CAPTURED_SQL, cut_events, event_sessions
 from netsieve.functions.gaussian import (
     CENTRAL_DEN,
     CENTRAL_NUM,
@@ -48,6 +49,7 @@ from netsieve.operators.pca import fit_pca, project
 from netsieve.operators.quantiles import fit_quantiles, gaussianise, landmarks
 from netsieve.operators.sessions import build_sessions
 from netsieve.operators.tensors import to_scaled_image
+from netsieve.plans.closed_set import evaluate_closed_set
 from netsieve.plans.open_set import ShieldSettings, decide, evaluate_open_set, lambda_grid, with_truth
 from netsieve.session import stage_table
 
@@ -448,10 +450,8 @@ def channel_model():
     return run
 
 
-@query(
-    "batch_inference",
-    f"""
-    WITH {PACKETS_SQL}, {sessions_sql(DAY_US)}, {CAPTURED_SQL},
+_INFERENCE_SQL = f"""
+    {PACKETS_SQL}, {sessions_sql(DAY_US)}, {CAPTURED_SQL},
     n AS (SELECT source_capture, canonical_tuple, session_instance FROM w3 GROUP BY ALL HAVING count(*) >= 7),
     v AS (
       SELECT source_capture, canonical_tuple, session_instance,
@@ -459,9 +459,14 @@ def channel_model():
         sum(CASE WHEN is_up = first_up THEN 0 ELSE 16 * delta_enc::DOUBLE + s END) / 255.0 AS b
       FROM cq JOIN n USING (source_capture, canonical_tuple, session_instance)
       JOIN (SELECT packet_no, sum(('0x' || byte)::INTEGER) AS s FROM bt GROUP BY 1) USING (packet_no)
-      WHERE packet_rank <= 7 GROUP BY 1, 2, 3)
-    SELECT source_capture, canonical_tuple, session_instance,
-      CASE WHEN f >= b AND f >= 40 THEN 0 WHEN b >= 40 THEN 1 ELSE 2 END AS pred FROM v""",
+      WHERE packet_rank <= 7 GROUP BY 1, 2, 3)"""
+_PRED_SQL = "CASE WHEN f >= b AND f >= 40 THEN 0 WHEN b >= 40 THEN 1 ELSE 2 END"
+
+
+@query(
+    "batch_inference",
+    f"""WITH {_INFERENCE_SQL}
+    SELECT source_capture, canonical_tuple, session_instance, {_PRED_SQL} AS pred FROM v""",
 )
 def q_inference(spark, sf_dir):
     sessions = build_sessions(cut_events(spark, sf_dir, True), timeout_s=DAY_S)
@@ -471,3 +476,31 @@ def q_inference(spark, sf_dir):
     bounds = {"min_raw": 0.0, "max_raw": 255.0, "min_entropy": 0.0, "max_entropy": 8.0}
     scored = score(to_scaled_image(chosen, bounds, 7), channel_model, (3, 7, 144))
     return scored.select("source_capture", "canonical_tuple", "session_instance", "pred")
+
+
+_CLOSED_SPLIT = "train_known"
+
+
+_CLOSED_SQL = f"""
+    WITH {PACKETS_SQL}, {SESSION_ROWS_SQL}, {_INFERENCE_SQL[_INFERENCE_SQL.index(CAPTURED_SQL.strip()[:20]):]},
+    lp AS (
+      SELECT CASE label WHEN 'Benign' THEN 0 WHEN 'DoS' THEN 1 ELSE 2 END AS label, {_PRED_SQL} AS pred
+      FROM v JOIN se USING (source_capture, canonical_tuple, session_instance) WHERE split = '{_CLOSED_SPLIT}'),
+    m AS (
+      SELECT k, count(*)::DOUBLE AS t, count(*) FILTER (label = k)::DOUBLE AS s, count(*) FILTER (pred = k)::DOUBLE AS p,
+        count(*) FILTER (label = k AND pred = k)::DOUBLE AS tp
+      FROM lp, (SELECT unnest([0, 1, 2]) AS k) GROUP BY k),
+    r AS (SELECT *, CASE WHEN p > 0 THEN tp / p ELSE 0 END AS pr, CASE WHEN s > 0 THEN tp / s ELSE 0 END AS rc FROM m)
+    SELECT k AS label, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN s > 0 THEN (s - tp) / s ELSE 0 END, 6) AS fnr,
+      round(CASE WHEN t > s THEN (p - tp) / (t - s) ELSE 0 END, 6) AS fpr,
+      round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) AS f1, s::BIGINT AS support, p::BIGINT AS predicted FROM r"""
+
+
+@query("closed_set_evaluation", _CLOSED_SQL)
+def q_closed_set(spark, sf_dir):
+    """Inference over the sessions of one split, counted against the index, and the report by class."""
+    sessions = event_sessions(spark, sf_dir, with_packets=True)
+    bounds = {"min_raw": 0.0, "max_raw": 255.0, "min_entropy": 0.0, "max_entropy": 8.0}
+    report = evaluate_closed_set(sessions, bounds, channel_model, _CLOSED_SPLIT, 7).report
+    rates = ("precision", "recall", "fnr", "fpr", "f1")
+    return report.select("label", *[r6(c).alias(c) for c in rates], "support", "predicted")

@@ -1,4 +1,9 @@
-"""Capture files as a Spark data source: `spark.read.format("capture").load(glob)`."""
+"""Capture files as a Spark table, read in ranges.
+
+A capture has no marks between records, so a first pass hops from record to record and notes every few megabytes where a
+record starts and which number it has: `spark.read.format("capture_index").load(glob)`, a task per file and a row per
+range. The second pass reads the ranges, spread over the cluster whatever file they are from.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from fnmatch import fnmatch
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -27,6 +33,10 @@ FILE_HEADER = 24
 RECORD_HEADER = 16
 BATCH_ROWS = 4096
 
+RANGE_BYTES = 32 << 20
+BUFFER_BYTES = 1 << 20
+
+FRAME = "source_file string, packet_no bigint, ts_us bigint, frame binary, read_error string"
 FRAME_SCHEMA = pa.schema(
     [
         ("source_file", pa.string()),
@@ -36,6 +46,17 @@ FRAME_SCHEMA = pa.schema(
         ("read_error", pa.string()),
     ]
 )
+RANGE = "source_file string, start bigint, stop bigint, first_packet bigint, magic string, read_error string"
+RANGE_SCHEMA = pa.schema(
+    [
+        ("source_file", pa.string()),
+        ("start", pa.int64()),
+        ("stop", pa.int64()),
+        ("first_packet", pa.int64()),
+        ("magic", pa.string()),
+        ("read_error", pa.string()),
+    ]
+)
 
 
 @dataclass
@@ -43,34 +64,70 @@ class CaptureFile(InputPartition):
     uri: str
 
 
-def read_frames(stream) -> Iterator[tuple[int, int | None, bytes | None, str | None]]:
-    """(packet_no, ts_us, frame, error) in file order; a broken tail ends the file with one error row."""
+def find_ranges(stream, size: int, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[int, int, int, str, str | None]]:
+    """(start, stop, first packet, magic, error): the records of a capture, cut about every `range_bytes`.
+
+    The error is that of a broken tail, which ends the last range; a broken header makes one empty range.
+    """
     head = stream.read(FILE_HEADER)
-    known = MAGICS.get(bytes(head[:4]))
-    if len(head) < FILE_HEADER or known is None:
-        yield 0, None, None, "ValueError: invalid capture header"
+    if len(head) < FILE_HEADER or bytes(head[:4]) not in MAGICS:
+        yield 0, 0, 0, "", "ValueError: invalid capture header"
         return
-    order, per_us = known
-    number = 0
-    while True:
-        raw = stream.read(RECORD_HEADER)
-        if not raw:
-            return
-        if len(raw) < RECORD_HEADER:
-            yield number, None, None, "NeedData: truncated record header"
-            return
-        seconds, fraction, stored, _ = struct.unpack(order + "IIII", raw)
-        frame = stream.read(stored)
-        if len(frame) < stored:
-            yield number, None, None, "NeedData: truncated record"
-            return
-        yield number, seconds * 1_000_000 + int(round(fraction / per_us)), bytes(frame), None
+    magic = bytes(head[:4]).hex()
+    stored_at = struct.Struct(MAGICS[bytes(head[:4])][0] + "I").unpack_from
+    start = at = FILE_HEADER
+    first = number = 0
+    error = None
+    held, held_at = b"", at
+    while at < size:
+        if at + RECORD_HEADER > size:
+            error = "NeedData: truncated record header"
+            break
+        if not held_at <= at <= held_at + len(held) - RECORD_HEADER:
+            stream.seek(at)
+            held, held_at = stream.read(BUFFER_BYTES), at
+        (stored,) = stored_at(held, at - held_at + 8)
+        if at + RECORD_HEADER + stored > size:
+            error = "NeedData: truncated record"
+            break
+        at += RECORD_HEADER + stored
         number += 1
-
-
-class CaptureReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+        if at - start >= range_bytes:
+            yield start, at, first, magic, None
+            start, first = at, number
+    if at > start or error or not first:
+        yield start, at, first, magic, error
+
+
+def read_range(stream, start: int, stop: int, magic: str) -> Iterator[tuple[int, bytes]]:
+    """(ts_us, frame) of the records from `start` up to `stop`, which both are between records."""
+    order, per_us = MAGICS[bytes.fromhex(magic)]
+    header = struct.Struct(order + "IIII")
+    stream.seek(start)
+    rest, left = b"", stop - start
+    while left or rest:
+        more = stream.read(min(left, BUFFER_BYTES))
+        if left and not more:
+            raise EOFError("the capture is shorter than when it was indexed")
+        left -= len(more)
+        data, at = rest + more, 0
+        while at + RECORD_HEADER <= len(data):
+            seconds, fraction, stored, _ = header.unpack_from(data, at)
+            end = at + RECORD_HEADER + stored
+            if end > len(data):
+                if left:  # fetch a long record in one go
+                    extra = stream.read(min(left, end - len(data)))
+                    left -= len(extra)
+                    data += extra
+                break
+            yield seconds * 1_000_000 + int(round(fraction / per_us)), data[at + RECORD_HEADER : end]
+            at = end
+        rest = data[at:]
+
+
+class IndexReader(DataSourceReader):
+    def __init__(self, path: str, range_bytes: int):
+        self.path, self.range_bytes = path, range_bytes
 
     def partitions(self) -> list[InputPartition]:
         folder, _, pattern = self.path.rpartition("/")
@@ -87,36 +144,81 @@ class CaptureReader(DataSourceReader):
 
     def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(partition.uri)
-        rows: list[tuple] = []
-        with fs.open_input_stream(path, buffer_size=1 << 20) as stream:
-            for number, ts, frame, error in read_frames(stream):
-                rows.append((partition.uri, number, ts, frame, error))
-                if len(rows) == BATCH_ROWS:
-                    yield self._batch(rows)
-                    rows = []
-        if rows:
-            yield self._batch(rows)
-
-    @staticmethod
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=t) for c, t in zip(columns, FRAME_SCHEMA.types)], schema=FRAME_SCHEMA
-        )
-
-
-class CaptureSource(DataSource):
-    """One task per capture file, streamed; nothing but a batch of frames is held at a time."""
+        with fs.open_input_file(path) as stream:
+            rows = [(partition.uri, *r) for r in find_ranges(stream, stream.size(), self.range_bytes)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), RANGE_SCHEMA.types)]
+        yield pa.RecordBatch.from_arrays(columns, schema=RANGE_SCHEMA)
+
+
+class CaptureIndex(DataSource):
+    """The ranges of capture files: one task per file, which holds a buffer and the ranges it has found."""
 
     @classmethod
     def name(cls) -> str:
-        return "capture"
+        return "capture_index"
 
     def schema(self) -> str:
-        return "source_file string, packet_no bigint, ts_us bigint, frame binary, read_error string"
+        return RANGE
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return CaptureReader(self.options["path"])
+        return IndexReader(arrow_uri(self.options["path"]), int(self.options.get("range_bytes", RANGE_BYTES)))
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FRAME_SCHEMA.types)], schema=FRAME_SCHEMA)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            uri, number = r["source_file"], r["first_packet"]
+            rows: list[tuple] = []
+            if r["stop"] > r["start"]:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as stream:
+                    for ts, frame in read_range(stream, r["start"], r["stop"], r["magic"]):
+                        rows.append((uri, number, ts, frame, None))
+                        number += 1
+                        if len(rows) == BATCH_ROWS:
+                            yield batch_of(rows)
+                            rows = []
+            if r["read_error"]:
+                rows.append((uri, number, None, None, r["read_error"]))
+            if rows:
+                yield batch_of(rows)
+
+
+def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """FRAME rows of capture files: a file, or all *.pcap below a folder, or a pattern of names."""
+    spark.dataSource.register(CaptureIndex)
+    ranges = spark.read.format("capture_index").option("range_bytes", range_bytes).load(path)
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ranges.repartition(tasks, "source_file", "start").mapInArrow(_frames, FRAME)
+
+
+def write_captures(frames: DataFrame, path: str) -> DataFrame:
+    """(source_file, packets): rows (ts_us, frame) as capture files below `path`, one from each task, in its order."""
+    folder = arrow_uri(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"{folder}/part_{TaskContext.get().partitionId():05d}.pcap"
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        count = 0
+        with fs.open_output_stream(pafs.FileSystem.from_uri(name)[1]) as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 0xFFFF, 1))
+            for batch in batches:
+                for ts, frame in zip(batch.column("ts_us").to_pylist(), batch.column("frame").to_pylist()):
+                    out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), len(frame)) + frame)
+                count += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count])], ["source_file", "packets"])
+
+    rows = frames.select("ts_us", "frame").mapInArrow(write, "source_file string, packets bigint").collect()  # one a task
+    return frames.sparkSession.createDataFrame(rows, "source_file string, packets bigint")
+
+
+def arrow_uri(path: str) -> str:
+    """Arrow wants the empty host that Spark leaves out of local paths."""
+    return "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
 def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -125,9 +227,7 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
         return spark.read.schema(PACKETS).parquet(path)
     if fmt != "capture":
         raise ValueError(f"unknown packet format {fmt!r}")
-    spark.dataSource.register(CaptureSource)
-    frames = spark.read.format("capture").load(path)
-    named = name_captures(frames, "source_file")
+    named = name_captures(read_captures(spark, path), "source_file")
     return named.select(
         "source_file",
         "source_capture",

@@ -42,8 +42,8 @@ def schedule_from(spark: SparkSession, config: Mapping, target_date: str | None
         return F.unix_micros(stamp)
 
     return (
-        rows.withColumn("attacker_ip", F.explode(F.transform("attacker_ips", F.trim)))
-        .withColumn("victim_ip", F.explode(F.transform("victim_ips", F.trim)))
+        rows.withColumn("attacker_ip", F.explode(F.transform("attacker_ips", lambda ip: F.trim(ip))))
+        .withColumn("victim_ip", F.explode(F.transform("victim_ips", lambda ip: F.trim(ip))))
         .withColumn("window", F.explode("time_windows"))
         .select(
             "attacker_ip",
