@@ -31,7 +31,7 @@ WORD, STEM, LEFT, PAIR, SKIP = (
 class Settings:
     """Of the fit. `max_rows` bounds the sample of labelled rows; the first by a hash of doc_id are taken."""
 
-    max_rows: int = 16_000
+    max_rows: int = 10_000
     epochs: int = 4
     alpha: float = 0.7
     beta: float = 1.0
