@@ -50,10 +50,10 @@ def roc_points(df: DataFrame, truth: str, score: str, group: Sequence[str] = ())
     group = list(group)
     counts = df.groupBy(*group, (-F.col(score).cast("double")).alias("_neg")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
-    )
+    ).withColumn("one", F.lit(1).cast("long"))
     # Split points from the rows themselves spare the sketch a shuffle.
     points = [-p for p in reversed(split_points(df, score))]
-    curve = running_totals(counts, "_neg", ["pos", "neg"], group, points)
+    curve = running_totals(counts, "_neg", ["pos", "neg", "one"], group, points)
     return curve.select(
         *group,
         (-F.col("_neg")).alias("threshold"),
@@ -63,6 +63,8 @@ def roc_points(df: DataFrame, truth: str, score: str, group: Sequence[str] = ())
         F.col("cum_neg").alias("fp"),
         F.col("total_pos").alias("positives"),
         F.col("total_neg").alias("negatives"),
+        F.col("cum_one").alias("point_no"),
+        F.col("total_one").alias("points"),
     )
 
 
@@ -88,29 +90,17 @@ def roc_curve(points: DataFrame, max_points: int = 5000) -> DataFrame:
 
     The origin has no finite threshold and is stored with null.
     """
-    spark = points.sparkSession
-    total = points.count() + 1
-    ordered = running_totals(
-        points.withColumn("_neg", -F.col("threshold")).withColumn("one", F.lit(1).cast("long")), "_neg", ["one"]
+    curve = points.select(
+        "point_no", F.try_divide("fp", "negatives").alias("fpr"), F.try_divide("tp", "positives").alias("tpr"), "threshold", "points"
     )
-    curve = ordered.select(
-        F.col("cum_one").alias("point_no"),
-        F.try_divide("fp", "negatives").alias("fpr"),
-        F.try_divide("tp", "positives").alias("tpr"),
-        "threshold",
-    )
-    origin = spark.range(1).select(
+    # Point i is kept if it is the whole part of some step of an even grid over 0..points.
+    step = F.greatest(F.col("points") / F.lit(float(max_points - 1)), F.lit(1.0))
+    j = F.ceil(F.col("point_no") / step)
+    kept = curve.where((F.floor(j * step) == F.col("point_no")) | (F.col("point_no") == F.col("points"))).drop("points")
+    origin = points.sparkSession.range(1).select(
         F.col("id").alias("point_no"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold")
     )
-    whole = origin.unionByName(curve)
-    if total <= max_points:
-        return whole
-    # Point i is kept if it is the whole part of some step of an even grid over 0..total-1.
-    step = (total - 1) / (max_points - 1)
-    j = F.ceil(F.col("point_no") / F.lit(step))
-    return whole.where(
-        (F.floor(j * F.lit(step)) == F.col("point_no")) | (F.col("point_no") == total - 1)
-    )
+    return origin.unionByName(kept)
 
 
 def unknown_breakdown(df: DataFrame, by: str, score: str = "score", rejected: str = "rejected") -> DataFrame:
