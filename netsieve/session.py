@@ -38,25 +38,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{warehouse}/_scratch")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder so that later stages reuse it and survive executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+_STAGED: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a wide table once to Parquet under the checkpoint folder and read it back, column by column."""
+    """Write a table once to Parquet under the checkpoint folder and read it back, column by column."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """`df` written once, so that later stages reuse it and survive executor loss."""
+    return stage_table(df, "stage")
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove the tables that this program has staged, once their results are written; the number of folders removed."""
+    jvm, conf, removed = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
