@@ -120,3 +120,38 @@ def capture_telemetry(packets_read: DataFrame, errors: DataFrame, flags: DataFra
         .join(failed, "source_capture", "left")
         .na.fill(0, ["packets_read", "packet_error_count"])
     )
+
+
+def capture_completion(captures: DataFrame, sessions: DataFrame, errors: DataFrame, read_errors: DataFrame) -> DataFrame:
+    """(capture_id, source_capture, status, sessions, kept, packet_errors, source_truncated): a row per ingested capture.
+
+    A capture whose reader failed before any session came out has FAILED, others are OK; `pending_captures` takes the OK
+    rows as done. `sessions` are flagged sessions, `errors` rows (source_capture), `read_errors` those of the reader.
+    """
+    found = sessions.groupBy("source_capture").agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if("kept").alias("kept"), F.bool_or("source_truncated").alias("source_truncated")
+    )
+    faults = errors.groupBy("source_capture").agg(F.count(F.lit(1)).alias("packet_errors"))
+    broken = read_errors.select("source_capture").distinct().withColumn("_broken", F.lit(True))
+    joined = captures.select("capture_id", "source_capture", "missing_chunks", "known_truncated")
+    for part in (found, faults, broken):
+        joined = joined.join(part, "source_capture", "left")
+    none = F.coalesce("sessions", F.lit(0)) == 0
+    cut = F.col("known_truncated") | (F.size("missing_chunks") > 0) | F.coalesce("_broken", F.lit(False))
+    return joined.select(
+        "capture_id",
+        "source_capture",
+        F.when(none & F.coalesce("_broken", F.lit(False)), "FAILED").otherwise("OK").alias("status"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sessions", "kept", "packet_errors")],
+        F.coalesce("source_truncated", cut).alias("source_truncated"),
+    )
+
+
+def completion_totals(completion: DataFrame) -> DataFrame:
+    """One row of totals over the captures of a run: captures, failed, truncated, sessions, kept, packet errors."""
+    return completion.agg(
+        F.count(F.lit(1)).alias("captures"),
+        F.count_if(F.col("status") == "FAILED").alias("failed"),
+        F.count_if("source_truncated").alias("truncated"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sessions", "kept", "packet_errors")],
+    )

@@ -28,6 +28,7 @@ class Ingestion:
     sessions: DataFrame
     errors: DataFrame
     flags: DataFrame
+    completion: DataFrame
 
 
 def narrow_packets(decoded: DataFrame) -> DataFrame:
@@ -77,4 +78,5 @@ def ingest(
     sessions = caps.flag_sessions(built, flags)
     kind, message = F.substring_index("error", ": ", 1), F.regexp_replace("error", "^[^:]*: ", "")
     keyed = errors.select("source_capture", caps.error_key(F.col("source_file"), kind, message).alias("error_key"))
-    return Ingestion(sessions, keyed, flags)
+    completion = caps.capture_completion(captures, sessions, errors, errors.where("is_read_error"))
+    return Ingestion(sessions, keyed, flags, completion)

@@ -10,12 +10,30 @@ from netsieve.schemas import SESSIONS
 PARTITIONS = ("split", "capture_day", "capture_id")
 
 
-def write_sessions(sessions: DataFrame, path: str) -> None:
+def withdraw_captures(spark: SparkSession, path: str, captures: DataFrame) -> int:
+    """Remove every partition of the captures (capture_id) below `path`, whatever split they were routed to.
+
+    For a rerun, and for captures that have failed. The driver sees the ids of the captures of one run, a row per capture.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs, removed = root.getFileSystem(conf), 0
+    wanted = {f"capture_id={r['capture_id']}" for r in captures.select("capture_id").distinct().toLocalIterator()}
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/split=*/capture_day=*/capture_id=*")) or []:
+        if found.getPath().getName() in wanted:
+            removed += fs.delete(found.getPath(), True)
+    return removed
+
+
+def write_sessions(sessions: DataFrame, path: str, captures: DataFrame | None = None) -> None:
     """Replace the partitions of the captures in `sessions`; other captures stay as they are.
 
-    Routing is deterministic, so a rerun under the same settings meets the same partitions. After a change
-    of schedule, ratios or rates write to a fresh path.
+    Routing is deterministic, so a rerun under the same settings meets the same partitions. With `captures`, the list of those
+    that were ingested anew, their old partitions go first, so that a capture which now routes otherwise, or has no
+    session left, keeps no stale row.
     """
+    if captures is not None:
+        withdraw_captures(sessions.sparkSession, path, captures)
     (
         sessions.select(*StructType.fromDDL(SESSIONS).names)
         .write.mode("overwrite")

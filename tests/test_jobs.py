@@ -9,7 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from netsieve.functions.labels import long_enough
-from netsieve.operators.captures import error_summary, group_captures, name_captures
+from netsieve.operators.captures import (
+    completion_totals,
+    error_summary,
+    group_captures,
+    name_captures,
+    pending_captures,
+)
 from netsieve.operators.sessions import build_sessions, packet_segment, sessionize
 from netsieve.plans.audit import audit_captures
 from netsieve.plans.closed_set import evaluate_closed_set
@@ -138,6 +144,28 @@ def test_store_replaces_only_the_written_captures(spark, ingested, tmp_path):
     assert "GreaterThanOrEqual(captured_packets,7)" in long._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_rerun_leaves_no_stale_rows(spark, ingested, tmp_path):
+    path = str(tmp_path / "store")
+    write_sessions(ingested.sessions, path)
+    captures = ingested.completion
+    moved = ingested.sessions.where("split = 'test_ood'").withColumn("split", F.lit("val_known"))
+    write_sessions(moved, path, captures)
+    assert [r.split for r in read_sessions(spark, path).select("split").collect()] == ["val_known"]
+    write_sessions(ingested.sessions, path, captures.where("false"))
+    assert read_sessions(spark, path).count() == 5
+
+
+def test_completion(ingested):
+    rows = {r.source_capture: r for r in ingested.completion.collect()}
+    # One capture gave sessions in spite of an error; the other's reader failed before any packet.
+    a, b = rows["thu-22_UCAP"], rows["fri-16_X"]
+    assert (a.status, a.sessions, a.packet_errors, a.source_truncated) == ("OK", 4, 1, True)
+    assert (b.status, b.sessions, b.packet_errors, b.source_truncated) == ("FAILED", 0, 1, True)
+    totals = completion_totals(ingested.completion).first()
+    assert (totals.captures, totals.failed, totals.truncated, totals.sessions, totals.packet_errors) == (2, 1, 2, 4, 2)
+    assert pending_captures(ingested.completion, ingested.completion.where("status = 'OK'")).count() == 1
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     """Fold sessions with three known labels spread over the splits."""
