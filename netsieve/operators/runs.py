@@ -15,10 +15,10 @@ def pick_best(history: DataFrame, mcc: str = "mcc", loss: str = "loss", tie: flo
     return near.orderBy(loss, F.desc(mcc)).limit(1)
 
 
-def rank_runs(runs: DataFrame, run: str = "run") -> DataFrame:
-    """All finished runs, best first; missing metrics sort last, equal runs by name."""
+def rank_runs(runs: DataFrame, run: str | None = None) -> DataFrame:
+    """All finished runs, best first; missing metrics sort last, equal runs by `run`, the first column if not given."""
     keys = [F.desc_nulls_last(c) for c in ("binary_mcc", "balanced_accuracy", "ood_auroc", "ood_recall")]
-    return runs.where(F.col("status").isin(*DONE)).orderBy(*keys, F.asc_nulls_last("known_frr"), run)
+    return runs.where(F.col("status").isin(*DONE)).orderBy(*keys, F.asc_nulls_last("known_frr"), run or runs.columns[0])
 
 
 def sweep_status(records: DataFrame, status: str = "status") -> DataFrame:
