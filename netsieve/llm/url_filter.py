@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from netsieve.llm.common import ascii_lower
 
-#: Odd multipliers, one for each 32-bit word of a block: multiples of the golden ratio of 2**32.
-SALTS = tuple((0x9E3779B1 * (2 * i + 1)) & 0xFFFFFFFF for i in range(8))
+#: Odd multipliers, one for each 32-bit word of a block, unrelated to each other.
+SALTS = tuple(int(x) | 1 for x in np.random.default_rng(5).integers(1 << 31, 1 << 32, 8))
 BLOCK_BYTES = 32
 
 
