@@ -29,6 +29,7 @@ CHUNK = 1 << 15
 #: Buckets of up to so many fingerprints are compared by shifts of the whole batch, larger ones by a search each.
 SHIFTS = 24
 ROUNDS = 3
+THIN = 1 << 17
 
 
 def fingerprint(text: bytes | None, width: int = 4, bits: int = 64) -> np.ndarray:
@@ -170,6 +171,37 @@ def _link_rows(batches: Iterator[pa.RecordBatch], n: int, radius: int, crowd: in
         yield from solve(held, np.array([0, len(held)]))
 
 
+def _thin(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Links without those that close a circle among at most THIN of them: the tables find the same pairs over and over."""
+
+    def forest(rows: np.ndarray) -> np.ndarray:
+        nodes, at = np.unique(np.concatenate([rows[:, :n], rows[:, n:]]), axis=0, return_inverse=True)
+        at, root, keep = at.reshape(-1), list(range(len(nodes))), []
+        for i, (a, b) in enumerate(zip(at[: len(rows)].tolist(), at[len(rows) :].tolist())):
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                keep.append(i)
+        return rows[keep]
+
+    held, size, names = [], 0, [f"{s}{i}" for s in "ab" for i in range(n)]
+    for batch in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+        size += batch.num_rows
+        if size >= THIN:
+            held = [forest(np.concatenate(held))]
+            if len(held[0]) > THIN // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held[0].T], names)
+                held = []
+            size = sum(map(len, held))
+    if size:
+        rows = forest(np.concatenate(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names)
+
+
 def link_fingerprints(
     fingerprints: DataFrame, radius: int = 4, parts: int = 1, crowd: int = 8192, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -204,7 +236,10 @@ def link_fingerprints(
             "covering",
         )
         side = lambda s: F.struct(*[F.col(f"{s}{i}").alias(f"f{i}") for i in range(n)])
-        links = solved.where("mask = -1").select(side("a").alias("a"), side("b").alias("b"))
+        flat = solved.where("mask = -1").select(*columns[1:])
+        links = flat.mapInArrow(lambda it: _thin(it, n), ", ".join(f"{c} long" for c in columns[1:])).select(
+            side("a").alias("a"), side("b").alias("b")
+        )
         found = links if found is None else found.unionByName(links)
         crowded = solved.where("mask >= 0")
         masks = {r[0]: finer[r[0]][1] for r in crowded.select("mask").distinct().collect()}  # ids of tables
