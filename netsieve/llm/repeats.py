@@ -237,17 +237,19 @@ def _halve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 def _classes(pieces: DataFrame) -> DataFrame:
     """(key, piece, n, m, r) of the classes of equal pieces that matter: n members, m classes with the key, r the first.
 
-    Members are counted before the shuffle, and so are the classes of a key.
+    Members are counted before the shuffle, and so are the classes of a key. What is joined is written first, so that a hot
+    key is split; and it is joined by merging at every size.
     """
     classes = pieces.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest", "place")).alias("r"))
-    groups = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    return classes.join(groups, "key", "left").where("n > 1 or m is not null")
+    classes = stage_table(classes, "classes")
+    groups = stage_table(classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "class-groups")
+    return classes.join(groups.hint("merge"), "key", "left").where("n > 1 or m is not null")
 
 
 def _covered(pieces: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
     """RUN of pieces that equal another: all of them, or all but the first."""
-    repeated = classes.where("n > 1").select("key", "piece", "r")
-    found = pieces.join(repeated, ["key", "piece"])
+    repeated = classes.where("n > 1").select("key", "piece", *(["r"] if keep == "first" else []))
+    found = pieces.join(repeated.hint("merge"), ["key", "piece"])
     if keep == "first":
         found = found.where((F.col("r.id") != F.col("id")) | (F.col("r.digest") != F.col("digest")) | (F.col("r.place") != F.col("place")))
     windows = F.shiftright("place", FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))
@@ -257,11 +259,12 @@ def _covered(pieces: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:
-    """(id, digest, text, row): documents are told apart by doc_id and text. `row` holds all columns but the text."""
+    """(id, digest, text, row): documents are told apart by doc_id and, should that repeat, 31 bits of a hash of the text,
+    few enough to travel with every piece. `row` holds all columns but the text."""
     none = F.col("doc_id").isNull()
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit("")), none).alias("digest"),
+        F.xxhash64(F.coalesce("text", F.lit("")), none).bitwiseAND(F.lit((1 << 31) - 1)).alias("digest"),
         "text",
         F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
     )
@@ -287,8 +290,8 @@ def with_repeats(
         keyed.select("id", "digest", "text").mapInArrow(lambda it: _cut_batches(it, length, gram), PIECE), "pieces"
     )
     # Most anchors stand once: without them everything that follows is smaller.
-    shared = pieces.groupBy("key").count().where("count > 1").select("key")
-    pieces = stage_table(pieces.join(shared, "key", "left_semi"), "shared-pieces")
+    shared = stage_table(pieces.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+    pieces = stage_table(pieces.join(shared.hint("merge"), "key", "left_semi"), "shared-pieces")
     classes = stage_table(_classes(pieces), "piece-classes")
     runs = [_covered(pieces, classes, keep)]
     most = classes.agg(F.max("m")).first()[0] or 0
@@ -299,7 +302,7 @@ def with_repeats(
         wanted = groups.select("key", "r.id", "r.digest", "r.place").groupBy("id", "digest").agg(
             F.collect_list(F.struct("key", "place")).alias("wanted")
         )
-        found = dealt.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
+        found = dealt.join(wanted.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])
         return found.mapInArrow(lambda it: _bodies(it, length, gram - length), BODY)
 
     def matches(rows: DataFrame) -> DataFrame:
@@ -326,7 +329,7 @@ def with_repeats(
     def merged(found: pa.Array) -> pa.Array:
         return _merge(found, length)
 
-    return dealt.join(spans, ["id", "digest"], "left").select("text", "row", merged("found").alias("spans"))
+    return dealt.join(spans.hint("merge"), ["id", "digest"], "left").select("text", "row", merged("found").alias("spans"))
 
 
 def _merge(found: pa.Array, length: int) -> pa.Array:
