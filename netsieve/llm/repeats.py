@@ -259,12 +259,12 @@ def _covered(pieces: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:
-    """(id, digest, text, row): documents are told apart by doc_id and, should that repeat, 31 bits of a hash of the text,
-    few enough to travel with every piece. `row` holds all columns but the text."""
+    """(id, digest, text, row): documents are told apart by doc_id and, should that repeat, all 64 bits of a hash of the text.
+    `row` holds all columns but the text."""
     none = F.col("doc_id").isNull()
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit("")), none).bitwiseAND(F.lit((1 << 31) - 1)).alias("digest"),
+        F.xxhash64(F.coalesce("text", F.lit("")), none).alias("digest"),
         "text",
         F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
     )

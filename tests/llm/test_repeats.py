@@ -127,3 +127,17 @@ def test_long_text_over_chunks(spark):
 
 def test_empty_table(spark):
     assert repeat_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    # Two texts of null id whose hashes agree in the low 31 bits.
+    text = F.concat(F.repeat(F.md5(F.col("id").cast("string")), 2), F.lit(" "))
+    low = F.xxhash64("text", F.lit(True)).bitwiseAND(F.lit((1 << 31) - 1))
+    made = spark.range(200_000).select(text.alias("text")).withColumn("low", low)
+    pair = made.groupBy("low").agg(F.collect_list("text").alias("t")).where("size(t) > 1").orderBy("low").first().t
+    rows = [(None, t) for t in pair] + [(1, pair[0][:50] + "x" * 20), (2, "y" * 20 + pair[1][:45])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeat_report(docs, length=40, gram=12).drop("spans").collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == plain_report(rows, 40)
