@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from netsieve.llm.common import short_batches
 from netsieve.llm.decontaminate import words_of
@@ -29,9 +29,11 @@ WORD, STEM, LEFT, PAIR, SKIP = (
 
 @dataclass(frozen=True)
 class Settings:
-    """Of the fit. `max_rows` bounds the sample of labelled rows; the first by a hash of doc_id are taken."""
+    """Of the fit. `max_rows` bounds the sample of labelled rows; the first by a hash of doc_id are taken, with up to `max_texts`
+    different texts of each."""
 
     max_rows: int = 10_000
+    max_texts: int = 8
     epochs: int = 4
     alpha: float = 0.7
     beta: float = 1.0
@@ -108,8 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """The sparse weights from rows of `labels` (doc_id, label) that have a label and are not held out.
 
     The sample is chosen from the narrow table of labels; it is then bounded, so documents are filtered by a broadcast and
-    one task learns from at most `max_rows` of them. A doc_id with several labels takes the largest; one with several
-    documents learns from each, up to as many rows. No labels give a bias of zero: every score is one half.
+    one task learns from at most `max_rows` of them. A doc_id with several labels takes the largest; equal rows count once,
+    and one with several texts learns from up to `max_texts`, chosen by hash, where the sample has room after the first text
+    of every doc_id. No labels give no weights: every score is one half.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -119,12 +122,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(settings.max_rows)
     )
-    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        F.concat_ws(" ", *[place[n].cast("string") for n in ("h", "doc_id", "t")]).alias("place"), "text", "label"
-    )
+    labelled = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    # One text for each of `max_texts` classes of hashes: a doc_id with very many texts is never gathered.
+    part = F.pmod("t", F.lit(settings.max_texts)).alias("part")
+    texts = labelled.select("doc_id", "t").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", part).agg(F.min("t").alias("t"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("t"))
+    taken = texts.withColumn("nth", place).orderBy("nth", F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows).select("doc_id", "label", "t")
+    found = labelled.join(F.broadcast(taken), ["doc_id", "t"]).select("doc_id", "t", "text", "label").distinct()
+    order = F.concat_ws(" ", F.xxhash64("doc_id").cast("string"), F.col("doc_id").cast("string"), F.col("t").cast("string"))
+    sample = found.select(order.alias("place"), "text", "label")
     short_batches(docs.sparkSession)
-    rows = sample.repartition(1).limit(settings.max_rows).mapInArrow(lambda it: _train_rows(it, settings), "at long, weight double")
+    rows = sample.repartition(1).mapInArrow(lambda it: _train_rows(it, settings), "at long, weight double")
     found = rows.toPandas()
     return found["at"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
