@@ -12,6 +12,7 @@ from netsieve.llm.language import identify_languages
 from netsieve.llm.licenses import license_report
 from netsieve.llm.mixing import mix_sources
 from netsieve.llm.neighbours import search
+from netsieve.llm.quality import score_quality
 from netsieve.llm.repeats import repeat_report
 from netsieve.llm.simhash import near_duplicates
 from netsieve.llm.token_counts import DEFAULT_RANKS, masking_edits, read_ranks, with_edited_counts
@@ -185,3 +186,9 @@ def op7_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return score_quality(table(spark, sf_dir, "documents"), labels)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netsieve.llm.common import short_batches
 from netsieve.llm.decontaminate import words_of
@@ -106,31 +106,38 @@ def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
-    """The sparse weights from rows of `labels` (doc_id, label) that have a label and are not held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, held: Column, max_rows: int, max_texts: int) -> DataFrame:
+    """(place, text, label) of at most `max_rows` rows of `docs` that have a label and are not `held`; `place` orders them.
 
-    The sample is chosen from the narrow table of labels; it is then bounded, so documents are filtered by a broadcast and
-    one task learns from at most `max_rows` of them. A doc_id with several labels takes the largest; equal rows count once,
-    and one with several texts learns from up to `max_texts`, chosen by hash, where the sample has room after the first text
-    of every doc_id. No labels give no weights: every score is one half.
+    The sample is chosen from the narrow table of labels, the first by a hash of doc_id; it is then bounded, so documents are
+    filtered by a broadcast. A doc_id with several labels takes the largest; equal rows count once, and one with several texts
+    gives up to `max_texts`, chosen by hash, where the sample has room after the first text of every doc_id.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-        .where(~held_out())
+        .where(~held)
         .groupBy("doc_id")
         .agg(F.max("label").cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(settings.max_rows)
+        .limit(max_rows)
     )
     labelled = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     # One text for each of `max_texts` classes of hashes: a doc_id with very many texts is never gathered.
-    part = F.pmod("t", F.lit(settings.max_texts)).alias("part")
+    part = F.pmod("t", F.lit(max_texts)).alias("part")
     texts = labelled.select("doc_id", "t").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", part).agg(F.min("t").alias("t"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("t"))
-    taken = texts.withColumn("nth", place).orderBy("nth", F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows).select("doc_id", "label", "t")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("t"))
+    taken = texts.withColumn("nth", nth).orderBy("nth", F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "label", "t")
     found = labelled.join(F.broadcast(taken), ["doc_id", "t"]).select("doc_id", "t", "text", "label").distinct()
-    order = F.concat_ws(" ", F.xxhash64("doc_id").cast("string"), F.col("doc_id").cast("string"), F.col("t").cast("string"))
-    sample = found.select(order.alias("place"), "text", "label")
+    place = F.concat_ws(" ", F.xxhash64("doc_id").cast("string"), F.col("doc_id").cast("string"), F.col("t").cast("string"))
+    return found.select(place.alias("place"), "text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse weights from rows of `labels` (doc_id, label) that have a label and are not held out.
+
+    One task learns from at most `max_rows` of them. No labels give no weights: every score is one half.
+    """
+    sample = labelled_sample(docs, labels, held_out(), settings.max_rows, settings.max_texts)
     short_batches(docs.sparkSession)
     rows = sample.repartition(1).mapInArrow(lambda it: _train_rows(it, settings), "at long, weight double")
     found = rows.toPandas()
