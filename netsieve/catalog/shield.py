@@ -134,6 +134,13 @@ def _poly(coefficients, x: str) -> str:
     return out
 
 
+# The inverse normal of p from q = p - 1/2 and r = sqrt(-ln(min(p, 1 - p))).
+_NORMAL_SQL = f"""CASE WHEN abs(q) <= 0.425::DOUBLE
+        THEN q * {_poly(CENTRAL_NUM, '(0.180625::DOUBLE - q * q)')} / {_poly(CENTRAL_DEN, '(0.180625::DOUBLE - q * q)')}
+        WHEN r <= 5 THEN sign(q) * {_poly(MIDDLE_NUM, '(r - 1.6::DOUBLE)')} / {_poly(MIDDLE_DEN, '(r - 1.6::DOUBLE)')}
+        ELSE sign(q) * {_poly(TAIL_NUM, '(r - 5.0::DOUBLE)')} / {_poly(TAIL_DEN, '(r - 5.0::DOUBLE)')} END"""
+
+
 @query(
     "gaussianised",
     f"""
@@ -146,10 +153,7 @@ def _poly(coefficients, x: str) -> str:
       FROM d JOIN lim USING (dim) LEFT JOIN seg s ON s.dim = d.dim AND d.x >= s.lo AND d.x < s.hi),
     p AS (SELECT vec_id, least(greatest(p0, {EDGE}::DOUBLE), 1 - {EDGE}::DOUBLE) AS p FROM pos),
     a AS (SELECT vec_id, p, p - 0.5::DOUBLE AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM p),
-    z AS (SELECT vec_id, CASE WHEN abs(q) <= 0.425::DOUBLE
-        THEN q * {_poly(CENTRAL_NUM, '(0.180625::DOUBLE - q * q)')} / {_poly(CENTRAL_DEN, '(0.180625::DOUBLE - q * q)')}
-        WHEN r <= 5 THEN sign(q) * {_poly(MIDDLE_NUM, '(r - 1.6::DOUBLE)')} / {_poly(MIDDLE_DEN, '(r - 1.6::DOUBLE)')}
-        ELSE sign(q) * {_poly(TAIL_NUM, '(r - 5.0::DOUBLE)')} / {_poly(TAIL_DEN, '(r - 5.0::DOUBLE)')} END AS z FROM a)
+    z AS (SELECT vec_id, {_NORMAL_SQL} AS z FROM a)
     SELECT vec_id, round(sum(CAST(z AS FLOAT)::DOUBLE), 4) AS total, round(max(CAST(z AS FLOAT)::DOUBLE), 4) AS top FROM z GROUP BY vec_id""",
 )
 def q_gaussianised(spark, sf_dir):
@@ -164,12 +168,13 @@ def q_gaussianised(spark, sf_dir):
 
 # The inverse of each ridged covariance by elimination of [matrix | identity], one column a step. The matrices are
 # symmetric and positive, so no rows change places.
-_PROFILE_SQL = f"""
-{SCORED_SQL},
-tr AS (SELECT id, label AS c, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM sc WHERE split = 'train_known'),
+def _profile_sql(source: str, ridge: str) -> str:
+    """Profiles of the training rows of a relation, distances of all its rows, and the calibration of its validation rows."""
+    return f"""
+tr AS (SELECT id, label AS c, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM {source} WHERE split = 'train_known'),
 mu AS (SELECT c, list(m ORDER BY i) AS mu, any_value(n) AS n FROM (SELECT c, i, avg(x) AS m, count(*) AS n FROM tr GROUP BY c, i) GROUP BY c),
 cv AS (
-  SELECT a.c, a.i, b.i AS j, covar_samp(a.x, b.x) + CASE WHEN a.i = b.i THEN 1e-5::DOUBLE ELSE 0 END AS v
+  SELECT a.c, a.i, b.i AS j, covar_samp(a.x, b.x) + CASE WHEN a.i = b.i THEN {ridge}::DOUBLE ELSE 0 END AS v
   FROM tr a JOIN tr b ON a.id = b.id GROUP BY a.c, a.i, b.i),
 cr AS (SELECT c, i, list(v ORDER BY j) AS r FROM cv GROUP BY c, i),
 c0 AS (
@@ -184,7 +189,7 @@ el AS (
   SELECT c, d, m FROM gj WHERE k = d + 1),
 pf AS (SELECT c, n, mu, list_transform(m, lambda r: r[d + 1 : 2 * d]) AS inv FROM el JOIN mu USING (c)),
 df AS (
-  SELECT sc.*, pf.c, inv, list_transform(embedding, lambda v, i: v::DOUBLE - mu[i]) AS diff FROM sc, pf),
+  SELECT {source}.*, pf.c, inv, list_transform(embedding, lambda v, i: v::DOUBLE - mu[i]) AS diff FROM {source}, pf),
 ds AS (
   SELECT * EXCLUDE (inv, diff), list_sum(list_transform(inv, lambda r, i: diff[i] * list_dot_product(r, diff))) AS d2 FROM df),
 nc AS (
@@ -199,6 +204,9 @@ ta AS (SELECT lam, label AS c, med + lam * mad AS tau FROM ca, lm)
 """
 
 
+_PROFILE_SQL = f"{SCORED_SQL}, {_profile_sql('sc', '1e-5')}"
+
+
 def class_fit(spark, sf_dir) -> tuple[DataFrame, Profiles]:
     rows = scored_rows(spark, sf_dir)
     return rows, fit_profiles(rows.where("split = 'train_known'"), "embedding", "label", CLASSES)
@@ -422,17 +430,102 @@ def q_lambda_grid(spark, sf_dir):
     return _rounded(out, ("lambda", "tn", "fp", "fn", "tp", "known_total", "known_rejected"))
 
 
-@query("open_set_evaluation")
+# The whole shield. Components come from cyclic Jacobi sweeps over the covariance: a step turns all pairs of a round robin at
+# once, so d - 1 steps meet every pair once, and ten sweeps leave nothing beside the diagonal. Index k turns with pa[k] by the
+# angle an[k], co and si being its cosine and signed sine.
+_OPEN_VARIANCE, _OPEN_QUANTILES, _OPEN_RIDGE, _SWEEPS = 0.9, 1000, "1e-2", 10
+_DIAGONAL_GAP = "a[greatest(k, p)][greatest(k, p)] - a[least(k, p)][least(k, p)]"
+_SPACE_SQL = f"""
+px AS (SELECT id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM sc WHERE split = 'train_known'),
+pm AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, avg(x) AS m FROM px GROUP BY i)),
+pv AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS v FROM px a JOIN px b USING (id) GROUP BY a.i, b.i),
+pr AS (SELECT i, list(v ORDER BY j) AS r, list((j = i)::INTEGER::DOUBLE ORDER BY j) AS e FROM pv GROUP BY i),
+p0 AS (SELECT list(r ORDER BY i) AS a, list(e ORDER BY i) AS v, count(*)::INTEGER AS d FROM pr),
+jl AS (
+  WITH RECURSIVE ja AS (
+    SELECT 0 AS t, d, a, v FROM p0
+    UNION ALL
+    SELECT t + 1, d,
+      list_transform(list_transform(a, lambda r, k: list_transform(r, lambda x, j: co[k] * x + si[k] * a[pa[k]][j])),
+                     lambda r: list_transform(r, lambda x, j: co[j] * x + si[j] * r[pa[j]])),
+      list_transform(v, lambda r: list_transform(r, lambda x, j: co[j] * x + si[j] * r[pa[j]]))
+    FROM (
+      SELECT *, list_transform(an, lambda g: cos(g)) AS co, list_transform(an, lambda g, k: CASE WHEN k < pa[k] THEN -sin(g) ELSE sin(g) END) AS si
+      FROM (
+        SELECT *, list_transform(pa, lambda p, k: CASE WHEN a[k][p] = 0 THEN 0.0::DOUBLE
+            ELSE atan2(CASE WHEN {_DIAGONAL_GAP} < 0 THEN -2 ELSE 2 END * a[k][p], abs({_DIAGONAL_GAP})) / 2 END) AS an
+        FROM (
+          SELECT *, list_transform(range(0, d), lambda k: CASE WHEN k = d - 1 THEN t % (d - 1) WHEN k = t % (d - 1) THEN d - 1
+              ELSE (2 * (t % (d - 1)) - k + d - 1) % (d - 1) END::INTEGER + 1) AS pa
+          FROM ja WHERE t < {_SWEEPS} * (d - 1)))))
+  SELECT a, v, d FROM ja ORDER BY t DESC LIMIT 1),
+ev AS (SELECT k, greatest(a[k][k], 0) AS val, list_transform(v, lambda r: r[k]) AS vec FROM (SELECT *, unnest(range(1, d + 1)) AS k FROM jl)),
+es AS (
+  SELECT *, sum(val) OVER () AS total, coalesce(sum(val) OVER (ORDER BY val DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    list_transform(vec, lambda x: abs(x)) AS size FROM ev),
+cm AS (
+  SELECT list(list_transform(vec, lambda x: x * sign(vec[list_position(size, list_max(size))])) ORDER BY val DESC, k) AS comps
+  FROM es WHERE before / total < {_OPEN_VARIANCE}::DOUBLE),
+zz AS (
+  SELECT * EXCLUDE (embedding, mean, comps),
+    list_transform(comps, lambda c: list_dot_product(list_transform(embedding, lambda x, i: x::DOUBLE - mean[i]), c)::FLOAT::DOUBLE) AS z
+  FROM sc, pm, cm),
+zv AS (SELECT id, split, unnest(z) AS x, generate_subscripts(z, 1) AS dim FROM zz),
+zs AS (SELECT dim, list(x ORDER BY x) AS xs, count(*) - 1 AS top, least({_OPEN_QUANTILES}, count(*)) - 1 AS steps FROM zv WHERE split = 'train_known' GROUP BY dim),
+mk AS (
+  SELECT dim, steps, list_transform(range(0, steps + 1), lambda j:
+    xs[j * top // steps + 1] + (xs[least(j * top // steps + 2, top + 1)] - xs[j * top // steps + 1]) * ((j * top % steps) / steps::DOUBLE)) AS ms
+  FROM zs),
+zc AS (
+  SELECT id, dim, x, ms, steps, len(list_filter(ms, lambda m: m <= x)) AS upto, len(list_filter(ms, lambda m: m < x)) AS below
+  FROM zv JOIN mk USING (dim)),
+zp AS (
+  SELECT id, dim,
+    ((CASE WHEN upto = 0 THEN 0 WHEN upto > steps THEN 1 ELSE (upto - 1 + (x - ms[upto]) / (ms[upto + 1] - ms[upto])) / steps END)
+     + (CASE WHEN below = 0 THEN 0 WHEN below > steps THEN 1 ELSE (below - (ms[below + 1] - x) / (ms[below + 1] - ms[below])) / steps END)) / 2 AS p0
+  FROM zc),
+zq AS (SELECT id, dim, p - 0.5::DOUBLE AS q, sqrt(-ln(least(p, 1 - p))) AS r
+       FROM (SELECT id, dim, least(greatest(p0, {EDGE}::DOUBLE), 1 - {EDGE}::DOUBLE) AS p FROM zp)),
+zg AS (SELECT id, list(({_NORMAL_SQL})::FLOAT ORDER BY dim) AS embedding FROM zq GROUP BY id),
+sg AS (SELECT zz.* EXCLUDE (z), zg.embedding FROM zz JOIN zg USING (id))
+"""
+
+
+@query(
+    "open_set_evaluation",
+    f"""
+    WITH {SCORED_SQL}, {_SPACE_SQL}, {_profile_sql("sg", _OPEN_RIDGE)},
+    te AS (
+      SELECT nc.*, lam, distance / tau AS score, distance / tau >= 1 AS rejected, (split = 'test_ood')::INTEGER AS truth
+      FROM nc JOIN ta ON ta.c = nc.winner WHERE split IN ('test_known', 'test_ood') AND lam = {LAM}),
+    kn AS (SELECT * FROM te WHERE truth = 0),
+    bi AS (SELECT count(*) FILTER (truth = 0 AND NOT rejected)::DOUBLE AS tn, count(*) FILTER (truth = 0 AND rejected)::DOUBLE AS fp,
+             count(*) FILTER (truth = 1 AND NOT rejected)::DOUBLE AS fn, count(*) FILTER (truth = 1 AND rejected)::DOUBLE AS tp FROM te),
+    rk AS (
+      SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC) AS up, sum(neg) OVER (ORDER BY score DESC) AS fa, sum(pos) OVER () AS np, sum(neg) OVER () AS nn
+      FROM (SELECT score, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth = 0) AS neg FROM te GROUP BY score)),
+    ra AS (SELECT round(sum(neg * (up - pos / 2.0::DOUBLE)) / (max(np)::DOUBLE * max(nn)), 6) AS auroc,
+             round(sum(pos * up / (up + fa)::DOUBLE) / max(np), 6) AS average_precision,
+             round(min(fa / nn::DOUBLE) FILTER (up / np::DOUBLE >= 0.95::DOUBLE), 6) AS fpr_at_tpr FROM rk),
+    kd AS (SELECT {_degradation_sql(str(LAM))} FROM kn)
+    SELECT tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp,
+      round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS ood_precision, round(tp / (tp + fn), 6) AS ood_recall,
+      round(2 * tp / (2 * tp + fp + fn), 6) AS ood_f1, round(fn / (tp + fn), 6) AS ood_fnr, round(fp / (fp + tn), 6) AS known_false_rejection_rate,
+      round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+      round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS binary_mcc,
+      ra.*, kd.* FROM bi, ra, kd""",
+)
 def q_open_set(spark, sf_dir):
-    """The whole shield on all 64 components; brute-force agreement is tested with numpy."""
+    """The whole shield: components, landmarks, profiles, calibration and judgement over all rows."""
     rows = scored_rows(spark, sf_dir)
     part = {s: rows.where(F.col("split") == s) for s in ("train_known", "val_known", "test_known", "test_ood")}
     settings = ShieldSettings(
-        variance=0.9, lambdas=LAMBDAS, selected=LAM, quantiles=1000, known=KNOWN, unknown=UNKNOWN, epsilon=1e-2
+        variance=_OPEN_VARIANCE, lambdas=LAMBDAS, selected=LAM, quantiles=_OPEN_QUANTILES, known=KNOWN, unknown=UNKNOWN, epsilon=float(_OPEN_RIDGE)
     )
     result = evaluate_open_set(part["train_known"], part["val_known"], part["test_known"], part["test_ood"], settings)
     # Single rows side by side.
-    return result.binary.join(F.broadcast(result.ranking)).join(F.broadcast(result.degradation))
+    both = result.binary.join(F.broadcast(result.ranking)).join(F.broadcast(result.degradation)).drop("mcc_delta")
+    return _rounded(both, ("tn", "fp", "fn", "tp", "known_total", "known_rejected"))
 
 
 # --- inference --------------------------------------------------------------------------------------
