@@ -50,8 +50,21 @@ from netsieve.operators.quantiles import fit_quantiles, gaussianise, landmarks
 from netsieve.operators.sessions import build_sessions
 from netsieve.operators.tensors import to_scaled_image
 from netsieve.plans.closed_set import evaluate_closed_set
-from netsieve.plans.open_set import ShieldSettings, decide, evaluate_open_set, lambda_grid, with_truth
-from netsieve.session import stage_table
+from netsieve.plans.open_set import (
+    OpenSetResult,
+    ShieldSettings,
+    calibrate_shield,
+    decide,
+    evaluate_open_set,
+    fit_shield,
+    lambda_grid,
+    measure,
+    with_truth,
+)
+from netsieve.plans.report import metric_document
+from netsieve.session import scratch_path, stage_table
+from netsieve.sources.results import read_results, write_documents
+from netsieve.sources.shields import load_shield, save_shield
 
 LAMBDAS = (1.0, 1.25, 2.0, 4.5)
 LAM = 1.25
@@ -491,43 +504,103 @@ sg AS (SELECT zz.* EXCLUDE (z), zg.embedding FROM zz JOIN zg USING (id))
 """
 
 
-@query(
-    "open_set_evaluation",
-    f"""
-    WITH {SCORED_SQL}, {_SPACE_SQL}, {_profile_sql("sg", _OPEN_RIDGE)},
-    te AS (
-      SELECT nc.*, lam, distance / tau AS score, distance / tau >= 1 AS rejected, (split = 'test_ood')::INTEGER AS truth
-      FROM nc JOIN ta ON ta.c = nc.winner WHERE split IN ('test_known', 'test_ood') AND lam = {LAM}),
-    kn AS (SELECT * FROM te WHERE truth = 0),
-    bi AS (SELECT count(*) FILTER (truth = 0 AND NOT rejected)::DOUBLE AS tn, count(*) FILTER (truth = 0 AND rejected)::DOUBLE AS fp,
-             count(*) FILTER (truth = 1 AND NOT rejected)::DOUBLE AS fn, count(*) FILTER (truth = 1 AND rejected)::DOUBLE AS tp FROM te),
-    rk AS (
-      SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC) AS up, sum(neg) OVER (ORDER BY score DESC) AS fa, sum(pos) OVER () AS np, sum(neg) OVER () AS nn
-      FROM (SELECT score, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth = 0) AS neg FROM te GROUP BY score)),
-    ra AS (SELECT round(sum(neg * (up - pos / 2.0::DOUBLE)) / (max(np)::DOUBLE * max(nn)), 6) AS auroc,
-             round(sum(pos * up / (up + fa)::DOUBLE) / max(np), 6) AS average_precision,
-             round(min(fa / nn::DOUBLE) FILTER (up / np::DOUBLE >= 0.95::DOUBLE), 6) AS fpr_at_tpr FROM rk),
-    kd AS (SELECT {_degradation_sql(str(LAM))} FROM kn)
-    SELECT tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp,
-      round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS ood_precision, round(tp / (tp + fn), 6) AS ood_recall,
-      round(2 * tp / (2 * tp + fp + fn), 6) AS ood_f1, round(fn / (tp + fn), 6) AS ood_fnr, round(fp / (fp + tn), 6) AS known_false_rejection_rate,
-      round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
-      round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS binary_mcc,
-      ra.*, kd.* FROM bi, ra, kd""",
-)
-def q_open_set(spark, sf_dir):
-    """The whole shield: components, landmarks, profiles, calibration and judgement over all rows."""
+_OPEN_SQL = f"""
+{SCORED_SQL}, {_SPACE_SQL}, {_profile_sql("sg", _OPEN_RIDGE)},
+te AS (
+  SELECT nc.*, lam, distance / tau AS score, distance / tau >= 1 AS rejected, (split = 'test_ood')::INTEGER AS truth
+  FROM nc JOIN ta ON ta.c = nc.winner WHERE split IN ('test_known', 'test_ood') AND lam = {LAM}),
+kn AS (SELECT * FROM te WHERE truth = 0),
+bi AS (SELECT count(*) FILTER (truth = 0 AND NOT rejected)::DOUBLE AS tn, count(*) FILTER (truth = 0 AND rejected)::DOUBLE AS fp,
+         count(*) FILTER (truth = 1 AND NOT rejected)::DOUBLE AS fn, count(*) FILTER (truth = 1 AND rejected)::DOUBLE AS tp FROM te),
+bm AS (
+  SELECT tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp,
+    round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS ood_precision, round(tp / (tp + fn), 6) AS ood_recall,
+    round(2 * tp / (2 * tp + fp + fn), 6) AS ood_f1, round(fn / (tp + fn), 6) AS ood_fnr, round(fp / (fp + tn), 6) AS known_false_rejection_rate,
+    round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+    round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS binary_mcc FROM bi),
+rk AS (
+  SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC) AS up, sum(neg) OVER (ORDER BY score DESC) AS fa, sum(pos) OVER () AS np, sum(neg) OVER () AS nn
+  FROM (SELECT score, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth = 0) AS neg FROM te GROUP BY score)),
+ra AS (SELECT round(sum(neg * (up - pos / 2.0::DOUBLE)) / (max(np)::DOUBLE * max(nn)), 6) AS auroc,
+         round(sum(pos * up / (up + fa)::DOUBLE) / max(np), 6) AS average_precision,
+         round(min(fa / nn::DOUBLE) FILTER (up / np::DOUBLE >= 0.95::DOUBLE), 6) AS fpr_at_tpr FROM rk),
+kd AS (SELECT {_degradation_sql(str(LAM))} FROM kn)
+"""
+
+
+def open_set_result(spark, sf_dir) -> OpenSetResult:
+    """Components, landmarks, profiles, calibration and judgement over all rows."""
     rows = scored_rows(spark, sf_dir)
     part = {s: rows.where(F.col("split") == s) for s in ("train_known", "val_known", "test_known", "test_ood")}
     settings = ShieldSettings(
         variance=_OPEN_VARIANCE, lambdas=LAMBDAS, selected=LAM, quantiles=_OPEN_QUANTILES, known=KNOWN, unknown=UNKNOWN, epsilon=float(_OPEN_RIDGE)
     )
-    result = evaluate_open_set(part["train_known"], part["val_known"], part["test_known"], part["test_ood"], settings)
+    return evaluate_open_set(part["train_known"], part["val_known"], part["test_known"], part["test_ood"], settings, subtype="attack_subtype")
+
+
+@query("open_set_evaluation", f"WITH {_OPEN_SQL} SELECT bm.*, ra.*, kd.* FROM bm, ra, kd")
+def q_open_set(spark, sf_dir):
+    result = open_set_result(spark, sf_dir)
     # Single rows side by side.
     both = result.binary.join(F.broadcast(result.ranking)).join(F.broadcast(result.degradation)).drop("mcc_delta")
     return _rounded(both, ("tn", "fp", "fn", "tp", "known_total", "known_rejected"))
 
 
+@query(
+    "stored_shield",
+    f"""WITH {_OPEN_SQL} SELECT id, winner, rejected, CAST(CASE WHEN rejected THEN -1 ELSE pred END AS INTEGER) AS final FROM te""",
+)
+def q_stored_shield(spark, sf_dir):
+    """Test rows judged by a shield that was fitted, written as a version and read again."""
+    rows = scored_rows(spark, sf_dir)
+    train, val = (rows.where(F.col("split") == s) for s in ("train_known", "val_known"))
+    settings = ShieldSettings(
+        variance=_OPEN_VARIANCE, lambdas=LAMBDAS, selected=LAM, quantiles=_OPEN_QUANTILES, known=KNOWN, unknown=UNKNOWN, epsilon=float(_OPEN_RIDGE)
+    )
+    fitted = fit_shield(train, settings)
+    calibrate_shield(fitted, val, settings)
+    path = scratch_path(spark, "shields")
+    save_shield(fitted, settings, path, train)
+    stored = load_shield(spark, path)
+    tested = measure(stored.shield, rows.where(F.col("split").isin("test_known", "test_ood")).select("id", "pred", "embedding"))
+    judged = decide(tested, stored.shield.calibration, stored.settings.selected)
+    return judged.select("id", "winner", "rejected", shielded_prediction(F.col("rejected"), F.col("pred")).cast("int").alias("final"))
+
+
+@query(
+    "metric_document",
+    f"""WITH {_OPEN_SQL},
+    vr AS (SELECT avg((distance / tau >= 1)::INTEGER) AS frr FROM nc JOIN ta ON ta.c = nc.winner WHERE split = 'val_known' AND lam = {LAM}),
+    kc AS (SELECT count(*) AS kept, sum(val) / any_value(total) AS part FROM es WHERE before / total < {_OPEN_VARIANCE}::DOUBLE)
+    SELECT 'OK' AS status, kept::INTEGER AS pca_components_real, round(part, 6) AS pca_variance_actual, {LAM}::DOUBLE AS selected_lambda_mad,
+      round(frr, 6) AS val_frr, known_false_rejection_rate AS known_frr, ood_recall, ood_precision, ood_f1, auroc AS ood_auroc,
+      average_precision AS ood_aupr, binary_mcc, balanced_accuracy, mcc_after_shield, known_rejected::INTEGER AS known_rejected
+    FROM vr, kc, bm, ra, kd""",
+)
+def q_metric_document(spark, sf_dir):
+    """The nested document of the evaluation, written as a file and read back into flat columns."""
+    path = scratch_path(spark, "documents")
+    write_documents(metric_document(open_set_result(spark, sf_dir), "embeddings", "1970-01-01T00:00:00Z"), path)
+    flat = read_results(spark, path).drop("result_json_path")
+    return _rounded(flat, ("status", "pca_components_real", "selected_lambda_mad", "known_rejected"))
+
+
+@query(
+    "document_breakdown",
+    f"""WITH {_OPEN_SQL}
+    SELECT attack_subtype, count(*) AS support, count(*) FILTER (rejected) AS detected_as_ood, round(avg(rejected::INTEGER), 6) AS ood_recall
+    FROM te WHERE truth = 1 GROUP BY 1""",
+)
+def q_document_breakdown(spark, sf_dir):
+    """Unknown rows by subtype, as the written document holds them."""
+    path = scratch_path(spark, "documents")
+    write_documents(metric_document(open_set_result(spark, sf_dir), "embeddings", "1970-01-01T00:00:00Z"), path)
+    part = "map<string, struct<support:bigint, detected_as_ood:bigint, ood_recall:double>>"
+    inside = F.from_json("value", f"struct<metrics:struct<per_ood_subtype:{part}>>")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(inside["metrics"]["per_ood_subtype"]).alias("attack_subtype", "x"))
+    return rows.select("attack_subtype", "x.support", "x.detected_as_ood", r6("x.ood_recall").alias("ood_recall"))
+
+
 # --- inference --------------------------------------------------------------------------------------
 
 

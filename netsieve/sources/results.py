@@ -69,6 +69,14 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return flatten_results(texts)
 
 
+def write_documents(documents: DataFrame, path: str, run: str = "run") -> None:
+    """Write nested rows as JSON documents, one file below `path/run=<run>` for each; runs of `documents` that stand there are
+    replaced and other runs stay. `run` names a document and must be unique."""
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns]))
+    named = documents.select(F.col(run).alias("run"), body.alias("value"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").text(path)
+
+
 def sorted_json(value: Column) -> Column:
     """A map as JSON text with its keys in order."""
     return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(value))))
