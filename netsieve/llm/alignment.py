@@ -3,13 +3,12 @@
 A text is encoded whole by a byte-level BPE (A) and by a piece model (B); both see a space before it. Where tokens of both end
 at the same byte, a group ends. Groups are not sought over whole texts: a token of A and one of B that start with a space at
 the same byte are an anchor, for then the tokens before them end there too. Anchors cut a text into windows of token ids, about
-one a word. Most windows have been seen before, so the alignment of a window is remembered by its ids.
+one a word. Texts are taken some at a time; a window whose ids have come before among them is not aligned again.
 
-1. A task encodes its texts and writes their ids, compressed; beside them it counts in how many texts a pair of ids is linked,
-   and writes these counts whenever they have grown to a bound.
+1. A task encodes its texts, aligns them, and writes the alignment and the linked pairs of each, compressed; beside them it
+   counts in how many texts a pair of ids is linked, and writes these counts whenever they have grown to a bound.
 2. Counts are added up by pair, and a pair is best if no other has a larger count for its A id.
-3. Texts are read again as ids, and each gets the sums over its links. A pair table of proven size is broadcast; a larger one is
-   joined with the pairs of each text.
+3. Each text gets the sums over its pairs. A pair table of proven size is broadcast; a larger one is joined.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ import pyarrow as pa
 import sentencepiece
 import tiktoken
 import tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from netsieve.llm.common import short_batches
 from netsieve.llm.token_counts import PATTERN
@@ -37,11 +36,11 @@ SPACE = "▁"
 
 @dataclass(frozen=True)
 class Settings:
-    """`max_windows` bounds the remembered windows of a worker, `max_counts` the pairs it counts before it writes them, and
-    `max_broadcast` the pairs of a table that is sent to every worker. Texts beyond `piece_chars` are encoded in pieces."""
+    """Texts are aligned together up to `chunk_tokens`, and alignments of windows are remembered as long. `max_counts` bounds the pairs that
+    a task counts before it writes them, and `max_broadcast` the pairs of a table that is sent to every worker. Texts beyond
+    `piece_chars` are encoded in pieces."""
 
-    max_windows: int = 1 << 17
-    max_window: int = 64
+    chunk_tokens: int = 1 << 18
     max_counts: int = 1 << 20
     max_broadcast: int = 1 << 21
     piece_chars: int = 1 << 18
@@ -79,6 +78,10 @@ class Tokenizers:
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.bytes_b = [bytes([int(n[1:-1], 16)]) if self.pieces.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
         self.lengths = tuple(np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        # Ids as text with what follows them within a group and at its end.
+        self.spelt = tuple(
+            np.array([f"{i}{mark}" for mark in (",", end) for i in range(len(own))], object) for own, end in ((self.bytes_a, "|"), (self.bytes_b, ";"))
+        )
         self.marked = tuple(np.array([x[:1] == b" " for x in own]) for own in (self.bytes_a, self.bytes_b))
         #: No piece spans the end of a word, so pieces of a text that begin with single spaces can be encoded by themselves.
         self.splits = not any(SPACE in n.lstrip(SPACE) for n in names)
@@ -110,53 +113,125 @@ def pieces_of(text: str, size: int) -> Iterator[str]:
     yield text[start:]
 
 
-class Aligner:
-    """Alignments of texts from those of their windows."""
-
-    def __init__(self, tokenizers: Tokenizers, settings: Settings):
-        self.t, self.settings = tokenizers, settings
-        #: By the ids of a window: (groups, links, pairs of ids, their groups as text).
-        self.known: dict[tuple[bytes, bytes], tuple[int, int, np.ndarray, str]] = {}
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, np.ndarray, str]]:
-        """Of each window what is remembered of it."""
-        ends = [np.cumsum(n[own]) for n, own in zip(self.t.lengths, (a, b))]
-        starts = [e - n[own] for e, n, own in zip(ends, self.t.lengths, (a, b))]
-        spaced = [np.flatnonzero(m[own]) for m, own in zip(self.t.marked, (a, b))]
-        _, i, j = np.intersect1d(starts[0][spaced[0]], starts[1][spaced[1]], assume_unique=True, return_indices=True)
-        cuts = [[*spaced[0][i].tolist(), len(a)], [*spaced[1][j].tolist(), len(b)]]
-        if len(a) and (cuts[0][0] or cuts[1][0]):  # the first tokens start together in any case
-            cuts = [[0, *cuts[0]], [0, *cuts[1]]]
-        raw, out = [a.tobytes(), b.tobytes()], []
-        known, look = self.known, self.known.get
-        for a0, a1, b0, b1 in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
-            key = (raw[0][4 * a0 : 4 * a1], raw[1][4 * b0 : 4 * b1])
-            window = look(key)
-            if window is None:
-                window = align(a[a0:a1], b[b0:b1], self.t.lengths)
-                if a1 - a0 <= self.settings.max_window and b1 - b0 <= self.settings.max_window:
-                    if len(known) >= self.settings.max_windows:
-                        known.clear()
-                    known[key] = window
-            out.append(window)
-        return out
-
-
-def align(a: np.ndarray, b: np.ndarray, lengths: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, np.ndarray, str]:
-    """(groups, links, pair of each link, groups as text) of the tokens of a window. A pair is one number: the A id, then 32 bits of
-    the B id."""
-    ends = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
+#: Odd multipliers of the hash that finds equal windows.
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+@dataclass
+class Aligned:
+    """Of some texts: how many groups and links, the groups as text, and of all linked pairs of each text, one after the other, how
+    often they are linked; `until` is where those of a text end."""
+
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+    pairs: np.ndarray
+    times: np.ndarray
+    until: np.ndarray
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ..., of sizes[0] in all, then those of starts[1], and so on."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def windows(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows begin among the tokens of either: at anchors. The first tokens of a text are one."""
+    starts = [np.cumsum(n[own]) - n[own] for n, own in zip(t.lengths, (a, b))]
+    spaced = [np.flatnonzero(m[own]) for m, own in zip(t.marked, (a, b))]
+    left, right = (s[at] for s, at in zip(starts, spaced))
+    place = np.minimum(np.searchsorted(right, left), len(right) - 1)
+    shared = right[place] == left
+    return spaced[0][shared], spaced[1][place[shared]]
+
+
+@dataclass
+class Kinds:
+    """Of different windows: groups and links, the pairs of all links one after the other, and the groups as text, each with `;` behind."""
+
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+    groups: list[str]
+
+
+def align_windows(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], t: Tokenizers) -> Kinds:
+    """Alignments of windows whose tokens stand one after the other. A pair is one number: the A id, then 32 bits of the B id."""
+    ends = [np.cumsum(n[own]) for n, own in zip(t.lengths, (a, b))]
+    # Windows end in both, so the offsets of one window after the other agree, and no group reaches beyond its window.
     shared = np.intersect1d(*ends, assume_unique=True)
-    # Of each group where it ends among the tokens of either.
-    until = [np.searchsorted(e, shared, "right").tolist() for e in ends]
-    pairs, texts, a0, b0 = [], [], 0, 0
-    for a1, b1 in zip(*until):
-        left, right = a[a0:a1], b[b0:b1]
-        pairs.append((left.astype(np.int64)[:, None] << 32 | right).ravel())
-        texts.append(",".join(map(str, left.tolist())) + "|" + ",".join(map(str, right.tolist())))
-        a0, b0 = a1, b1
-    every = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-    return len(texts), len(every), every, ";".join(texts)
+    until = [np.searchsorted(e, shared) + 1 for e in ends]
+    many = [np.diff(u, prepend=0) for u in until]
+    owner = np.searchsorted(np.cumsum(sizes[0]), until[0])
+    links = many[0] * many[1]
+    group = np.repeat(np.arange(len(shared)), links)
+    within = ragged(np.zeros(len(shared), np.int64), links)
+    left, right = ((u - m)[group] for u, m in zip(until, many))
+    pairs = a[left + within // many[1][group]].astype(np.int64) << 32 | b[right + within % many[1][group]]
+    # Tokens in the order of the text: those of a group of A, then those of B.
+    spelt = np.empty(len(a) + len(b), object)
+    places = [ragged(until[0] - many[0] + until[1] - many[1], many[0]), ragged(until[0] + until[1] - many[1], many[1])]
+    for own, place, names, stop in zip((a, b), places, t.spelt, until):
+        last = np.zeros(len(own), np.int64)
+        last[stop - 1] = len(names) // 2
+        spelt[place] = names[own + last]
+    whole, bounds = spelt.tolist(), np.cumsum([0, *(sizes[0] + sizes[1])]).tolist()
+    n = len(sizes[0])
+    return Kinds(
+        np.bincount(owner, minlength=n),
+        np.bincount(owner, links, n).astype(np.int64),
+        pairs,
+        ["".join(whole[x:y]) for x, y in zip(bounds, bounds[1:])],
+    )
+
+
+def align(texts: list[tuple[np.ndarray, np.ndarray]], t: Tokenizers) -> Aligned:
+    """Alignments of texts with tokens from those of their windows, each kind of which is aligned once."""
+    a, b = (np.concatenate([x[side] for x in texts]) for side in (0, 1))
+    i, j = windows(a, b, t)
+    sizes = np.diff(i, append=len(a)), np.diff(j, append=len(b))
+    first, own = _equal_windows((a, b), (i, j), sizes)
+    chosen = tuple(size[first] for size in sizes)
+    kinds = align_windows(a[ragged(i[first], chosen[0])], b[ragged(j[first], chosen[1])], chosen, t)
+    bounds = np.searchsorted(i, np.cumsum([0, *(len(x[0]) for x in texts)]))
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    order = own.tolist()
+    spelt = ["".join(map(kinds.groups.__getitem__, order[x:y]))[:-1] for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+    pairs, at = np.unique(kinds.pairs, return_inverse=True)
+    # Each window once a text, then each pair once a text, with how often they come.
+    seen, times = np.unique(text * len(first) + own, return_counts=True)
+    owner, kind = np.divmod(seen, len(first))
+    many = kinds.n_links[kind]
+    linked = at[ragged((np.cumsum(kinds.n_links) - kinds.n_links)[kind], many)]
+    codes, back = np.unique(np.repeat(owner, many) * len(pairs) + linked, return_inverse=True)
+    owner, which = np.divmod(codes, len(pairs))
+    return Aligned(
+        np.bincount(text, kinds.n_groups[own], len(texts)).astype(np.int64),
+        np.bincount(text, kinds.n_links[own], len(texts)).astype(np.int64),
+        spelt,
+        pairs[which],
+        np.bincount(back, np.repeat(times, many)).astype(np.int64),
+        np.searchsorted(owner, np.arange(len(texts)), "right"),
+    )
+
+
+def _equal_windows(ids: tuple[np.ndarray, ...], starts: tuple[np.ndarray, ...], sizes: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(a window of each kind, the kind of each window). Should two kinds share a hash, every window is a kind of its own."""
+    n = len(starts[0])
+    hashed, places = np.zeros(n, np.uint64), []
+    with np.errstate(over="ignore"):
+        for own, start, size, odd in zip(ids, starts, sizes, _ODD):
+            within = ragged(np.zeros(n, np.int64), size)
+            mixed = (own.astype(np.uint64) + _ODD[2]) * odd * (2 * within.astype(np.uint64) + _ODD[3])
+            mixed = (mixed ^ mixed >> np.uint64(29)) * _ODD[3]
+            hashed = hashed * _ODD[2] + np.add.reduceat(mixed ^ mixed >> np.uint64(32), start) + size.astype(np.uint64)
+            places.append(within)
+    _, first, kind = np.unique(hashed, return_index=True, return_inverse=True)
+    model = first[kind]
+    same = all((size == size[model]).all() for size in sizes) and all(
+        (own == own[np.repeat(start[model], size) + within]).all() for own, start, size, within in zip(ids, starts, sizes, places)
+    )
+    return (first, kind) if same else (np.arange(n), np.arange(n))
 
 
 @dataclass(frozen=True)
@@ -190,8 +265,8 @@ class _Counts:
         self.bound, self.held, self.waiting = bound, 0, []
 
     def add(self, pairs: np.ndarray) -> None:
-        self.waiting.append((pairs, np.ones(len(pairs), np.int64)))
-        self.held += len(pairs)
+        self.waiting.append(np.unique(pairs, return_counts=True))
+        self.held += len(self.waiting[-1][0])
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.waiting) > 1:
@@ -211,55 +286,82 @@ COUNTS_A_ROW = 1 << 16
 
 
 def encode_texts(docs: DataFrame, vocabularies: Vocabularies, settings: Settings = Settings()) -> DataFrame:
-    """`docs` (with text) as ids, written once: (row, n_a, n_b, ids), with rows among them that hold counts of pairs instead.
+    """`docs` (with text) aligned, written once: (row, n_a, n_b, n_groups, n_links, groups, n_text, links, n_pairs), with rows among them
+    that hold counts of pairs instead.
 
-    `row` is a struct of the columns of `docs` but text. `ids` are those of A and then of B, compressed; a text without tokens
-    has none.
+    `row` is a struct of the columns of `docs` but text. `groups` is the alignment as text and `links` its pairs with how often each is
+    linked, both compressed; a text without tokens has none.
     """
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabularies)
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*others).alias("row"), "text")
     schema = T.StructType([T.StructField("row", packed.schema["row"].dataType)])
-    numbers = T.ArrayType(T.LongType())
-    for name, kind in (("n_a", T.LongType()), ("n_b", T.LongType()), ("ids", T.BinaryType()), ("pairs", numbers), ("counts", numbers)):
-        schema.add(name, kind)
+    number, numbers = T.LongType(), T.ArrayType(T.LongType())
+    for name in ("n_a", "n_b", "n_groups", "n_links"):
+        schema.add(name, number)
+    schema.add("groups", T.BinaryType()).add("n_text", number).add("links", T.BinaryType()).add("n_pairs", number)
+    schema.add("pairs", numbers).add("counts", numbers)
+    names, lists = schema.names, pa.list_(pa.int64())
+
+    def aligned(t: Tokenizers, counts: _Counts, rows: pa.Array, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
+        encoded = [_encoded(t, text, settings) for text in texts]
+        whole = [i for i, e in enumerate(encoded) if e is not None]
+        values = np.zeros((6, len(texts)), np.int64)
+        groups: list[bytes | None] = [None] * len(texts)
+        links: list[bytes | None] = [None] * len(texts)
+        if whole:
+            found = align([encoded[i] for i in whole], t)
+            counts.add(found.pairs)
+            values[2, whole], values[3, whole] = found.n_groups, found.n_links
+            start = 0
+            for i, text, stop in zip(whole, found.groups, found.until.tolist()):
+                values[0, i], values[1, i], values[4, i], values[5, i] = len(encoded[i][0]), len(encoded[i][1]), len(text), stop - start
+                groups[i] = pa.compress(text.encode(), codec="zstd", asbytes=True)
+                links[i] = _packed(found.pairs[start:stop], found.times[start:stop])
+                start = stop
+        n, numbers = len(texts), [pa.array(v) for v in values]
+        columns = [rows, *numbers[:4], pa.array(groups, pa.binary()), numbers[4], pa.array(links, pa.binary()), numbers[5]]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, lists), pa.nulls(n, lists)], names)
+
+    def counted(counts: _Counts, rows: pa.DataType) -> Iterator[pa.RecordBatch]:
+        found = counts.fold()
+        counts.waiting, counts.held = [], 0
+        none = [pa.nulls(1, t) for t in [rows, *[pa.int64()] * 4, pa.binary(), pa.int64(), pa.binary(), pa.int64()]]
+        for at in range(0, len(found[0]), COUNTS_A_ROW):
+            parts = [x[at : at + COUNTS_A_ROW] for x in found]
+            own = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in parts]
+            yield pa.RecordBatch.from_arrays([*none, *own], names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizers(shared.value)
-        aligner, counts = Aligner(t, settings), _Counts(settings.max_counts)
-        names, rows = schema.names, None
-        lists, none = pa.list_(pa.int64()), [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            found = counts.fold()
-            counts.waiting, counts.held = [], 0
-            for at in range(0, len(found[0]), COUNTS_A_ROW):
-                parts = [x[at : at + COUNTS_A_ROW] for x in found]
-                own = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, rows), *none, *own], names)
-
+        t, counts, kind = _tokenizers(shared.value), _Counts(settings.max_counts), pa.null()
         for batch in batches:
-            rows = batch.column("row").type
-            sizes, packed = [], []
-            for text in batch.column("text").cast(pa.large_binary()):
-                found = _encoded(t, text.as_py(), settings)
-                if found is None:
-                    sizes.append((0, 0))
-                    packed.append(None)
-                    continue
-                windows = aligner.windows(*found)
-                counts.add(np.unique(np.concatenate([w[2] for w in windows])))
-                sizes.append((len(found[0]), len(found[1])))
-                packed.append(pa.compress(np.concatenate(found).tobytes(), codec="zstd", asbytes=True))
-            n = batch.num_rows
-            numbers = [pa.array([s[i] for s in sizes], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *numbers, pa.array(packed, pa.binary()), pa.nulls(n, lists), pa.nulls(n, lists)], names)
+            rows, texts = batch.column("row"), batch.column("text").cast(pa.large_binary())
+            kind, start, held = rows.type, 0, 0
+            for i in range(len(texts)):
+                # A token has some three bytes of either tokenizer.
+                held += len(texts[i].as_py() or b"") * 2 // 3
+                if held >= settings.chunk_tokens or i == len(texts) - 1:
+                    yield from aligned(t, counts, rows[start : i + 1], texts[start : i + 1].to_pylist())
+                    start, held = i + 1, 0
             if counts.full():
-                yield from counted()
-        yield from counted()
+                yield from counted(counts, kind)
+        yield from counted(counts, kind)
+
+    return stage_table(packed.mapInArrow(encode, schema), "alignments")
 
-    return stage_table(packed.mapInArrow(encode, schema), "token-ids")
+
+def _packed(pairs: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted pairs and how often they come; differences of the A ids are small."""
+    a = np.diff(pairs >> 32, prepend=0)
+    return pa.compress(np.concatenate([a, pairs & 0xFFFFFFFF, times]).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(links: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not links:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b, times = np.frombuffer(pa.decompress(links, 12 * n, "zstd", asbytes=True), np.uint32).astype(np.int64).reshape(3, n)
+    return np.cumsum(a) << 32 | b, times
 
 
 def _encoded(t: Tokenizers, text: bytes | None, settings: Settings) -> tuple[np.ndarray, np.ndarray] | None:
@@ -293,7 +395,6 @@ def align_documents(
     not spell, has zeros and an empty `groups`. Columns of `docs` that are named like the new ones raise an error. Texts of any
     length are encoded whole; beyond `piece_chars`, in pieces where neither tokenizer joins what stands on both sides.
     """
-    spark = docs.sparkSession
     added = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     clash = sorted(set(added) & set(docs.columns))
     if clash:
@@ -303,62 +404,51 @@ def align_documents(
         docs = docs.withColumn("_", F.lit(0))
     encoded = encode_texts(docs, vocabularies, settings)
     pairs = pair_counts(encoded)
-    ids = encoded.where("pairs IS NULL").select("row", "n_a", "n_b", "ids")
+    texts = encoded.where("pairs IS NULL").drop("pairs", "counts")
     small = pairs.limit(settings.max_broadcast + 1).count() <= settings.max_broadcast
-    aligned = _with_broadcast(spark, ids, pairs, vocabularies, settings) if small else _with_join(ids, pairs, vocabularies, settings)
+    summed = _with_broadcast(texts, pairs) if small else _with_join(texts, pairs)
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "_")]
-    return aligned.select(*kept, *added), pairs
+    return summed.select(*kept, *added[:-1], _spelt("groups", "n_text").alias("groups")), pairs
 
 
-def _unpacked(ids: bytes, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(pa.decompress(ids, 4 * (n_a + n_b), "zstd", asbytes=True), np.uint32)
-    return both[:n_a], both[n_a:]
+@F.arrow_udf(T.StringType())
+def _spelt(groups: pa.Array, sizes: pa.Array) -> pa.Array:
+    whole = zip(groups.to_pylist(), sizes.to_pylist())
+    return pa.array([pa.decompress(x, n, "zstd", asbytes=True).decode() if x else "" for x, n in whole], pa.string())
 
 
-def _with_broadcast(spark: SparkSession, ids: DataFrame, pairs: DataFrame, vocabularies: Vocabularies, settings: Settings) -> DataFrame:
+def _with_broadcast(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     table = pairs.select("pair", "documents", "is_best").toPandas().sort_values("pair")  # at most `max_broadcast` rows
-    known = spark.sparkContext.broadcast((table["pair"].to_numpy(np.int64), table["documents"].to_numpy(np.int64), table["is_best"].to_numpy(bool)))
-    shared = spark.sparkContext.broadcast(vocabularies)
+    columns = (table["pair"].to_numpy(np.int64), table["documents"].to_numpy(np.int64), table["is_best"].to_numpy(bool))
+    known = texts.sparkSession.sparkContext.broadcast(columns)
 
-    @F.arrow_udf("n_groups long, n_links long, n_best long, count_sum long, groups string")
-    def sums(packed: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+    @F.arrow_udf("n_best long, count_sum long")
+    def sums(links: pa.Array, n_pairs: pa.Array) -> pa.Array:
         names, documents, best = known.value
-        aligner = Aligner(_tokenizers(shared.value), settings)
-        numbers, groups = np.zeros((len(packed), 4), np.int64), []
-        for i, (own, a, b) in enumerate(zip(packed.to_pylist(), n_a.to_pylist(), n_b.to_pylist())):
-            windows = aligner.windows(*_unpacked(own, a, b)) if own else []
-            if windows:
-                at = np.searchsorted(names, np.concatenate([w[2] for w in windows]))
-                numbers[i] = sum(w[0] for w in windows), len(at), best[at].sum(), documents[at].sum()
-            groups.append(";".join(w[3] for w in windows))
-        columns = [*(pa.array(np.ascontiguousarray(c)) for c in numbers.T), pa.array(groups, pa.string())]
-        return pa.StructArray.from_arrays(columns, ["n_groups", "n_links", "n_best", "count_sum", "groups"])
+        out = np.zeros((2, len(links)), np.int64)
+        for i, (own, n) in enumerate(zip(links.to_pylist(), n_pairs.to_pylist())):
+            found, times = _unpacked(own, n)
+            at = np.searchsorted(names, found)
+            out[:, i] = times @ best[at], times @ documents[at]
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], ["n_best", "count_sum"])
 
-    return ids.withColumn("made", sums("ids", "n_a", "n_b")).select("row", "n_a", "n_b", "made.*")
+    return texts.withColumn("made", sums("links", "n_pairs")).select(*texts.columns, "made.*")
 
 
-def _with_join(ids: DataFrame, pairs: DataFrame, vocabularies: Vocabularies, settings: Settings) -> DataFrame:
+def _with_join(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The same where pairs are too many to be sent to every worker."""
-    shared = ids.sparkSession.sparkContext.broadcast(vocabularies)
-
-    @F.arrow_udf("n_groups long, n_links long, groups string, links array<struct<pair:bigint,n:bigint>>")
-    def links(packed: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        aligner = Aligner(_tokenizers(shared.value), settings)
-        numbers, groups, own_links, offsets = np.zeros((len(packed), 2), np.int64), [], [], [0]
-        for i, (own, a, b) in enumerate(zip(packed.to_pylist(), n_a.to_pylist(), n_b.to_pylist())):
-            windows = aligner.windows(*_unpacked(own, a, b)) if own else []
-            found = np.unique(np.concatenate([w[2] for w in windows] or [np.zeros(0, np.int64)]), return_counts=True)
-            numbers[i] = sum(w[0] for w in windows), found[1].sum()
-            groups.append(";".join(w[3] for w in windows))
-            own_links.append(found)
-            offsets.append(offsets[-1] + len(found[0]))
-        flat = [pa.array(np.concatenate([x[i] for x in own_links] or [np.zeros(0, np.int64)]), pa.int64()) for i in (0, 1)]
-        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, ["pair", "n"]))
-        return pa.StructArray.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in numbers.T), pa.array(groups, pa.string()), listed], ["n_groups", "n_links", "groups", "links"])
-
-    made = ids.withColumn("made", links("ids", "n_a", "n_b")).select(F.monotonically_increasing_id().alias("at"), "row", "n_a", "n_b", "made.*")
-    made = stage_table(made, "links")
-    each = made.select("at", F.explode("links").alias("x")).select("at", "x.*").join(pairs, "pair")
-    totals = each.groupBy("at").agg(F.sum(F.col("n") * F.col("documents")).alias("count_sum"), F.sum(F.when(F.col("is_best"), F.col("n")).otherwise(0)).alias("n_best"))
+
+    @F.arrow_udf("array<struct<pair:bigint,times:bigint>>")
+    def listed(links: pa.Array, n_pairs: pa.Array) -> pa.Array:
+        found = [_unpacked(own, n) for own, n in zip(links.to_pylist(), n_pairs.to_pylist())]
+        until = np.cumsum([0, *(len(x[0]) for x in found)])
+        flat = [pa.array(np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)])) for i in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays(flat, ["pair", "times"]))
+
+    # Both readings of the written table number its rows alike.
+    numbered = texts.withColumn("at", F.monotonically_increasing_id())
+    each = numbered.select("at", F.explode(listed("links", "n_pairs")).alias("x")).select("at", "x.*").join(pairs, "pair")
+    best = F.when(F.col("is_best"), F.col("times")).otherwise(0)
+    totals = each.groupBy("at").agg(F.sum(F.col("times") * F.col("documents")).alias("count_sum"), F.sum(best).alias("n_best"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return made.drop("links").join(totals, "at", "left").select("row", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups")
+    return numbered.join(totals, "at", "left").select(*texts.columns, zero("n_best"), zero("count_sum"))

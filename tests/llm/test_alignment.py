@@ -1,12 +1,13 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netsieve.llm.alignment import DEFAULT_BYTES, DEFAULT_PIECES, Aligner, Settings, Tokenizers, Vocabularies, align_documents, pieces_of
+from netsieve.llm.alignment import DEFAULT_BYTES, DEFAULT_PIECES, Settings, Tokenizers, Vocabularies, align, align_documents, pieces_of, windows
 
 ODD = [" ", "  ", "\n", "\t", "é", "ß", "漢字", "\U0001f600", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x0A>", "▁", "'s", "12,5", " ", "\x00", "ab", "word", "|"]
 
@@ -83,7 +84,7 @@ def texts(n, seed=0):
 NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
 
-@pytest.mark.parametrize("settings", [Settings(), Settings(max_broadcast=10, max_counts=20, max_windows=50, max_window=3, piece_chars=40)])
+@pytest.mark.parametrize("settings", [Settings(), Settings(max_broadcast=10, max_counts=20, chunk_tokens=50, piece_chars=40)])
 def test_against_plain_alignment(spark, settings):
     rows = [*texts(60), "", None, "a", "word " * 20_000, "x" * 3000]
     docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(rows)], "doc_id long, text string, row string").repartition(5)
@@ -132,9 +133,18 @@ def test_pieces_leave_out_one_space_each(both):
             assert whole is None or all((x == y).all() for x, y in zip(whole, cut))
 
 
-def test_windows_are_remembered_within_a_bound(both):
-    aligner = Aligner(both, Settings(max_windows=4))
-    ids = both.encode("the cat sat on the mat and the dog sat too", 100)
-    for _ in range(3):
-        windows = aligner.windows(*ids)
-        assert len(windows) == 11 and len(aligner.known) <= 4
+def test_windows_begin_at_shared_spaces(both):
+    a, b = both.encode("the cat sat on the mat and the dog sat too", 100)
+    assert [len(x) for x in windows(a, b, both)] == [11, 11]
+    for n in (1, 3):
+        found = align([(a, b)] * n, both)
+        assert found.n_groups.tolist() == [len(found.groups[0].split(";"))] * n
+        assert found.times.sum() == found.n_links.sum() and len(found.until) == n
+
+
+def test_windows_that_share_a_hash_stay_apart(both, monkeypatch):
+    ids = [both.encode(t, 100) for t in ("one two one", "three two")]
+    want = align(ids, both)
+    monkeypatch.setattr("netsieve.llm.alignment._ODD", (np.uint64(0),) * 4)  # every window of one size has the same hash
+    got = align(ids, both)
+    assert got.groups == want.groups and (got.pairs == want.pairs).all() and (got.times == want.times).all()
