@@ -40,7 +40,8 @@ from netsieve.operators.sessions import (
     time_segments,
 )
 from netsieve.operators.tensors import to_scaled_image, to_tensor
-from netsieve.session import scratch_path
+from netsieve.session import scratch_path, stage_table
+from netsieve.sources.completion import append_completion, latest, read_log
 from netsieve.sources.headers import decode_headers
 from netsieve.sources.pcap import read_captures, write_captures
 from netsieve.sources.schedule import schedule_from
@@ -707,6 +708,75 @@ def q_telemetry(spark, sf_dir):
     return caps.capture_telemetry(e, e.where("event_type = 'error'"), flags)
 
 
+# Captures of events miss some of their 13 chunks; one capture for each order status has no session, and its reader may have failed.
+_COMPLETION_SQL = f"""
+{PACKETS_SQL}, {SESSION_ROWS_SQL},
+cp AS (
+  SELECT 'd' || (user_id % 5) || '_link' AS source_capture,
+    list_filter(range(0, 13), lambda c: NOT list_contains(list(DISTINCT event_id % 13) FILTER ((event_id % 13) % 5 <> user_id % 5), c)) AS missing,
+    user_id % 5 = 2 AS known, user_id % 5 = 1 AND count(*) FILTER (event_type = 'error') > 0 AS broken,
+    count(*) FILTER (event_type = 'error') AS packet_errors
+  FROM events GROUP BY user_id % 5
+  UNION ALL
+  SELECT 'o' || o_orderstatus || '_link', [], false, o_orderstatus = 'F', CASE WHEN o_orderstatus = 'F' THEN count(*) ELSE 0 END
+  FROM orders GROUP BY o_orderstatus),
+sc AS (SELECT source_capture, count(*) AS sessions, count(*) FILTER (kept) AS kept FROM se GROUP BY 1),
+cc AS (
+  SELECT substr(sha256(source_capture), 1, 16) AS capture_id, source_capture,
+    CASE WHEN NOT broken THEN 'OK' WHEN sessions IS NULL THEN 'FAILED' ELSE 'PARTIAL' END AS status,
+    coalesce(sessions, 0) AS sessions, coalesce(kept, 0) AS kept, packet_errors, known OR len(missing) > 0 OR broken AS source_truncated,
+    len(missing) AS n_missing
+  FROM cp LEFT JOIN sc USING (source_capture))
+"""
+
+
+def event_completion(spark, sf_dir) -> DataFrame:
+    e, orders = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    day, chunk = F.col("user_id") % 5, (F.col("event_id") % 13).cast("int")
+    of_events = e.groupBy(day.alias("day")).agg(F.collect_set(F.when(chunk % 5 != day, chunk)).alias("present"))
+    captures = of_events.select(
+        F.concat(F.lit("d"), "day", F.lit("_link")).alias("source_capture"),
+        F.array_except(F.sequence(F.lit(0), F.lit(12)), "present").alias("missing_chunks"),
+        (F.col("day") == 2).alias("known_truncated"),
+    )
+    status = F.concat(F.lit("o"), "o_orderstatus", F.lit("_link")).alias("source_capture")
+    empty = orders.select(status).distinct().select("source_capture", F.array().cast("array<int>").alias("missing_chunks"), F.lit(False).alias("known_truncated"))
+    every = captures.unionByName(empty).select(
+        hashing.capture_id("source_capture").alias("capture_id"), "*", F.array().cast("array<string>").alias("source_files")
+    )
+    faults = e.where("event_type = 'error'").select(F.concat(F.lit("d"), day, F.lit("_link")).alias("source_capture"), (day == 1).alias("is_read_error"))
+    faults = faults.unionByName(orders.where("o_orderstatus = 'F'").select(status, F.lit(True).alias("is_read_error")))
+    read = faults.where("is_read_error")
+    sessions = caps.flag_sessions(event_sessions(spark, sf_dir), caps.truncated_captures(every, read))
+    return caps.capture_completion(every, sessions, faults, read)
+
+
+@query(
+    "capture_completion",
+    f"WITH {_COMPLETION_SQL} SELECT * FROM cc",
+)
+def q_completion(spark, sf_dir):
+    """Rows of a run, as the log of ingested captures has them after a second run took the failed ones again."""
+    path = scratch_path(spark, "completion")
+    made = stage_table(event_completion(spark, sf_dir), "completion")
+    append_completion(made, path, "first")
+    append_completion(made.where("status = 'FAILED'"), path, "second")
+    return latest(read_log(spark, path)).select(
+        "capture_id", "source_capture", "status", "sessions", "kept", "packet_errors", "source_truncated", F.size("missing_chunks").cast("long").alias("n_missing")
+    )
+
+
+@query(
+    "completion_totals",
+    f"""WITH {_COMPLETION_SQL}
+    SELECT count(*) AS captures, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'PARTIAL') AS partial,
+      count(*) FILTER (source_truncated) AS truncated, count(*) FILTER (n_missing > 0) AS incomplete, sum(n_missing)::BIGINT AS missing_chunks,
+      sum(sessions)::BIGINT AS sessions, sum(kept)::BIGINT AS kept, sum(packet_errors)::BIGINT AS packet_errors FROM cc""",
+)
+def q_completion_totals(spark, sf_dir):
+    return caps.completion_totals(event_completion(spark, sf_dir))
+
+
 # --- labels and small predicates --------------------------------------------------------------------
 
 SEGMENTS = {"AUTOMOBILE": 0, "BUILDING": 1, "FURNITURE": 2, "HOUSEHOLD": 3, "MACHINERY": 4}

@@ -21,7 +21,10 @@ from netsieve.sources import results, sessions as store
 from netsieve.streaming.sessionizer import numbered_sessions, run_available, sessionize_stream
 
 # Fixed list of the tables that come one file each.
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
 
 
 @query(
@@ -76,7 +79,7 @@ def q_result_files(spark, sf_dir):
 def q_file_manifest(spark, sf_dir):
     m = build_manifest(spark, sf_dir)
     name = F.regexp_extract("path", r"([a-z]+)\.parquet", 1)
-    return m.where(name.isin(*TABLES)).groupBy(name.alias("name")).agg(
+    return m.groupBy(name.alias("name")).agg(
         F.sum("row_count").alias("row_count"),
         F.bool_and((F.length("sha256") == 64) & (F.col("size_bytes") > 0)).alias("hashed"),
     )

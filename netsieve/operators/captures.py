@@ -123,10 +123,10 @@ def capture_telemetry(packets_read: DataFrame, errors: DataFrame, flags: DataFra
 
 
 def capture_completion(captures: DataFrame, sessions: DataFrame, errors: DataFrame, read_errors: DataFrame) -> DataFrame:
-    """(capture_id, source_capture, status, sessions, kept, packet_errors, source_truncated): a row per ingested capture.
+    """(capture_id, source_capture, status, sessions, kept, packet_errors, source_truncated, missing_chunks): a row per capture.
 
-    A capture whose reader failed before any session came out has FAILED, others are OK; `pending_captures` takes the OK
-    rows as done. `sessions` are flagged sessions, `errors` rows (source_capture), `read_errors` those of the reader.
+    A capture whose reader failed before any session came out is FAILED, one whose reader failed later PARTIAL, others are OK.
+    `sessions` are flagged sessions, `errors` rows (source_capture), `read_errors` those of the reader.
     """
     found = sessions.groupBy("source_capture").agg(
         F.count(F.lit(1)).alias("sessions"), F.count_if("kept").alias("kept"), F.bool_or("source_truncated").alias("source_truncated")
@@ -141,17 +141,23 @@ def capture_completion(captures: DataFrame, sessions: DataFrame, errors: DataFra
     return joined.select(
         "capture_id",
         "source_capture",
-        F.when(none & F.coalesce("_broken", F.lit(False)), "FAILED").otherwise("OK").alias("status"),
+        F.when(F.col("_broken").isNull(), "OK").when(none, "FAILED").otherwise("PARTIAL").alias("status"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sessions", "kept", "packet_errors")],
         F.coalesce("source_truncated", cut).alias("source_truncated"),
+        "missing_chunks",
     )
 
 
 def completion_totals(completion: DataFrame) -> DataFrame:
-    """One row of totals over the captures of a run: captures, failed, truncated, sessions, kept, packet errors."""
+    """One row of totals over the captures of a run: captures, failed, partial, truncated, captures with missing chunks and these
+    chunks, sessions, kept, packet errors."""
+    missing = F.size("missing_chunks")
     return completion.agg(
         F.count(F.lit(1)).alias("captures"),
         F.count_if(F.col("status") == "FAILED").alias("failed"),
+        F.count_if(F.col("status") == "PARTIAL").alias("partial"),
         F.count_if("source_truncated").alias("truncated"),
+        F.count_if(missing > 0).alias("incomplete"),
+        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_chunks"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sessions", "kept", "packet_errors")],
     )

@@ -106,14 +106,15 @@ def group_mcc(conf: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def known_degradation(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+def known_degradation(df: DataFrame, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """What the shield costs on known rows: MCC before and after, rejections, agreement with the geometry.
 
-    Needs label, pred, winner (geometric class) and rejected.
+    Needs label, pred, winner (geometric class) and rejected. A `weight` column counts a row as so many.
     """
     group = list(group)
     after = F.when(F.col("rejected"), F.lit(-1)).otherwise(F.col("pred"))
-    cells = df.groupBy(*group, "label", "pred", "winner", "rejected").agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cells = df.groupBy(*group, "label", "pred", "winner", "rejected").agg(n.alias("n"))
     keyed = cells.withColumn("_after", after).withColumn("_all", F.lit(1))
     keys = group or ["_all"]
 

@@ -10,12 +10,14 @@ from netsieve.operators.classification import mcc, ratio
 from netsieve.operators.ordered import group_medians, running_totals, split_points
 
 
-def binary_report(df: DataFrame, truth: str, pred: str, group: Sequence[str] = ()) -> DataFrame:
-    """2x2 counts and the rates drawn from them; `truth` and `pred` are 1 for unknown, 0 for known."""
+def binary_report(df: DataFrame, truth: str, pred: str, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """2x2 counts and the rates drawn from them; `truth` and `pred` are 1 for unknown, 0 for known. A `weight` column counts a
+    row as so many."""
     t, p = F.col(truth), F.col(pred)
 
     def cell(a: int, b: int):
-        return F.count_if((t == a) & (p == b))
+        here = (t == a) & (p == b)
+        return F.count_if(here) if weight is None else F.coalesce(F.sum(F.when(here, F.col(weight))), F.lit(0))
 
     counts = df.groupBy(*group).agg(
         cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")
@@ -47,9 +49,15 @@ def roc_points(df: DataFrame, truth: str, score: str, group: Sequence[str] = ())
 
     Ties collapse before anything is ordered, and the running sums carry across score buckets.
     """
+    t = F.col(truth)
+    return counted_roc_points(df.select(*group, score, (t == 1).cast("long").alias("pos"), (t == 0).cast("long").alias("neg")), score, group)
+
+
+def counted_roc_points(df: DataFrame, score: str, group: Sequence[str] = ()) -> DataFrame:
+    """The same from rows that stand for `pos` positives and `neg` negatives."""
     group = list(group)
     counts = df.groupBy(*group, (-F.col(score).cast("double")).alias("_neg")).agg(
-        F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("neg")
     ).withColumn("one", F.lit(1).cast("long"))
     # Split points from the rows themselves spare the sketch a shuffle.
     points = [-p for p in reversed(split_points(df, score))]

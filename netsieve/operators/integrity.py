@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netsieve.functions.paths import CHECKSUM_LINE, is_data_path, line_digest, line_path, path_split
 from netsieve.schemas import SPLITS
+from netsieve.sources.digests import file_digests
 
 
 def parse_manifest(lines: DataFrame, root: str = "data/processed/", suffix: str = ".hdf5") -> DataFrame:
@@ -97,14 +98,7 @@ def integrity_status(summary: DataFrame, manifest_errors: int = 0) -> DataFrame:
 
 
 def build_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """(path, size_bytes, row_count, sha256) of the Parquet files below `path`."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-    )
+    """(path, size_bytes, row_count, sha256) of the Parquet files below `path`, of any size; paths without their scheme."""
     rows = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
@@ -112,8 +106,8 @@ def build_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -
         .groupBy(F.col("_metadata.file_path").alias("path"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
-    plain = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    joined = files.withColumn("path", plain).join(rows.withColumn("path", plain), "path", "left")
+    plain = F.regexp_replace(F.col("path"), "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    joined = file_digests(spark, path, pattern).withColumn("path", plain).join(rows.withColumn("path", plain), "path", "left")
     return joined.select("path", "size_bytes", F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"), "sha256")
 
 

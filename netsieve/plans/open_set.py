@@ -21,12 +21,13 @@ from netsieve.operators.mahalanobis import (
     calibrate,
     fit_profiles,
     nearest_class,
+    rejection_flags,
     sweep_by_class,
     sweep_lambda,
     thresholds_for,
 )
 from netsieve.operators.pca import Pca, fit_pca, project
-from netsieve.operators.quantiles import fit_quantiles, gaussianise
+from netsieve.operators.quantiles import SKETCH_SIZE, fit_quantiles, gaussianise
 from netsieve.operators.runs import pending_lambdas
 from netsieve.schemas import KNOWN_CLASSES, LAMBDA_CANDIDATES, UNKNOWN_CLASSES
 from netsieve.session import materialize
@@ -41,6 +42,7 @@ class ShieldSettings:
     epsilon: float = RIDGE_EPSILON
     quantiles: int = 10_000
     sample: int | None = None  # all training rows
+    sketch: int | None = SKETCH_SIZE  # None: exact landmarks
     seed: int = 42
     known: Mapping[str, int] = field(default_factory=lambda: dict(KNOWN_CLASSES))
     unknown: Mapping[str, int] = field(default_factory=lambda: dict(UNKNOWN_CLASSES))
@@ -57,6 +59,8 @@ class ShieldSettings:
             raise ValueError("the rejection cap must be in [0, 1]")
         if self.epsilon <= 0:
             raise ValueError("the ridge must be positive")
+        if self.sketch is not None and not 8 <= self.sketch <= 65535:
+            raise ValueError("the sketch size must be in 8..65535")
         if self.quantiles < 2 or (self.sample is not None and self.sample < 2):
             raise ValueError("quantiles and sample must be at least 2")
 
@@ -139,7 +143,7 @@ def fit_shield(train: DataFrame, settings: ShieldSettings, id_column: str = "id"
     classes = sorted(settings.known.values())
     pca = fit_pca(train, vector, settings.variance)
     projected = train.select(id_column, "label", project(vector, pca).alias("z"))
-    marks = fit_quantiles(projected, "z", id_column, settings.quantiles, settings.sample, settings.seed)
+    marks = fit_quantiles(projected, "z", id_column, settings.quantiles, settings.sample, settings.seed, settings.sketch)
     normal = projected.select("label", gaussianise("z", marks).alias("g"))
     # The transformed values lie within a few units of 0, so one uncentred pass is accurate.
     profiles = fit_profiles(normal, "g", "label", classes, settings.epsilon, near_zero_dim=pca.k)
@@ -217,7 +221,7 @@ def lambda_grid(
     """One metrics row per lambda over test rows with truth, label, pred, distance, winner.
 
     PCA, quantiles and distances do not depend on lambda, so the grid is one job. Lambdas with a finished
-    row in `done` (lambda, status) are left out.
+    row in `done` (lambda, status) are left out. Only narrow points (score, positives, negatives) are ordered for each lambda.
     """
     wanted = sorted(float(x) for x in lambdas)
     if done is not None:
@@ -225,6 +229,35 @@ def lambda_grid(
         wanted = sorted(r[0] for r in pending_lambdas(candidates, done).collect())
         if not wanted:
             raise ValueError("every lambda already has a finished result")
+    rejected = rejection_flags(calibration, wanted, F.col("distance"), F.col("winner"))
+    # Counts need no copies of rows: one aggregate counts the rejected of every lambda.
+    cells = materialize(
+        measured.groupBy("truth", "label", "pred", "winner").agg(
+            F.count(F.lit(1)).alias("rows"), *[F.count_if(flag).alias(f"r_{i}") for i, flag in enumerate(rejected)]
+        )
+    )
+    by_lambda = F.explode(
+        F.flatten(
+            F.array(
+                *[
+                    F.array(
+                        F.struct(F.lit(lam).alias("lambda"), F.lit(True).alias("rejected"), F.col(f"r_{i}").alias("n")),
+                        F.struct(F.lit(lam).alias("lambda"), F.lit(False).alias("rejected"), (F.col("rows") - F.col(f"r_{i}")).alias("n")),
+                    )
+                    for i, lam in enumerate(wanted)
+                ]
+            )
+        )
+    )
+    counts = cells.select("truth", "label", "pred", "winner", by_lambda.alias("x")).select("truth", "label", "pred", "winner", "x.*").where("n > 0")
+    counts = counts.withColumn("flag", F.col("rejected").cast("int"))
+    binary = detection.binary_report(counts, "truth", "flag", ["lambda"], "n")
+    cost = known_degradation(counts.where("truth = 0"), ["lambda"], "n")
+    # Classes change their order among each other from lambda to lambda, so ranks need an order of each; rows that share a class and
+    # a distance are one.
+    points = measured.groupBy("winner", "distance").agg(
+        F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg")
+    )
     scores = F.array(
         *[
             F.struct(
@@ -234,9 +267,5 @@ def lambda_grid(
             for lam in wanted
         ]
     )
-    grid = measured.select("truth", "label", "pred", "winner", F.inline(scores))
-    grid = grid.withColumn("rejected", is_rejected(F.col("score"))).withColumn("flag", F.col("rejected").cast("int"))
-    binary = detection.binary_report(grid, "truth", "flag", ["lambda"])
-    ranking = detection.ranking_metrics(detection.roc_points(grid, "truth", "score", ["lambda"]), ["lambda"])
-    cost = known_degradation(grid.where("truth = 0"), ["lambda"])
+    ranking = detection.ranking_metrics(detection.counted_roc_points(points.select("pos", "neg", F.inline(scores)), "score", ["lambda"]), ["lambda"])
     return binary.join(ranking, "lambda").join(cost, "lambda")

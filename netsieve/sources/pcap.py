@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from netsieve.operators.captures import name_captures
 from netsieve.schemas import PACKETS
+from netsieve.sources.digests import arrow_uri
 
 # Fixed format: magic number -> (byte order, fraction digits per microsecond).
 MAGICS = {
@@ -216,11 +217,6 @@ def write_captures(frames: DataFrame, path: str) -> DataFrame:
     return frames.sparkSession.createDataFrame(rows, "source_file string, packets bigint")
 
 
-def arrow_uri(path: str) -> str:
-    """Arrow wants the empty host that Spark leaves out of local paths."""
-    return "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
-
-
 def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The packet table from Parquet, or from capture files with names resolved to captures and chunks."""
     if fmt == "parquet":

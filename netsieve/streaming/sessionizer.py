@@ -160,6 +160,9 @@ def sessionize_stream(
     )
 
 
+NOTE_EVERY_S = 0.5
+
+
 @dataclass
 class StreamRun:
     """Closed sessions, those still open in the state, and the number of packets that came too late."""
@@ -183,14 +186,18 @@ def run_available(spark: SparkSession, sessions: DataFrame, out: str, checkpoint
             .trigger(availableNow=True)
             .start()
         )
-        stream.awaitTermination()
-        late = sum(op["numRowsDroppedByWatermark"] for p in stream.recentProgress for op in p["stateOperators"])
+        late: dict[int, int] = {}
+        ended = False
+        while not ended:  # only the last triggers are kept by the stream, so they are noted while it runs
+            ended = stream.awaitTermination(NOTE_EVERY_S)
+            for p in stream.recentProgress:
+                late[p["batchId"]] = sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])
         state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
         names = SESSION_KEYS
         opened = state.select(*[F.col(f"key.{n}").alias(n) for n in names], "value.*").select(*NAMES)
     finally:
         spark.conf.set(key, before)
-    return StreamRun(spark.read.schema(OUTPUT).parquet(out), opened, late)
+    return StreamRun(spark.read.schema(OUTPUT).parquet(out), opened, sum(late.values()))
 
 
 def numbered_sessions(

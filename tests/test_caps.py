@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netsieve.operators.integrity import fingerprint
-from netsieve.operators.quantiles import landmarks
+from netsieve.operators.quantiles import fit_quantiles, landmarks, sketched_landmarks
 from netsieve.sources.headers import decode_headers
 
 UDP = struct.pack(">HHHH", 1000, 53, 12, 0) + b"data"
@@ -55,3 +55,29 @@ def test_landmarks_equal_numpy(spark, rows, quantiles):
     got = {r.dim: r.q for r in landmarks(df, "v", quantiles).collect()}
     for d in range(3):
         np.testing.assert_allclose(got[d], np.quantile(x[:, d], np.linspace(0, 1, quantiles)), atol=1e-12)
+
+
+@pytest.mark.parametrize("rows,quantiles", [(1, 5), (2, 7), (40, 11), (300, 40)])
+def test_sketches_of_small_tables_are_exact(spark, rows, quantiles):
+    x = np.round(np.random.default_rng(rows).normal(size=(rows, 3)), 1)
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
+    got = {r.dim: r.q for r in sketched_landmarks(df, "v", quantiles).collect()}
+    for d in range(3):
+        np.testing.assert_allclose(got[d], np.quantile(x[:, d], np.linspace(0, 1, quantiles)), atol=1e-12)
+    assert sketched_landmarks(df.limit(0), "v", quantiles).count() == 0
+
+
+def test_sketches_keep_ranks_within_their_error(spark):
+    df = spark.range(0, 200_000, 1, 8).select(F.array(F.randn(1), F.exp(F.randn(2))).alias("v"), "id")
+    assert np.array_equal(
+        fit_quantiles(df.where("id < 500"), "v", "id", 100), fit_quantiles(df.where("id < 500"), "v", "id", 100, sketch=None)
+    )
+    exact = np.sort(np.array([r.v for r in df.select("v").collect()]), axis=0)
+    got = fit_quantiles(df, "v", "id", 1001, sketch=1024)
+    for d in range(2):
+        ranks = np.searchsorted(exact[:, d], got[d]) / len(exact)
+        assert np.abs(ranks - np.linspace(0, 1, 1001)).max() < 0.003
+        assert (got[d][0], got[d][-1]) == (exact[0, d], exact[-1, d])
+    # One exchange of sketches; no row per value.
+    plan = sketched_landmarks(df, "v", 11)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("ObjectHashAggregate")

@@ -23,7 +23,7 @@ from netsieve.plans.ingestion import ingest
 from netsieve.plans.train_profile import fit_profile
 from netsieve.schemas import SCHEDULE
 from netsieve.sources.pcap import read_packets
-from netsieve.sources.sessions import list_capture_files, read_sessions, write_sessions
+from netsieve.sources.sessions import list_capture_files, read_sessions, remove_replaced, withdraw_captures, write_sessions
 from netsieve.streaming.sessionizer import numbered_sessions, run_available, sessionize_stream
 from tests import folds
 from tests.test_frames import capture_bytes, eth, tcp, udp, v4
@@ -155,6 +155,31 @@ def test_a_rerun_leaves_no_stale_rows(spark, ingested, tmp_path):
     assert read_sessions(spark, path).count() == 5
 
 
+def test_a_failed_write_changes_nothing(spark, ingested, tmp_path):
+    path = str(tmp_path / "store")
+    write_sessions(ingested.sessions, path)
+    rows = sorted(map(str, read_sessions(spark, path).collect()))
+    broken = ingested.sessions.withColumn("attack_subtype", F.when(F.col("split") == "test_ood", F.raise_error(F.lit("broken"))).otherwise("new"))
+    with pytest.raises(Exception, match="broken"):
+        write_sessions(broken, path, ingested.completion)
+    assert sorted(map(str, read_sessions(spark, path).collect())) == rows
+    # Rows that were written without a commit do not show either.
+    parts = ingested.sessions.withColumn("generation", F.lit("lost"))
+    parts.write.mode("append").partitionBy("generation", "split", "capture_day", "capture_id").parquet(f"{path}/data")
+    assert sorted(map(str, read_sessions(spark, path).collect())) == rows
+    assert remove_replaced(spark, path) > 0 and remove_replaced(spark, path) == 0
+    assert sorted(map(str, read_sessions(spark, path).collect())) == rows
+
+
+def test_withdrawn_captures_are_gone(spark, ingested, tmp_path):
+    path = str(tmp_path / "store")
+    assert read_sessions(spark, path).count() == 0 and withdraw_captures(spark, path, ingested.completion) == 0
+    assert write_sessions(ingested.sessions, path) == 1
+    assert withdraw_captures(spark, path, ingested.completion) == ingested.sessions.select("split").distinct().count()
+    assert read_sessions(spark, path).count() == 0
+    assert write_sessions(ingested.sessions, path) == 3 and read_sessions(spark, path).count() == 4
+
+
 def test_completion(ingested):
     rows = {r.source_capture: r for r in ingested.completion.collect()}
     # One capture gave sessions in spite of an error; the other's reader failed before any packet.
@@ -244,6 +269,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert out.count() == batch.count() and out.exceptAll(batch).count() == 0
 
 
+def test_late_packets_of_many_triggers(spark, tmp_path):
+    second, n = 1_000_000, 16
+    times = [10_000, *[20_000 + k if k % 2 else k for k in range(n)]]
+    rows = [("cap", f"k{i}", 0, i, t * second, False, "Benign", "Benign", "1.1.1.1", 1, 0.0, b"") for i, t in enumerate(times)]
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "4")
+    try:
+        run = streamed(spark, tmp_path, packet_table(spark, rows), [(i, i + 1) for i in range(len(rows))], "0 seconds")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert run.late_packets == n // 2
+
+
 def test_late_packets_are_counted(spark, tmp_path):
     second = 1_000_000
     rows = [("cap", f"k{i}", 0, i, t * second, False, "Benign", "Benign", "1.1.1.1", 1, 0.0, b"") for i, t in enumerate((1000, 2000, 10, 3000))]

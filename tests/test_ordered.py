@@ -15,7 +15,9 @@ def values():
     return pd.DataFrame({"g": np.where(rng.random(5000) < 0.8, 0, rng.integers(1, 5, 5000)), "v": v, "y": rng.integers(0, 2, 5000)})
 
 
-def test_medians(spark, values):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_medians(spark, values, small, monkeypatch):
+    monkeypatch.setattr("netsieve.operators.ordered.SMALL_SIDE_ROWS", small)  # by buckets, and in one aggregate
     nulls = spark.createDataFrame([(g, None, 0) for g in (0, 0, 1, 9)], "g long, v double, y long")
     got = {r.g: r for r in group_medians(spark.createDataFrame(values).unionByName(nulls), ["g"], "v").collect()}
     assert 9 not in got  # nulls only
