@@ -54,7 +54,9 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to Parquet under the checkpoint folder and read it back, column by column."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -62,12 +64,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return stage_table(df, "stage")
 
 
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Remove tables that `stage_table` has returned, when everything that was made of them is written."""
+    for df in tables:
+        _STAGED.remove(df._staged_path)
+        _delete(df.sparkSession, df._staged_path)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Remove the tables that this program has staged, once their results are written; the number of folders removed."""
-    jvm, conf, removed = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    removed = 0
     while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        removed += path.getFileSystem(conf).delete(path, True)
+        removed += _delete(spark, _STAGED.pop())
     return removed
 
 
