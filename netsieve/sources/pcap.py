@@ -1,8 +1,11 @@
 """Capture files as a Spark table, read in ranges.
 
-A capture has no marks between records, so a first pass hops from record to record and notes every few megabytes where a
-record starts and which number it has: `spark.read.format("capture_index").load(glob)`, a task per file and a row per
-range. The second pass reads the ranges, spread over the cluster whatever file they are from.
+A capture has no marks between records. A first pass indexes ranges of a file in parallel: the task of a range looks for the first
+place that begins a chain of plausible record headers, hops from record to record until its range ends, and notes where it
+began, where the next record begins, and how many it met. A range is confirmed if it began where the one before it ended; else, as
+where frames look like records, it is hopped through again from there, up to a range that agrees. What results is what one hop
+through the whole file gives. `spark.read.format("capture_index").load(glob)` is this pass: a row per range. The second pass
+reads the ranges, spread over the cluster whatever file they are from.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ from fnmatch import fnmatch
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from netsieve.operators.captures import name_captures
 from netsieve.schemas import PACKETS
+from netsieve.session import stage_table
 from netsieve.sources.digests import arrow_uri
 
 # Fixed format: magic number -> (byte order, fraction digits per microsecond).
@@ -47,57 +51,97 @@ FRAME_SCHEMA = pa.schema(
         ("read_error", pa.string()),
     ]
 )
-RANGE = "source_file string, start bigint, stop bigint, first_packet bigint, magic string, read_error string"
+#: Of a range: its number in the file, where it may begin and end, where its first record and the next one after it begin (the first is
+#: -1 if none was found), and its packets.
+RANGE = "source_file string, part bigint, low bigint, high bigint, size bigint, start bigint, stop bigint, packets bigint, magic string, read_error string"
 RANGE_SCHEMA = pa.schema(
     [
         ("source_file", pa.string()),
-        ("start", pa.int64()),
-        ("stop", pa.int64()),
-        ("first_packet", pa.int64()),
+        *[(c, pa.int64()) for c in ("part", "low", "high", "size", "start", "stop", "packets")],
         ("magic", pa.string()),
         ("read_error", pa.string()),
     ]
 )
+#: So many headers in a row make a place plausible; a record holds no more bytes than this; and its time lies within a year of
+#: the first one's.
+CHAIN = 6
+LONGEST_RECORD = 1 << 18
+CLOSE_S = 366 * 86_400
 
 
 @dataclass
-class CaptureFile(InputPartition):
+class CaptureRange(InputPartition):
     uri: str
-
-
-def find_ranges(stream, size: int, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[int, int, int, str, str | None]]:
-    """(start, stop, first packet, magic, error): the records of a capture, cut about every `range_bytes`.
-
-    The error is that of a broken tail, which ends the last range; a broken header makes one empty range.
-    """
-    head = stream.read(FILE_HEADER)
-    if len(head) < FILE_HEADER or bytes(head[:4]) not in MAGICS:
-        yield 0, 0, 0, "", "ValueError: invalid capture header"
-        return
-    magic = bytes(head[:4]).hex()
-    stored_at = struct.Struct(MAGICS[bytes(head[:4])][0] + "I").unpack_from
-    start = at = FILE_HEADER
-    first = number = 0
-    error = None
-    held, held_at = b"", at
-    while at < size:
-        if at + RECORD_HEADER > size:
-            error = "NeedData: truncated record header"
-            break
-        if not held_at <= at <= held_at + len(held) - RECORD_HEADER:
-            stream.seek(at)
-            held, held_at = stream.read(BUFFER_BYTES), at
-        (stored,) = stored_at(held, at - held_at + 8)
-        if at + RECORD_HEADER + stored > size:
-            error = "NeedData: truncated record"
-            break
-        at += RECORD_HEADER + stored
-        number += 1
-        if at - start >= range_bytes:
-            yield start, at, first, magic, None
-            start, first = at, number
-    if at > start or error or not first:
-        yield start, at, first, magic, error
+    part: int
+    low: int
+    high: int
+    size: int
+
+
+class Capture:
+    """The records of an open capture file: hopping over them, and finding them from any place on."""
+
+    def __init__(self, stream, size: int):
+        self.stream, self.size, self.held, self.held_at = stream, size, b"", 0
+        head = stream.read(FILE_HEADER)
+        self.magic = bytes(head[:4]).hex() if len(head) == FILE_HEADER and bytes(head[:4]) in MAGICS else None
+        if self.magic:
+            order, per_us = MAGICS[bytes(head[:4])]
+            self.header, self.fractions = struct.Struct(order + "IIII").unpack_from, per_us * 1_000_000
+            self.first_s = self.header(self.at(FILE_HEADER))[0] if size >= FILE_HEADER + RECORD_HEADER else 0
+
+    def at(self, place: int, n: int = RECORD_HEADER) -> bytes:
+        """`n` bytes from `place` on, fewer at the end."""
+        if not (self.held_at <= place and place + n <= self.held_at + len(self.held)):
+            self.stream.seek(place)
+            self.held, self.held_at = self.stream.read(max(n, BUFFER_BYTES)), place
+        return self.held[place - self.held_at : place - self.held_at + n]
+
+    def plausible(self, place: int) -> bool:
+        """Whether a chain of headers begins here: CHAIN of them, or fewer up to the end of the file."""
+        for _ in range(CHAIN):
+            if place == self.size:
+                return True
+            if place + RECORD_HEADER > self.size:
+                return False
+            seconds, fraction, stored, whole = self.header(self.at(place))
+            if fraction >= self.fractions or not stored <= whole <= LONGEST_RECORD or abs(seconds - self.first_s) > CLOSE_S:
+                return False
+            place += RECORD_HEADER + stored
+            if place > self.size:
+                return False
+        return True
+
+    def resync(self, low: int, high: int) -> int:
+        """The first plausible place in [low, high), -1 without one."""
+        return next((p for p in range(low, min(high, self.size)) if self.plausible(p)), -1)
+
+    def hop(self, start: int, high: int) -> tuple[int, int, str | None]:
+        """(where the first record from `high` on begins, packets before it, error of a broken tail)."""
+        at = start
+        count = 0
+        while at < min(high, self.size):
+            if at + RECORD_HEADER > self.size:
+                return at, count, "NeedData: truncated record header"
+            stored = self.header(self.at(at))[2]
+            if at + RECORD_HEADER + stored > self.size:
+                return at, count, "NeedData: truncated record"
+            at += RECORD_HEADER + stored
+            count += 1
+        return at, count, None
+
+
+def index_range(stream, uri: str, part: int, low: int, high: int, size: int, start: int | None = None) -> tuple:
+    """The RANGE row of a part of a file; without a known `start` its records are looked for."""
+    capture = Capture(stream, size)
+    if capture.magic is None:
+        return uri, part, low, high, size, 0, 0, 0, "", "ValueError: invalid capture header" if part == 0 else None
+    if start is None:
+        start = FILE_HEADER if part == 0 else capture.resync(low, high)
+    if start < 0:
+        return uri, part, low, high, size, -1, -1, 0, capture.magic, None
+    stop, packets, error = capture.hop(start, high)
+    return uri, part, low, high, size, start, stop, packets, capture.magic, error
 
 
 def read_range(stream, start: int, stop: int, magic: str) -> Iterator[tuple[int, bytes]]:
@@ -132,27 +176,34 @@ class IndexReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         folder, _, pattern = self.path.rpartition("/")
+        names = None
         if not any(ch in pattern for ch in "*?"):
             fs, root = pafs.FileSystem.from_uri(self.path)
-            if fs.get_file_info(root).type == pafs.FileType.File:
-                return [CaptureFile(self.path)]
+            info = fs.get_file_info(root)
+            if info.type == pafs.FileType.File:
+                names = [(self.path, info.size)]
             folder, pattern = self.path.rstrip("/"), "*.pcap"
-        fs, root = pafs.FileSystem.from_uri(folder)
-        prefix = folder[: len(folder) - len(root)] if folder.endswith(root) else ""
-        found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        names = sorted(f.path for f in found if f.is_file and fnmatch(f.base_name, pattern))
-        return [CaptureFile(prefix + name) for name in names]
-
-    def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
+        if names is None:
+            fs, root = pafs.FileSystem.from_uri(folder)
+            prefix = folder[: len(folder) - len(root)] if folder.endswith(root) else ""
+            found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+            names = sorted((prefix + f.path, f.size) for f in found if f.is_file and fnmatch(f.base_name, pattern))
+        step = max(self.range_bytes, RECORD_HEADER)
+        return [
+            CaptureRange(name, part, low, min(low + step, max(size, 1)), size)
+            for name, size in names
+            for part, low in enumerate(range(0, max(size, 1), step))
+        ]
+
+    def read(self, partition: CaptureRange) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(partition.uri)
         with fs.open_input_file(path) as stream:
-            rows = [(partition.uri, *r) for r in find_ranges(stream, stream.size(), self.range_bytes)]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), RANGE_SCHEMA.types)]
-        yield pa.RecordBatch.from_arrays(columns, schema=RANGE_SCHEMA)
+            row = index_range(stream, partition.uri, partition.part, partition.low, partition.high, partition.size)
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, RANGE_SCHEMA.types)], schema=RANGE_SCHEMA)
 
 
 class CaptureIndex(DataSource):
-    """The ranges of capture files: one task per file, which holds a buffer and the ranges it has found."""
+    """Ranges of capture files, a task for each, as they were found; `confirmed_ranges` makes them agree."""
 
     @classmethod
     def name(cls) -> str:
@@ -165,6 +216,58 @@ class CaptureIndex(DataSource):
         return IndexReader(arrow_uri(self.options["path"]), int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (RANGE, begin, later): the first range of a file that does not agree, and those after it. Ranges are hopped through again
+    where they do not begin at the end of the one before; the others are left as they are."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            fs, path = pafs.FileSystem.from_uri(r["source_file"])
+            with fs.open_input_file(path) as stream:
+                begin = r["begin"]
+                for part in [r, *r["later"]]:
+                    if part["start"] == begin:
+                        begin, error = part["stop"], part["read_error"]
+                    else:
+                        stream.seek(0)
+                        rows.append(index_range(stream, r["source_file"], part["part"], part["low"], part["high"], r["size"], begin))
+                        begin, error = rows[-1][6], rows[-1][9]
+                    if error:
+                        break
+        columns = list(zip(*rows)) if rows else [[] for _ in RANGE_SCHEMA]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RANGE_SCHEMA.types)], schema=RANGE_SCHEMA)
+
+
+def confirmed_ranges(found: DataFrame) -> DataFrame:
+    """(source_file, start, stop, first_packet, magic, read_error): ranges that follow on each other, from those that were found.
+
+    Ranges behind a broken record go. Most files need no mending; else one task walks along the ranges of a file and hops only through
+    those that do not agree. Windows hold the ranges of a file, a row for each.
+    """
+    ranges = stage_table(found, "capture-ranges")
+    in_file = Window.partitionBy("source_file").orderBy("part")
+    while True:
+        linked = ranges.withColumn("begin", F.lag("stop").over(in_file)).withColumn(
+            "dead", F.coalesce(F.max(F.col("read_error").isNotNull()).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        )
+        live = linked.where(~F.col("dead")).drop("dead")
+        odd = live.where(F.col("start") != F.col("begin"))
+        first = odd.groupBy("source_file").agg(F.min("part").alias("first"))
+        later = F.filter("parts", lambda p: p["part"] > F.col("part"))
+        parts = live.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("part", "low", "high", "start", "stop", "read_error"))).alias("parts"))
+        work = odd.join(first, "source_file").where("part = first").join(parts, "source_file").withColumn("later", later)
+        work = work.select(*ranges.columns, "begin", "later")
+        if work.isEmpty():
+            break
+        mended = stage_table(work.repartition("source_file").mapInArrow(_again, RANGE), "mended-ranges")
+        rest = ranges.join(mended, ["source_file", "part"], "left_anti")
+        ranges = stage_table(rest.unionByName(mended), "capture-ranges")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    counted = live.withColumn("first_packet", F.coalesce(F.sum("packets").over(before), F.lit(0)))
+    used = counted.where("stop > start OR read_error IS NOT NULL")
+    return used.select("source_file", "start", "stop", "first_packet", "magic", "read_error")
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FRAME_SCHEMA.types)], schema=FRAME_SCHEMA)
@@ -191,7 +294,7 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """FRAME rows of capture files: a file, or all *.pcap below a folder, or a pattern of names."""
     spark.dataSource.register(CaptureIndex)
-    ranges = spark.read.format("capture_index").option("range_bytes", range_bytes).load(path)
+    ranges = confirmed_ranges(spark.read.format("capture_index").option("range_bytes", range_bytes).load(path))
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return ranges.repartition(tasks, "source_file", "start").mapInArrow(_frames, FRAME)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netsieve.functions.packets import anonymised_prefix, byte_entropy, encode_delta
 from netsieve.sources.headers import decode_headers
-from netsieve.sources.pcap import read_packets
+from netsieve.sources.pcap import CaptureIndex, read_captures, read_packets
 
 
 def v4(src, dst, proto, l4, fragment=0, options=b""):
@@ -123,6 +123,53 @@ def test_capture_files(spark, tmp_path):
     assert by["fri-02_C", 0][0].read_error == "ValueError: invalid capture header"
 
 
+def plain_records(data):
+    """(packet_no, ts_us, frame) by one hop through the file, and the error of its tail."""
+    out, at = [], 24
+    while at < len(data):
+        if at + 16 > len(data):
+            return out, "NeedData: truncated record header"
+        seconds, micros, stored, _ = struct.unpack_from("<IIII", data, at)
+        if at + 16 + stored > len(data):
+            return out, "NeedData: truncated record"
+        out.append((len(out), seconds * 1_000_000 + micros, data[at + 16 : at + 16 + stored]))
+        at += 16 + stored
+    return out, None
+
+
+def odd_frames(seed, n):
+    """Frames that hold whole chains of records, and some that are longer than a range."""
+    rng = random.Random(seed)
+    fake = struct.pack("<IIII", 1000, 5, 4, 4) + b"fake"
+    kinds = [lambda: rng.randbytes(rng.randint(0, 90)), lambda: fake * rng.randint(1, 30), lambda: b"", lambda: rng.randbytes(5) + fake * 12]
+    return [(1000 + i, i % 1_000_000, rng.choice(kinds)() if i % 40 else rng.randbytes(3000)) for i in range(n)]
+
+
+@pytest.mark.parametrize("cut,size", [(0, 700), (3, 150), (20, 1 << 20)])
+def test_ranges_agree_with_one_hop(spark, tmp_path, cut, size):
+    data = capture_bytes(odd_frames(cut, 120))
+    data = data[: len(data) - cut]
+    (tmp_path / "odd.pcap").write_bytes(data)
+    (tmp_path / "bad.pcap").write_bytes(b"no capture at all" * 100)
+    (tmp_path / "empty.pcap").write_bytes(capture_bytes([]))
+    records, error = plain_records(data)
+    rows = read_captures(spark, str(tmp_path), range_bytes=size).collect()
+    mine = [r for r in rows if r.source_file.endswith("odd.pcap")]
+    assert sorted((r.packet_no, r.ts_us, bytes(r.frame)) for r in mine if r.frame is not None) == records
+    assert [r.read_error for r in mine if r.read_error] == ([error] if error else [])
+    assert [(r.packet_no, r.read_error) for r in rows if r.source_file.endswith("bad.pcap")] == [(0, "ValueError: invalid capture header")]
+    assert not [r for r in rows if r.source_file.endswith("empty.pcap")]
+
+
+def test_most_ranges_are_found_without_mending(spark, tmp_path):
+    rng = random.Random(5)
+    (tmp_path / "a.pcap").write_bytes(capture_bytes([(1000 + i, 0, rng.randbytes(60)) for i in range(2000)]))
+    spark.dataSource.register(CaptureIndex)
+    found = spark.read.format("capture_index").option("range_bytes", 5000).load(str(tmp_path)).orderBy("part").collect()
+    assert len(found) == -(-(24 + 2000 * 76) // 5000)
+    assert sum(a.stop != b.start for a, b in zip(found, found[1:])) <= 1  # the last range may be too short for a chain
+
+
 def test_entropy_against_numpy(spark):
     rng = np.random.default_rng(1)
     payloads = [b"", b"a", bytes(range(256))] + [rng.integers(0, rng.integers(1, 256), rng.integers(1, 3000), dtype=np.uint8).tobytes() for _ in range(200)]
