@@ -348,7 +348,8 @@ def encode_texts(docs: DataFrame, vocabularies: Vocabularies, settings: Settings
                 yield from counted(counts, kind)
         yield from counted(counts, kind)
 
-    return stage_table(packed.mapInArrow(encode, schema), "alignments")
+    # Rows are numbered here, once, for later readings may be dealt otherwise.
+    return stage_table(packed.mapInArrow(encode, schema).withColumn("at", F.monotonically_increasing_id()), "alignments")
 
 
 def _packed(pairs: np.ndarray, times: np.ndarray) -> bytes:
@@ -445,10 +446,8 @@ def _with_join(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         flat = [pa.array(np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)])) for i in (0, 1)]
         return pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.StructArray.from_arrays(flat, ["pair", "times"]))
 
-    # Both readings of the written table number its rows alike.
-    numbered = texts.withColumn("at", F.monotonically_increasing_id())
-    each = numbered.select("at", F.explode(listed("links", "n_pairs")).alias("x")).select("at", "x.*").join(pairs, "pair")
+    each = texts.select("at", F.explode(listed("links", "n_pairs")).alias("x")).select("at", "x.*").join(pairs, "pair")
     best = F.when(F.col("is_best"), F.col("times")).otherwise(0)
     totals = each.groupBy("at").agg(F.sum(F.col("times") * F.col("documents")).alias("count_sum"), F.sum(best).alias("n_best"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return numbered.join(totals, "at", "left").select(*texts.columns, zero("n_best"), zero("count_sum"))
+    return texts.join(totals, "at", "left").select(*texts.columns, zero("n_best"), zero("count_sum"))

@@ -14,6 +14,8 @@ source with a third of all rows is no single task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netsieve.llm.common import prefix_sums
@@ -23,6 +25,8 @@ from netsieve.session import stage_table
 GOLDEN, TURN = 1_327_217_885, 1 << 31
 CELLS = 4096
 SLOT_CHUNK = 16_384
+#: Rows that follow each other in a task, up to 2 ** CHUNK_BITS, make a chunk.
+CHUNK_BITS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -68,20 +72,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
 
 
 def lay_out(sizes: DataFrame) -> DataFrame:
-    """Adds `start`: the words of the source before this row, in the order of `shuffle_key`."""
-    keyed = sizes.withColumn("bucket", F.substring("shuffle_key", 1, 3))
-    buckets = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
+    """Adds `start`: the words of the source before this row, in the order of `shuffle_key`, then of size, of rows
+    (src, shuffle_key, size, row) that `row` numbers.
+
+    Rows that agree in key and size, such as those without a doc_id, are counted first and stand for each other, so no
+    window holds more than their different sizes; a row's place among them is that of its chunk and its place there.
+    """
+    kind = ["src", "shuffle_key", "size"]
+    classes = sizes.groupBy(*kind).agg(F.count("*").alias("n")).withColumn("bucket", F.substring("shuffle_key", 1, 3))
+    words = F.col("n") * F.col("size")
+    buckets = classes.groupBy("src", "bucket").agg(F.sum(words).alias("bucket_size"))
     offsets = prefix_sums(buckets, ["src"], "bucket", "bucket_size", "offset").drop("bucket_size")
-    inside = (
-        Window.partitionBy("src", "bucket")
-        .orderBy("shuffle_key", "doc_id", "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        keyed.join(offsets, ["src", "bucket"])
-        .withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .drop("bucket", "offset")
-    )
+    inside = Window.partitionBy("src", "bucket").orderBy("shuffle_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("offset") + F.coalesce(F.sum(words).over(inside), F.lit(0))
+    placed = classes.join(offsets, ["src", "bucket"]).withColumn("begin", begin).select(*kind, "n", "begin")
+    joined = stage_table(sizes.join(placed, kind), "mix-classes")
+    alone = joined.where("n = 1").withColumn("start", F.col("begin"))
+    copies = joined.where("n > 1").withColumn("chunk", F.shiftright("row", CHUNK_BITS))
+    chunks = copies.groupBy(*kind, "chunk").agg(F.count("*").alias("rows"))
+    before = prefix_sums(chunks, kind, "chunk", "rows", "earlier").drop("rows")
+    place = F.col("earlier") + F.row_number().over(Window.partitionBy(*kind, "chunk").orderBy("row")) - 1
+    numbered = copies.join(before, [*kind, "chunk"]).withColumn("start", F.col("begin") + place * F.col("size"))
+    return alone.unionByName(numbered.drop("chunk", "earlier")).drop("n", "begin")
 
 
 def slot_schedule(targets: DataFrame, block_words: int) -> DataFrame:
@@ -126,16 +138,17 @@ def mix_sources(
     weights: tuple[int, ...] = (1, 2, 3),
     repeats: int = 3,
     block_words: int = 2048,
+    carry: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mixes documents (doc_id, text, source). Returns (documents, pieces, targets).
 
-    * documents: doc_id, source, size, source_size, target, taken; one row per input row. `taken` counts the words the
-      mix takes, repeats counted.
+    * documents: doc_id, source, size, source_size, target, taken, and the columns of `carry`, which must have other names than
+      these; one row per input row. `taken` counts the words the mix takes, repeats counted.
     * pieces: slot, source, doc_id, first, words: what each slot of the mix holds, `first` counted from 0 in the document.
     * targets: what `source_targets` gives.
 
     A null source is a source; a null or empty text has no words and is taken 0 times; rows that repeat are documents
-    of their own; a null doc_id is shuffled like any other. Without words all targets are 0. Other columns are left out.
+    of their own, told apart by their place in the stream; a null doc_id is shuffled like any other. Without words all targets are 0. Other columns are left out.
     """
     sized = stage_table(
         docs.select(
@@ -144,6 +157,8 @@ def mix_sources(
             source_key(F.col("source")).alias("src"),
             word_count(F.col("text")).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("shuffle_key"),
+            F.monotonically_increasing_id().alias("row"),
+            *[F.col(c).alias(f"carried_{c}") for c in carry],
         ),
         "mix-sizes",
     )
@@ -171,6 +186,7 @@ def mix_sources(
     some = streams.where("size > 0").join(taken, ["src", "start"], "left")
     none = streams.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     documents = some.unionByName(none, allowMissingColumns=True).select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        *[F.col(f"carried_{c}").alias(c) for c in carry],
     )
     return documents, pieces.drop("src", "start"), targets

@@ -69,3 +69,15 @@ def test_reruns_agree_and_empty_tables(spark):
     assert a == b
     assert mix_sources(docs.limit(0))[0].collect() == []
     assert [r.taken for r in mix_sources(docs.where("text is null"))[0].collect()] == [0, 0]
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    """Many rows without a doc_id, in few sizes: every place of the stream is taken once."""
+    monkeypatch.setattr("netsieve.llm.mixing.CHUNK_BITS", 2)
+    rows = [(None, " ".join(["w"] * (1 + i % 3)), "a") for i in range(200)] + [(i, "x y", "a") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    documents, pieces, _ = mix_sources(df, carry=["text"])
+    got = documents.collect()
+    assert len(got) == 250 and all(r.size == len(r.text.split()) for r in got)
+    assert sum(r.taken for r in got) == pieces.agg(F.sum("words")).first()[0] == sum(len(t.split()) for _, t, _ in rows)
+    assert all(r.taken == r.size for r in got)  # one source takes its own words once
