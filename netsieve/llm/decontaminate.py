@@ -174,12 +174,14 @@ def with_contamination(
 
     A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window. A word of a
     text inside any occurrence of a window is hit. A null or empty text has no words, a null or empty item no window;
-    items of one item_id count as one, a null item_id as the empty name. Items are searched in blocks of about
+    items of one item_id count as one, a null item_id as the empty name; rows of items that repeat count once. Items are searched in blocks of about
     `block_chars` characters, each block in a pass of its own, so that what is broadcast stays within bounds.
     """
     spark = docs.sparkSession
     short_batches(spark)
     given = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").where("text is not null")
+    # Rows that repeat would fall into one block.
+    given = given.distinct()
     chars = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
     for block in range(blocks):

@@ -220,7 +220,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
 
     Rows whose vector is null, empty, zero, or holds null or non-finite components take no part, nor does a null vec_id, nor
     a vector of another length than most. A row is no candidate for queries with its own vec_id; a repeated vec_id is
-    one query, but each of its rows a candidate for others. Ties go to the smaller vec_id. All candidates are given
+    one query, by the vector of it that sorts first, but each of its rows a candidate for others. Ties go to the smaller vec_id. All candidates are given
     if there are no more than k. Other columns are left out. The share of exact neighbours that are found is about
     `settings.recall`; scores are exact.
     """
@@ -229,7 +229,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     length = lengths["n"] if lengths else 0
     index, tree, sizes = build_index(rows.where(F.size("vector") == length), settings)
-    queries = index.where(is_query).select("vec_id", "vector").dropDuplicates(["vec_id"])
+    queries = index.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     visits = calibrate(index, tree, queries, k, settings)
     shared = spark.sparkContext.broadcast((tree, sizes))
 
@@ -252,7 +252,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, settings: Settings
             columns += [pa.array(np.array(x, np.int64)) for x in (leaves, steps)]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "query", "leaf", "step"])
 
-    visited = stage_table(queries.mapInArrow(plan, "query_id long, query array<float>, leaf long, step long"), "visits")
+    kind = index.schema["vector"].dataType.simpleString()
+    visited = stage_table(queries.mapInArrow(plan, f"query_id long, query {kind}, leaf long, step long"), "visits")
     early = F.col("step") < settings.first_leaves
     first = stage_table(_meet(index, visited.where(early).withColumn("within", F.lit(float("inf"))), sizes, k, settings), "near")
     bounds = _top(first, k).groupBy("query_id").agg(F.max("score").alias("within"), F.count("*").alias("n"))

@@ -91,3 +91,11 @@ def test_search_and_locate():
     for p, a, b in zip(phrases, low, high):
         want = [i for i in range(len(s) - 2) if (s[i : i + 3] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_repeated_items_count_once(spark):
+    docs, items = tables(3)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    kind = "item_id long, text string"
+    once, often = (contamination_report(d, spark.createDataFrame(r, kind), 3).drop("spans") for r in (items, items * 40))
+    assert sorted(map(str, once.collect())) == sorted(map(str, often.collect()))

@@ -77,3 +77,17 @@ def test_every_row_reaches_one_leaf_and_every_leaf_is_visited():
     assert sorted(tree.visit(rows[0])) == list(range(tree.leaves))
     leaves = tree.assign(rows)
     assert all(next(tree.visit(r)) == leaf for r, leaf in zip(rows, leaves))
+
+
+def test_doubles(spark):
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=6) for i in range(300)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, vector array<double>")
+    found = search(df, F.col("vec_id") % 100 == 0, settings=Settings(recall=1.0, leaf_rows=40, sample_rows=300)).collect()
+    assert sorted(map(tuple, found)) == plain(vectors, [0, 100, 200])
+
+
+def test_a_repeated_id_is_one_query_whatever_the_order(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.1, 1.0]), (2, [1.0, 0.1]), (3, [5.0, 5.0])]
+    first, second = (sorted(map(tuple, search(spark.createDataFrame(r, KIND), F.col("vec_id") == 0, k=1).collect())) for r in (rows, rows[::-1]))
+    assert first == second and [r[2] for r in first] == [1]
