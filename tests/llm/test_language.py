@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from netsieve.llm.language import Settings, cluster, identify_languages
+from netsieve.llm.language import DIMENSIONS, Settings, cluster, fit, identify_languages, with_language
 
 WORDS = {
     "xx": ["the", "and", "with", "house", "thing", "over", "water"],
@@ -59,3 +59,41 @@ def test_clusters_of_equal_rows():
     rows = np.ones((5, 4), np.float32) / 2
     centres, least = cluster(rows, Settings())
     assert len(centres) == 1 and least[0] > 0.99
+
+
+def plain_grams(text):
+    """Counts of hashed byte n-grams, one after the other."""
+    letters = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    data, counts = b" ".join(letters.split()), np.zeros(DIMENSIONS)
+    for i in range(len(data)):
+        codes = [data[i] + 1]
+        if i + 1 < len(data):
+            codes.append((data[i] << 8 | data[i + 1]) | 1 << 24)
+        if i + 2 < len(data):
+            codes.append((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) + (1 << 25))
+        for code in codes:
+            counts[code * 0x9E3779B1 % (1 << 32) >> 19] += 1
+    return counts
+
+
+def test_model_and_choice_against_plain_vectors(spark):
+    rows = made(120, seed=9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    learned = {(k, t) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5}
+    df = sum((plain_grams(t) > 0).astype(float) for _, t in learned)
+    np.testing.assert_allclose(model.idf, np.log((1 + len(learned)) / (1 + df)) + 1)
+
+    def vector(text):
+        counts = plain_grams(text)
+        weighed = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * model.idf
+        return weighed / np.linalg.norm(weighed)
+
+    for at, language in enumerate(model.languages):  # a centroid is the normalised sum of the texts that are nearest to it
+        own = [k for k, x in enumerate(model.languages) if x == language]
+        members = [v for v in (vector(t) for k, t in sorted(learned) if k == language) if own[int(np.argmax(v @ model.centroids[:, own]))] == at]
+        total = np.sum(members, axis=0)
+        assert model.centroids[:, at] @ (total / np.linalg.norm(total)) > 0.98
+    for r in with_language(docs, model).collect():
+        cosines = vector(r.text) @ model.centroids
+        assert r.language.lang_pred == model.languages[int(np.argmax(cosines))] and abs(r.language.score - cosines.max()) < 1e-5
