@@ -83,24 +83,25 @@ def cluster(rows: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarra
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """The model of rows (doc_id, text, lang) with a language, not held out and with some letter.
 
-    Rows of a language are sampled by a hash of the text at a rate that follows from their count, so about `max_rows` of each
-    are read; equal texts count once. The sample is the only thing that is gathered: one task per language.
+    Document frequencies are those of all such rows. Centroids come from a sample: texts of a language are taken by a hash at a
+    rate that follows from how many different ones it has, so about `max_rows` of each are read, and the first by hash in any
+    case; equal texts count once. The sample is the only thing that is gathered: one task per language.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(folds=5, fold=0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.max_languages + 1).toPandas()
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    kinds = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("first"))
+    counts = kinds.limit(settings.max_languages + 1).toPandas()
     if len(counts) > settings.max_languages:
         raise ValueError(f"more than {settings.max_languages} languages")
     if counts.empty:
         return Model(np.ones(DIMENSIONS), [], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
     # Rows are ordered by 31 bits of a hash of the text; a rate is a bound on these.
     counts["bound"] = (settings.max_rows / counts["n"] * (1 << 31)).clip(upper=1 << 31).astype("int64")
-    rates = spark.createDataFrame(counts[["lang", "bound"]])
-    hashed = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    sample = stage_table(
-        hashed.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("bound")).dropDuplicates(["lang", "h"]).drop("bound"),
-        "language-sample",
-    )
+    rates = spark.createDataFrame(counts[["lang", "bound", "first"]])
+    chosen = (F.pmod("h", F.lit(1 << 31)) < F.col("bound")) | (F.col("h") == F.col("first"))
+    taken = hashed.join(F.broadcast(rates), "lang").where(chosen).dropDuplicates(["lang", "h"])
+    sample = stage_table(taken.select("lang", "text", "h"), "language-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMENSIONS + 1, np.int64), 0
@@ -112,7 +113,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["at", "df"])
 
-    found = sample.select("text").mapInArrow(frequencies, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()
+    short_batches(spark)
+    found = rows.select("text").mapInArrow(frequencies, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(DIMENSIONS + 1)
     df[found["at"]] = found["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from netsieve.llm.common import short_batches
 from netsieve.llm.suffixes import repeated_starts
-from netsieve.session import stage_table
+from netsieve.session import drop_table, stage_table
 
 CHUNK_BITS = 18
 BASE = 0x9E3779B97F4A7C15
@@ -259,12 +259,17 @@ def _covered(pieces: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:
-    """(id, digest, text, row): documents are told apart by doc_id and, should that repeat, all 64 bits of a hash of the text.
+    """(id, digest, text, row): documents are told apart by doc_id and, should any repeat, all 64 bits of a hash of the text. Where
+    every doc_id stands once, null being one too, digests are zero, which takes hardly any room in what is shuffled.
     `row` holds all columns but the text."""
     none = F.col("doc_id").isNull()
+    # A number stands for itself and a null for 0, so both may meet.
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    unique = docs.groupBy(own).count().where("count > 1").isEmpty()
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit("")), none).alias("digest"),
+        own.alias("id"),
+        # No constant, which the optimizer would carry into the joins and so deal texts twice.
+        F.pmod(own, F.lit(1)).alias("digest") if unique else F.xxhash64(F.coalesce("text", F.lit("")), none).alias("digest"),
         "text",
         F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
     )
@@ -291,7 +296,8 @@ def with_repeats(
     )
     # Most anchors stand once: without them everything that follows is smaller.
     shared = stage_table(pieces.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
-    pieces = stage_table(pieces.join(shared.hint("merge"), "key", "left_semi"), "shared-pieces")
+    every, pieces = pieces, stage_table(pieces.join(shared.hint("merge"), "key", "left_semi"), "shared-pieces")
+    drop_table(every, shared)
     classes = stage_table(_classes(pieces), "piece-classes")
     runs = [_covered(pieces, classes, keep)]
     most = classes.agg(F.max("m")).first()[0] or 0

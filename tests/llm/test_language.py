@@ -80,9 +80,10 @@ def test_model_and_choice_against_plain_vectors(spark):
     rows = made(120, seed=9)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = fit(docs)
-    learned = {(k, t) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5}
-    df = sum((plain_grams(t) > 0).astype(float) for _, t in learned)
-    np.testing.assert_allclose(model.idf, np.log((1 + len(learned)) / (1 + df)) + 1)
+    every = [(k, t) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5]
+    learned = set(every)
+    df = sum((plain_grams(t) > 0).astype(float) for _, t in every)
+    np.testing.assert_allclose(model.idf, np.log((1 + len(every)) / (1 + df)) + 1)
 
     def vector(text):
         counts = plain_grams(text)
@@ -97,3 +98,10 @@ def test_model_and_choice_against_plain_vectors(spark):
     for r in with_language(docs, model).collect():
         cosines = vector(r.text) @ model.centroids
         assert r.language.lang_pred == model.languages[int(np.argmax(cosines))] and abs(r.language.score - cosines.max()) < 1e-5
+
+
+def test_a_language_of_few_texts_is_learned_however_often_they_come(spark):
+    rows = made(100, seed=6) + [(1000 + i, "quux flob zzyx grault " * 3, "ww") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs, Settings(max_rows=20))
+    assert set(model.languages) == {*WORDS, "ww"}
