@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from netsieve.operators.schedule import label_packets
+from netsieve.operators.schedule import disjoint_segments, label_packets
 from netsieve.schemas import SCHEDULE
 from netsieve.sources.schedule import load_schedule, schedule_from
 
@@ -65,3 +65,38 @@ def test_labels_equal_the_search(spark, case, policy, limit):
     assert got == {p[0]: by_hand(rules, p, policy == "priority") for p in packets}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert ("strategy=broadcast" in plan) == (limit > 1)
+
+
+@pytest.mark.parametrize("policy", ["priority", "first"])
+def test_segments_equal_the_search(spark, case, policy):
+    rules, packets = case
+    odd = [("h0", "h1", 30, 20, "DoS", "never", "f", 9, 90), (None, "h1", 0, 2000, "DoS", "null", "f", 9, 91)]
+    schedule = spark.createDataFrame(rules + odd, SCHEDULE)
+    more = [(5000, None, "h1", 5), (5001, "h0", None, 5), (5002, "h0", "h1", None), (5003, "new", "h1", 5)]
+    df = spark.createDataFrame(packets + more, "id int, src_ip string, dst_ip string, ts_us long")
+    out = label_packets(df, schedule, policy, many_windows=0)
+    got = {r.id: (r.label, r.attack_subtype) for r in out.collect()}
+    want = {p[0]: by_hand(rules, p, policy == "priority") for p in packets} | {p[0]: ("Benign", "Benign") for p in more}
+    assert got == want and out.columns == label_packets(df, schedule, policy).columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, label_packets(df, schedule, policy).collect()))
+
+
+def test_many_windows_of_one_pair(spark):
+    rng = random.Random(8)
+    rules = []
+    for order in range(10_000):
+        lo = rng.randrange(1_000_000)
+        rules.append(("a", "v", lo, lo + rng.randrange(3000), "DoS", f"s{order}", "f", rng.randrange(3), order))
+    schedule = spark.createDataFrame(rules, SCHEDULE)
+    df = spark.range(20_000).selectExpr("id", "'v' AS src_ip", "'a' AS dst_ip", "id * 53 % 1005000 AS ts_us")
+    got = {r.id: r.attack_subtype for r in label_packets(df, schedule).collect()}
+    for i in range(0, 20_000, 997):
+        ts = i * 53 % 1005000
+        covering = [r for r in rules if r[2] <= ts <= r[3]]
+        assert got[i] == (max(covering, key=lambda r: (r[7], -r[8]))[5] if covering else "Benign")
+
+
+def test_disjoint_segments():
+    starts, winners = disjoint_segments([(5, 9), (0, 20), (8, 30), (40, 30), (31, 31)])
+    assert list(zip(starts.tolist(), winners.tolist())) == [(0, 1), (5, 0), (10, 1), (21, 2), (31, 4), (32, -1)]
+    assert [len(x) for x in disjoint_segments([])] == [0, 0]
