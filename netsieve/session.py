@@ -50,10 +50,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Removes the shuffle files of an execution when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to Parquet under the checkpoint folder and read it back, column by column."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write a table once to Parquet under the checkpoint folder and read it back, column by column.
+
+    What the write has shuffled is removed when it ends, for nothing reads it any more; else it would take up the executors' disks
+    until the driver happens to collect its garbage.
+    """
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(RELEASE, "false")
+    conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(RELEASE, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
