@@ -301,22 +301,23 @@ def with_repeats(
     classes = stage_table(_classes(pieces), "piece-classes")
     runs = [_covered(pieces, classes, keep)]
     most = classes.agg(F.max("m")).first()[0] or 0
-    # Texts are dealt once, for both joins; so both take all columns.
-    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "digest")
 
     def bodies(groups: DataFrame) -> DataFrame:
         wanted = groups.select("key", "r.id", "r.digest", "r.place").groupBy("id", "digest").agg(
             F.collect_list(F.struct("key", "place")).alias("wanted")
         )
-        found = dealt.join(wanted.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+        texts = keyed.select("id", "digest", "text")
+        found = texts.join(wanted.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])
         return found.mapInArrow(lambda it: _bodies(it, length, gram - length), BODY)
 
     def matches(rows: DataFrame) -> DataFrame:
         ordered = rows.repartition("key").sortWithinPartitions("key", "id", "digest", "first")
         return ordered.mapInArrow(lambda it: _match_groups(it, length, keep), RUN)
 
-    runs.append(matches(bodies(classes.where(F.col("m") <= crowd))))
+    # Written before spans are gathered, so that texts of pieces no longer take up disks then.
+    runs.append(stage_table(matches(bodies(classes.where(F.col("m") <= crowd))), "runs"))
     crowded = bodies(classes.where(F.col("m") > crowd))
+    shared_pieces, all_classes = pieces, classes
     while most > crowd:
         halves = stage_table(crowded.mapInArrow(lambda it: _halve(it, length), BODY + ", place long, piece long"), "halves")
         classes = stage_table(_classes(halves), "half-classes")
@@ -329,13 +330,17 @@ def with_repeats(
     found = runs[0]
     for more in runs[1:]:
         found = found.unionByName(more)
-    spans = found.groupBy("id", "digest").agg(F.collect_list(F.struct("first", "windows")).alias("found"))
+    gathered = found.groupBy("id", "digest").agg(F.collect_list(F.struct("first", "windows")).alias("found"))
 
     @F.arrow_udf(SPANS)
     def merged(found: pa.Array) -> pa.Array:
         return _merge(found, length)
 
-    return dealt.join(spans.hint("merge"), ["id", "digest"], "left").select("text", "row", merged("found").alias("spans"))
+    # Whole texts are dealt only now, when all else is written and removed.
+    spans = stage_table(gathered.select("id", "digest", merged("found").alias("spans")), "spans")
+    drop_table(shared_pieces, all_classes)
+    joined = keyed.join(spans.hint("merge"), ["id", "digest"], "left")
+    return joined.select("text", "row", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _merge(found: pa.Array, length: int) -> pa.Array:
