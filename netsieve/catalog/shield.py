@@ -46,7 +46,7 @@ from netsieve.operators.mahalanobis import (
 )
 from netsieve.operators.moments import mean_cov
 from netsieve.operators.pca import fit_pca, project
-from netsieve.operators.quantiles import fit_quantiles, gaussianise, landmarks, sketched_landmarks
+from netsieve.operators.quantiles import fit_quantiles, gaussianise, landmarks
 from netsieve.operators.sessions import build_sessions
 from netsieve.operators.tensors import to_scaled_image
 from netsieve.plans.closed_set import evaluate_closed_set
@@ -136,9 +136,10 @@ q AS (SELECT dim, unnest(qs) AS q, generate_subscripts(qs, 1) - 1 AS j FROM g)
     f"WITH {_MARKS_SQL} SELECT CAST(dim AS INTEGER) AS dim, CAST(j AS INTEGER) AS j, round(q, 6) AS q FROM q",
 )
 def q_landmarks(spark, sf_dir):
-    """From sketches, which hold all values of tables of this size."""
-    marks = sketched_landmarks(table(spark, sf_dir, "embeddings"), "embedding", _QUANTILES)
-    return marks.select("dim", F.posexplode("q").alias("j", "q")).withColumn("q", r6("q"))
+    """As a fit takes them, a row for each number."""
+    marks = fit_quantiles(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", _QUANTILES)
+    rows = [(dim, j, float(q)) for dim, row in enumerate(marks) for j, q in enumerate(row)]
+    return spark.createDataFrame(rows, "dim int, j int, q double").withColumn("q", r6("q"))
 
 
 @query(

@@ -99,10 +99,10 @@ def fit_quantiles(
     quantiles: int = 10_000,
     sample: int | None = None,
     seed: int = 42,
-    sketch: int | None = SKETCH_SIZE,
+    sketch: int | None = None,
 ) -> np.ndarray:
-    """Landmark matrix (dim, quantile) from sketches of all training rows; exact without a `sketch` size, or on demand from a
-    bounded seeded sample of rows."""
+    """Landmark matrix (dim, quantile), exact over all training rows; on demand from sketches of a `sketch` size, which tell
+    ranks apart within an error only, or from a bounded seeded sample of rows."""
     if sample is not None and sample < 2:
         raise ValueError("at least two sampled rows are needed")
     rows = df.select(id_column, vector)

@@ -27,7 +27,7 @@ from netsieve.operators.mahalanobis import (
     thresholds_for,
 )
 from netsieve.operators.pca import Pca, fit_pca, project
-from netsieve.operators.quantiles import SKETCH_SIZE, fit_quantiles, gaussianise
+from netsieve.operators.quantiles import fit_quantiles, gaussianise
 from netsieve.operators.runs import pending_lambdas
 from netsieve.schemas import KNOWN_CLASSES, LAMBDA_CANDIDATES, UNKNOWN_CLASSES
 from netsieve.session import materialize
@@ -42,7 +42,7 @@ class ShieldSettings:
     epsilon: float = RIDGE_EPSILON
     quantiles: int = 10_000
     sample: int | None = None  # all training rows
-    sketch: int | None = SKETCH_SIZE  # None: exact landmarks
+    sketch: int | None = None  # exact landmarks; a size: from sketches, beyond that many rows within an error of ranks
     seed: int = 42
     known: Mapping[str, int] = field(default_factory=lambda: dict(KNOWN_CLASSES))
     unknown: Mapping[str, int] = field(default_factory=lambda: dict(UNKNOWN_CLASSES))

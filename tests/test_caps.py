@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from netsieve.operators.integrity import fingerprint
 from netsieve.operators.quantiles import fit_quantiles, landmarks, sketched_landmarks
+from netsieve.plans.open_set import ShieldSettings, fit_shield
 from netsieve.sources.headers import decode_headers
 
 UDP = struct.pack(">HHHH", 1000, 53, 12, 0) + b"data"
@@ -81,3 +82,13 @@ def test_sketches_keep_ranks_within_their_error(spark):
     # One exchange of sketches; no row per value.
     plan = sketched_landmarks(df, "v", 11)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("ObjectHashAggregate")
+
+
+def test_fitted_landmarks_are_exact_at_any_size(spark):
+    df = spark.range(0, 20_000, 1, 8).select(F.array(F.randn(3), F.exp(F.randn(4))).alias("embedding"), "id", F.lit(0).alias("label"))
+    x = np.array([r.embedding for r in df.collect()])
+    want = np.quantile(x, np.linspace(0, 1, 101), axis=0).T
+    np.testing.assert_allclose(fit_quantiles(df, "embedding", "id", 101), want, atol=1e-12)
+    shield = fit_shield(df, ShieldSettings(variance=1.0, quantiles=101, known={"a": 0}, unknown={}))
+    z = ((x - shield.pca.mean) @ shield.pca.components).astype(np.float32).astype(np.float64)
+    np.testing.assert_allclose(shield.marks, np.quantile(z, np.linspace(0, 1, 101), axis=0).T, atol=1e-6)
