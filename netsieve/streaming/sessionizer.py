@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -39,18 +38,18 @@ NAMES = ["source_capture", "canonical_tuple", *FIELDS]
 KEPT = ("pos", "ts_us", "src_ip", "sport", "entropy", "bytes")
 
 
-def _last(values: np.ndarray, mask: np.ndarray):
-    at = np.flatnonzero(mask)
-    return values[at[-1]] if len(at) else None
-
-
-def _first(mask: np.ndarray) -> int | None:
-    at = np.flatnonzero(mask)
-    return int(at[0]) if len(at) else None
+#: What is read of a packet, behind the columns of its order.
+READ = ("ts_us", "is_teardown", "label", "attack_subtype", "src_ip", "sport", "entropy", "bytes")
+ATTACK_AT = {name: i for i, name in enumerate(KNOWN_ATTACKS)}
+PLAIN = {None, "Benign", *KNOWN_ATTACKS, *UNKNOWN_ATTACKS}
 
 
 class Sessionizer(StatefulProcessor):
-    """Emits a session at its teardown packet, at the packet after a timeout, or when the watermark passes it."""
+    """Emits a session at its teardown packet, at the packet after a timeout, or when the watermark passes it.
+
+    Keys have few packets each, so packets are plain tuples and a session is added up packet by packet; a table for each key and
+    session costs far more than the packets in it.
+    """
 
     def __init__(self, timeout_s: float, max_packets: int, order: Sequence[str]):
         self.timeout_us = int(round(timeout_s * 1_000_000))
@@ -62,76 +61,85 @@ class Sessionizer(StatefulProcessor):
         self.open = handle.getValueState("open", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
-        state = dict(zip(FIELDS, self.open.get())) if self.open.exists() else None
-        ts, torn = batch["ts_us"].to_numpy(), batch["is_teardown"].to_numpy(bool)
-        before = np.concatenate([[ts[0] if state is None else state["end_ts_us"]], ts[:-1]])
-        begins = (ts - before > self.timeout_us) | np.concatenate([[state is None], torn[:-1]])
-        edges = [0, *(np.flatnonzero(begins[1:]) + 1).tolist(), len(batch)]
-        sessions = [state] if state is not None and begins[0] else []
-        for a, b in zip(edges, edges[1:]):
-            sessions.append(self._joined(state if a == 0 and not begins[0] else None, batch.iloc[a:b]))
-        keep = None if torn[-1] else sessions.pop()
-        self._keep(keep)
-        yield self._rows(key, sessions)
+        packets = self._ordered(rows)
+        state = self._held()
+        timer = None if state is None else self._expiry(state)
+        closed, ended, at = [], False, len(self.order)
+        for packet in packets:
+            if state is None or ended or packet[at] - state["end_ts_us"] > self.timeout_us:
+                if state is not None:
+                    closed.append(state)
+                state = {**dict.fromkeys(FIELDS), "first_order": list(packet[:at]), "start_ts_us": packet[at], "observed_packets": 0, "_kept": []}
+            self._add(state, *packet[at:])
+            ended = bool(packet[at + 1])
+        if ended:
+            closed.append(state)
+            state = None
+        self._keep(state, timer)
+        return self._rows(key, closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = []
-        if self.open.exists():
-            state = dict(zip(FIELDS, self.open.get()))
-            if timerValues.getCurrentWatermarkInMs() * 1000 > state["end_ts_us"] + self.timeout_us:
-                closed.append(state)
-                self.open.clear()
-        yield self._rows(key, closed)
+        state, closed = self._held(), []
+        if state is not None and timerValues.getCurrentWatermarkInMs() * 1000 > state["end_ts_us"] + self.timeout_us:
+            closed.append(state)
+            self.open.clear()
+        return self._rows(key, closed)
 
     def close(self) -> None:
         pass
 
-    def _keep(self, state: dict | None) -> None:
-        for timer in self.handle.listTimers():
+    def _ordered(self, tables: Iterator[pd.DataFrame]) -> list[tuple]:
+        """Packets in their order: the values of `order`, then those of READ."""
+        columns, at = (*self.order, *READ), len(self.order)
+        packets = [p for t in tables for p in zip(*[t[c].tolist() for c in columns])]
+        return sorted(packets, key=lambda p: p[:at])
+
+    def _held(self) -> dict | None:
+        """The open session of the key, with its packets as tuples."""
+        if not self.open.exists():
+            return None
+        state = dict(zip(FIELDS, self.open.get()))
+        return {**state, "_kept": [tuple(p) for p in state["_kept"]], "_unknown": state["_unknown"] and tuple(state["_unknown"])}
+
+    def _expiry(self, state: dict) -> int:
+        return (state["end_ts_us"] + self.timeout_us) // 1000 + 1
+
+    def _keep(self, state: dict | None, timer: int | None) -> None:
+        """Put the open session, whose timer is the only one of its key, in the place of the one before."""
+        after = None if state is None else self._expiry(state)
+        if timer is not None and timer != after:
             self.handle.deleteTimer(timer)
-        if state is None:
+        if state is not None:
+            self.open.update(tuple(state[n] for n in FIELDS))
+            self.handle.registerTimer(after)
+        elif timer is not None:
             self.open.clear()
-            return
-        self.open.update(tuple(state[n] for n in FIELDS))
-        self.handle.registerTimer((state["end_ts_us"] + self.timeout_us) // 1000 + 1)
-
-    def _joined(self, old: dict | None, part: pd.DataFrame) -> dict:
-        """The aggregates of the packets of `part`, put behind those of `old`."""
-        label, subtype = part["label"].to_numpy(object), part["attack_subtype"].to_numpy(object)
-        ts = part["ts_us"].to_numpy()
-        seen = old["observed_packets"] if old else 0
-        new = dict(old) if old else dict.fromkeys(FIELDS)
-        if old is None:
-            new["first_order"] = [int(v) for v in part[self.order].iloc[0]]
-            new["start_ts_us"], new["_kept"] = int(ts[0]), []
-        new["end_ts_us"], new["observed_packets"] = int(ts[-1]), seen + len(part)
-        unknown = _last(np.stack([label, subtype], axis=1), np.isin(label, UNKNOWN_ATTACKS))
-        if unknown is not None:
-            new["_unknown"] = tuple(unknown)
-        odd = [x for x in set(label) - {"Benign", *KNOWN_ATTACKS, *UNKNOWN_ATTACKS} if x is not None]
-        new["_stray"] = max([*odd, *([new["_stray"]] if new["_stray"] else [])], default=None)
-        for i, name in enumerate(KNOWN_ATTACKS):
-            mine = label == name
-            at = _first(mine)
-            if new[f"_first_{i}"] is None and at is not None:
-                new[f"_first_{i}"] = seen + at + 1
-            named = _last(subtype, mine & (subtype != "Benign"))
-            new[f"_subtype_{i}"] = new[f"_subtype_{i}"] if named is None else named
-        room = part.iloc[: max(0, self.max_packets - seen)]
-        kept = zip(
-            range(seen + 1, seen + 1 + len(room)), room["ts_us"].tolist(), room["src_ip"], room["sport"].tolist(),
-            room["entropy"].tolist(), map(bytes, room["bytes"]),
-        )
-        new["_kept"] = [*map(tuple, new["_kept"]), *kept]
-        return new
-
-    def _rows(self, key, sessions: list[dict]) -> pd.DataFrame:
+
+    def _add(self, state: dict, ts, torn, label, subtype, src_ip, sport, entropy, payload) -> None:
+        """Put a packet behind those of a session."""
+        state["end_ts_us"] = ts
+        state["observed_packets"] += 1
+        place = state["observed_packets"]
+        known = ATTACK_AT.get(label)
+        if known is not None:
+            if state[f"_first_{known}"] is None:
+                state[f"_first_{known}"] = place
+            if subtype is not None and subtype != "Benign":
+                state[f"_subtype_{known}"] = subtype
+        elif label in UNKNOWN_ATTACKS:
+            state["_unknown"] = (label, subtype)
+        elif label not in PLAIN and (state["_stray"] is None or label > state["_stray"]):
+            state["_stray"] = label
+        if place <= self.max_packets:
+            state["_kept"].append((place, ts, src_ip, sport, entropy, payload))
+
+    def _rows(self, key, sessions: list[dict]) -> Iterator[pd.DataFrame]:
         rows = []
         for s in sessions:
             unknown = s["_unknown"] and dict(zip(("label", "attack_subtype"), s["_unknown"]))
             rows.append((*key, *({**s, "_unknown": unknown, "_kept": [dict(zip(KEPT, p)) for p in s["_kept"]]}[n] for n in FIELDS)))
-        return pd.DataFrame(rows, columns=NAMES)
+        if rows:
+            yield pd.DataFrame(rows, columns=NAMES)
 
 
 def sessionize_stream(
