@@ -15,7 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -39,6 +41,7 @@ RECORD_HEADER = 16
 BATCH_ROWS = 4096
 
 RANGE_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 BUFFER_BYTES = 1 << 20
 
 FRAME = "source_file string, packet_no bigint, ts_us bigint, frame binary, read_error string"
@@ -71,11 +74,11 @@ CLOSE_S = 366 * 86_400
 
 @dataclass
 class CaptureRange(InputPartition):
+    """Ranges of a file that follow on each other, (part, low, high) each."""
+
     uri: str
-    part: int
-    low: int
-    high: int
     size: int
+    ranges: list[tuple[int, int, int]]
 
 
 class Capture:
@@ -144,30 +147,38 @@ def index_range(stream, uri: str, part: int, low: int, high: int, size: int, sta
     return uri, part, low, high, size, start, stop, packets, capture.magic, error
 
 
-def read_range(stream, start: int, stop: int, magic: str) -> Iterator[tuple[int, bytes]]:
-    """(ts_us, frame) of the records from `start` up to `stop`, which both are between records."""
+def read_range(stream, start: int, stop: int, magic: str) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(ts_us, frames) of the records from `start` up to `stop`, which both are between records, up to BATCH_ROWS at a time.
+
+    Only lengths are read record by record; headers and frames of the rest are cut out together.
+    """
     order, per_us = MAGICS[bytes.fromhex(magic)]
-    header = struct.Struct(order + "IIII")
+    length = struct.Struct(order + "I").unpack_from
     stream.seek(start)
-    rest, left = b"", stop - start
-    while left or rest:
-        more = stream.read(min(left, BUFFER_BYTES))
-        if left and not more:
+    rest, left, want = b"", stop - start, BUFFER_BYTES
+    while left:
+        more = stream.read(min(left, want))
+        if not more:
             raise EOFError("the capture is shorter than when it was indexed")
-        left -= len(more)
-        data, at = rest + more, 0
+        left, want = left - len(more), BUFFER_BYTES
+        data, at, places = rest + more, 0, [0]
         while at + RECORD_HEADER <= len(data):
-            seconds, fraction, stored, _ = header.unpack_from(data, at)
-            end = at + RECORD_HEADER + stored
+            end = at + RECORD_HEADER + length(data, at + 8)[0]
             if end > len(data):
-                if left:  # fetch a long record in one go
-                    extra = stream.read(min(left, end - len(data)))
-                    left -= len(extra)
-                    data += extra
+                want = max(BUFFER_BYTES, end - len(data))  # fetch a long record in one go
                 break
-            yield seconds * 1_000_000 + int(round(fraction / per_us)), data[at + RECORD_HEADER : end]
+            places.append(end)
             at = end
         rest = data[at:]
+        held, raw = np.frombuffer(data, np.uint8), pa.py_buffer(data)
+        for k in range(0, len(places) - 1, BATCH_ROWS):
+            cuts = np.array(places[k : k + BATCH_ROWS + 1], np.int64)
+            heads = held[cuts[:-1, None] + np.arange(8)].view(order + "u4").astype(np.int64)
+            pieces = np.empty(2 * len(cuts) - 1, np.int64)
+            pieces[::2], pieces[1::2] = cuts, cuts[:-1] + RECORD_HEADER
+            both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces) - 1, [None, pa.py_buffer(pieces), raw])
+            frames = both.take(pa.array(np.arange(1, len(pieces), 2))).cast(pa.binary())
+            yield heads[:, 0] * 1_000_000 + np.rint(heads[:, 1] / per_us).astype(np.int64), frames
 
 
 class IndexReader(DataSourceReader):
@@ -189,21 +200,26 @@ class IndexReader(DataSourceReader):
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
             names = sorted((prefix + f.path, f.size) for f in found if f.is_file and fnmatch(f.base_name, pattern))
         step = max(self.range_bytes, RECORD_HEADER)
-        return [
-            CaptureRange(name, part, low, min(low + step, max(size, 1)), size)
-            for name, size in names
-            for part, low in enumerate(range(0, max(size, 1), step))
-        ]
+        # Small ranges share a task, which costs more than a range of them.
+        together = max(1, TASK_BYTES // step)
+        tasks = []
+        for name, size in names:
+            ranges = [(part, low, min(low + step, max(size, 1))) for part, low in enumerate(range(0, max(size, 1), step))]
+            tasks += [CaptureRange(name, size, ranges[k : k + together]) for k in range(0, len(ranges), together)]
+        return tasks
 
     def read(self, partition: CaptureRange) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(partition.uri)
+        rows = []
         with fs.open_input_file(path) as stream:
-            row = index_range(stream, partition.uri, partition.part, partition.low, partition.high, partition.size)
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, RANGE_SCHEMA.types)], schema=RANGE_SCHEMA)
+            for part, low, high in partition.ranges:
+                stream.seek(0)
+                rows.append(index_range(stream, partition.uri, part, low, high, partition.size))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), RANGE_SCHEMA.types)], schema=RANGE_SCHEMA)
 
 
 class CaptureIndex(DataSource):
-    """Ranges of capture files, a task for each, as they were found; `confirmed_ranges` makes them agree."""
+    """Ranges of capture files, a task for each or for small ones together, as they were found; `confirmed_ranges` makes them agree."""
 
     @classmethod
     def name(cls) -> str:
@@ -269,26 +285,22 @@ def confirmed_ranges(found: DataFrame) -> DataFrame:
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FRAME_SCHEMA.types)], schema=FRAME_SCHEMA)
+    def batch_of(uri: str, number: int, ts: pa.Array, frames: pa.Array, error: str | None) -> pa.RecordBatch:
+        n = len(frames)
+        numbers = pa.array(np.arange(number, number + n, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([uri] * n, pa.string()), numbers, ts, frames, pa.array([error] * n, pa.string())], schema=FRAME_SCHEMA)
 
     for batch in batches:
         for r in batch.to_pylist():
             uri, number = r["source_file"], r["first_packet"]
-            rows: list[tuple] = []
             if r["stop"] > r["start"]:
                 fs, path = pafs.FileSystem.from_uri(uri)
                 with fs.open_input_file(path) as stream:
-                    for ts, frame in read_range(stream, r["start"], r["stop"], r["magic"]):
-                        rows.append((uri, number, ts, frame, None))
-                        number += 1
-                        if len(rows) == BATCH_ROWS:
-                            yield batch_of(rows)
-                            rows = []
+                    for ts, frames in read_range(stream, r["start"], r["stop"], r["magic"]):
+                        yield batch_of(uri, number, pa.array(ts), frames, None)
+                        number += len(ts)
             if r["read_error"]:
-                rows.append((uri, number, None, None, r["read_error"]))
-            if rows:
-                yield batch_of(rows)
+                yield batch_of(uri, number, pa.array([None], pa.int64()), pa.array([None], pa.binary()), r["read_error"])
 
 
 def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -299,6 +311,22 @@ def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     return ranges.repartition(tasks, "source_file", "start").mapInArrow(_frames, FRAME)
 
 
+def _records(ts_us: pa.Array, frames: pa.Array) -> pa.Buffer:
+    """Frames behind their record headers, as they stand in a file."""
+    if ts_us.null_count or frames.null_count:
+        raise ValueError("a packet without time or frame")
+    ts, frames = ts_us.to_numpy(zero_copy_only=False), frames.cast(pa.large_binary())
+    heads = np.empty((len(ts), 4), np.int64)
+    heads[:, 0], heads[:, 1] = ts // 1_000_000, ts % 1_000_000
+    heads[:, 2] = heads[:, 3] = pc.binary_length(frames).to_numpy(zero_copy_only=False)
+    if heads.min() < 0 or heads.max() >= 1 << 32:
+        raise ValueError("a time or length beyond 32 bits")
+    head = pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD_HEADER), len(ts), [None, pa.py_buffer(heads.astype("<u4").tobytes())])
+    joined = pc.binary_join_element_wise(head.cast(pa.large_binary()), frames, pa.scalar(b"", pa.large_binary()))
+    first, last = (int(np.frombuffer(joined.buffers()[1], np.int64)[joined.offset + k]) for k in (0, len(joined)))
+    return joined.buffers()[2].slice(first, last - first)
+
+
 def write_captures(frames: DataFrame, path: str) -> DataFrame:
     """(source_file, packets): rows (ts_us, frame) as capture files below `path`, one from each task, in its order."""
     folder = arrow_uri(path)
@@ -311,8 +339,8 @@ def write_captures(frames: DataFrame, path: str) -> DataFrame:
         with fs.open_output_stream(pafs.FileSystem.from_uri(name)[1]) as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 0xFFFF, 1))
             for batch in batches:
-                for ts, frame in zip(batch.column("ts_us").to_pylist(), batch.column("frame").to_pylist()):
-                    out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), len(frame)) + frame)
+                if batch.num_rows:
+                    out.write(_records(batch.column("ts_us"), batch.column("frame")))
                 count += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count])], ["source_file", "packets"])
 
