@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.session import stage_table
+from netsieve.session import drop_table, stage_table
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     `links` has two columns of one ordered type; loops and nulls are left out, repeats count once. The number of rounds
     grows with the logarithm of the longest path. Every round is written to the shared folder, so lost executors cost
-    one round at most. Hubs are joined, never collected.
+    one round at most; it goes when the next is written. Hubs are joined, never collected.
     """
     a, b = (F.col(c) for c in links.columns[:2])
     current = stage_table(
@@ -34,7 +34,8 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
     mark = None
     for _ in range(max_rounds):
-        current = stage_table(_small_star(_large_star(current)), "links")
+        before, current = current, stage_table(_small_star(_large_star(current)), "links")
+        drop_table(before)
         now = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark or not now[0]:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

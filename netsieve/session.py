@@ -54,8 +54,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to Parquet under the checkpoint folder and read it back, column by column.
+def stage_table(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a table once to Parquet under the checkpoint folder and read it back, column by column. `codec` is for tables of whole
+    texts, which take up less space by another than the session's.
 
     What the write has shuffled is removed when it ends, for nothing reads it any more; else it would take up the executors' disks
     until the driver happens to collect its garbage.
@@ -64,7 +65,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     before = conf.get(RELEASE, "false")
     conf.set(RELEASE, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         conf.set(RELEASE, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
